@@ -543,12 +543,12 @@ def cost_summary(spark, d):
     return costs.summary(as_costs(spark, d))
 
 
-@query(f"with {COSTS}, p as (select project, sum(cost) cost, max(ts) ts from costs_ group by 1) select strftime(ts, '%Y-W%U') as "week", sum(cost) cost, array_to_string(list_sort(list(distinct project)), ',') projects from p group by 1 order by 1 desc limit 6")
+@query(f"with {COSTS}, p as (select project, sum(cost) cost, max(ts) ts from costs_ group by 1) select strftime(ts, '%Y-W%U') as \"week\", sum(cost) cost, array_to_string(list_sort(list(distinct project)), ',') projects from p group by 1 order by 1 desc limit 6")
 def cost_weekly(spark, d):
     return costs.weekly(as_costs(spark, d)).withColumn("projects", F.array_join("projects", ","))
 
 
-@query("select event_id, strftime(ts, '%Y-W%U') as "week" from events")
+@query("select event_id, strftime(ts, '%Y-W%U') as \"week\" from events")
 def week_keys(spark, d):
     return table(spark, d, "events").select("event_id", T.week_key(F.col("ts")).alias("week"))
 
