@@ -24,18 +24,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a digest of id and text: what stands for a row where ids are null or repeat."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that copies and links connect, the one with the smallest id stays; documents linked to nothing all stay."""
-    classes = ngram_join.ngram_join(docs).where((F.col("n_links") > 0) | (F.col("n_copies") > 1))
-    goes = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(goes, docs["doc_id"].eqNullSafe(goes["_gone"]), "left_anti")
-    return out.dropDuplicates(["doc_id", "text"])
+    rows = _row(docs)
+    near = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text")).where((F.col("n_links") > 0) | (F.col("n_copies") > 1))
+    near = near.select(F.col("doc_id").alias("_row"), "class_id").distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    stays = near.groupBy("class_id").agg(F.min(place)["_row"].alias("stays"))
+    goes = near.join(stays, "class_id").where(F.col("_row") != F.col("stays")).select("_row")
+    return rows.join(goes, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights: a document stands as often as the mix takes it; what is not taken goes."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    rows = _row(docs)
+    taken = mixing.mix_sources(rows.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    out = rows.dropDuplicates(["_row"]).join(times, "_row")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

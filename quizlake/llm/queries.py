@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat_format, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
 from .common import table
 
-#: Held-out rows: learning never sees them.
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+def held_out() -> Column:
+    """Rows that learning never sees."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_toxicity(docs, model).select("doc_id", HELD_OUT.alias("held_out"), "score", "predicted")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,43 @@
+"""The registered queries over the small tables, against SQL where there is some."""
+
+import zlib
+
+import pytest
+
+from compare import same
+from quizlake.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, duck, sf_dir, name):
+    same(QUERIES[name](spark, sf_dir), duck.sql(ORACLE_SQL[name]))
+
+
+def test_held_out(spark, sf_dir):
+    got = QUERIES["op2_toxicity"](spark, sf_dir).collect()
+    assert len(got) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_round_trip(spark, sf_dir):
+    assert QUERIES["op1_sentencepiece"](spark, sf_dir).where("not round_trip").count() == 0
+
+
+def test_licenses(spark, duck, sf_dir):
+    want = {r[0] for r in duck.sql("select doc_id from documents where contains(text, 'Released under the MIT License.')").fetchall()}
+    assert {r.doc_id for r in QUERIES["op4_license_scan"](spark, sf_dir).where("license = 'MIT'").collect()} >= want
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+    from quizlake.llm.common import table, written
+
+    docs = table(spark, sf_dir, "documents")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, before, sf_dir), name)
+        assert after.columns == columns and after.count() > 0
+        if name in ("toxicity", "ngram_join"):
+            assert after.join(before, ["doc_id", "text"], "left_anti").count() == 0 and after.count() <= before.count()
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
+    assert last.count() == before.count() and last.where("not round_trip").count() == 0
