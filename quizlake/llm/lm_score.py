@@ -14,13 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, text_of, written
 from .shingles import WordHashes, joined
 
-_BATCH = "batch string, doc_ids array<{kind}>, sizes binary, vocab binary, words binary"
+#: Bits of a hash. Sorted hashes of a batch then lie so near each other that their differences take about 4 bytes.
+_BITS = 48
+_DROPPED = np.uint64(64 - _BITS)
+
+_BATCH = "batch string, doc_ids array<{kind}>, sizes binary, vocab binary, words binary, n_words long"
 
 
 def _orders(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -30,7 +35,7 @@ def _orders(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.n
     for n in range(1, order + 1):
         same = text[: len(text) - n + 1] == text[n - 1 :]
         # n is part of the hash: orders share one table
-        out.append((joined(words ^ np.uint64(n), n)[same], text[n - 1 :][same]))
+        out.append((joined(words ^ np.uint64(n), n)[same] >> _DROPPED, text[n - 1 :][same]))
     return out
 
 
@@ -40,7 +45,7 @@ def _distinct(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndar
 
 def _split(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted hashes: buckets are equal ranges of the hash space."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], dtype=np.uint64)
+    edges = np.array([(k << _BITS) // buckets for k in range(buckets)], dtype=np.uint64)
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
@@ -56,8 +61,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
     an empty table gives an empty result.
 
     ``buckets`` follows the session's shuffle partitions, so a bucket's size stays the same as data and
-    cluster grow. Hashes have 64 bits: two of a billion n-grams share one with probability 0.03, and a shared
-    one shifts two counts.
+    cluster grow. Hashes have 48 bits: of a billion different n-grams about four in a million share theirs with
+    another, which adds up the counts of the two.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -69,8 +74,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
 
         def full() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], dtype=np.uint32)
-            vocab, index = np.unique(np.concatenate(texts), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([vocab.tobytes()], pa.binary()), pa.array([index.astype(np.uint32).tobytes()], pa.binary())], ["batch", "doc_ids", "sizes", "vocab", "words"])
+            vocab, index = np.unique(np.concatenate(texts) >> _DROPPED, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([_pack(vocab)], pa.binary()), pa.array([zstandard.compress(index.astype(np.uint32).tobytes(), 1)], pa.binary()), pa.array([len(index)], pa.int64())], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
@@ -88,8 +93,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
     packed = written(text_of(docs, "doc_id", "text").mapInArrow(pack, _BATCH.format(kind=kind)), "lm-batches")
 
     def unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-        raw = {c: np.frombuffer(b[c][k].as_py(), dtype=t) for c, t in (("vocab", np.uint64), ("words", np.uint32), ("sizes", np.uint32))}
-        return raw["vocab"][raw["words"]], raw["sizes"].astype(np.int64)
+        index = np.frombuffer(zstandard.decompress(b["words"][k].as_py()), dtype=np.uint32)
+        return _unpack(b["vocab"][k].as_py())[index], np.frombuffer(b["sizes"][k].as_py(), dtype=np.uint32).astype(np.int64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,14 +104,14 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
                 counts = counts.astype(np.uint32)
                 spans = [(j, s, e) for j, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([j for j, _, _ in spans], pa.int32()), pa.array([b["batch"][k].as_py()] * len(spans), pa.string()), pa.array([hashes[s:e].tobytes() for _, s, e in spans], pa.binary()), pa.array([_narrow(counts[s:e]) for _, s, e in spans], pa.binary())],
+                    [pa.array([j for j, _, _ in spans], pa.int32()), pa.array([b["batch"][k].as_py()] * len(spans), pa.string()), pa.array([_pack(hashes[s:e]) for _, s, e in spans], pa.binary()), pa.array([_narrow(counts[s:e]) for _, s, e in spans], pa.binary())],
                     ["bucket", "batch", "hashes", "counts"],
                 )
 
     asked = packed.select("batch", "sizes", "vocab", "words").mapInArrow(ask, "bucket int, batch string, hashes binary, counts binary")
 
     def answer(key, table):
-        hashes = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["hashes"]]
+        hashes = [_unpack(x.as_py()) for x in table["hashes"]]
         counts = [_wide(x.as_py()) for x in table["counts"]]
         every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
@@ -115,7 +120,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
         return pa.table({"batch": table["batch"].cast(pa.string()), "bucket": table["bucket"].cast(pa.int32()), "sums": pa.array(got, pa.binary())})
 
     answers = asked.groupBy("bucket").applyInArrow(answer, "batch string, bucket int, sums binary")
-    total = packed.agg(F.sum(F.length("words") / 4)).first()[0] or 0.0
+    total = packed.agg(F.sum("n_words")).first()[0] or 0
 
     def score(key, left, right):
         batch = left.combine_chunks().to_batches()[0]
@@ -125,7 +130,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
         sums = np.concatenate([_wide(x) for _, x in parts_]) if parts_ else np.empty(0, np.int64)
         grams = _orders(words, sizes, order)
         seen = [sums[np.searchsorted(hashes, h)] for h, _ in grams]
-        logs = np.log(np.maximum(seen[0], 1) / max(total, 1.0)) if len(words) else np.empty(0)
+        logs = np.log(np.maximum(seen[0], 1) / max(total, 1)) if len(words) else np.empty(0)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         place = np.arange(len(words)) - np.repeat(first, sizes)
         for n in range(2, order + 1):
@@ -145,6 +150,24 @@ def _rank(place: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     return (np.cumsum(place >= n - 1) - 1)[at]
 
 
+def _pack(rising: np.ndarray) -> bytes:
+    """Rising numbers as the first and 4-byte differences; as they stand where a difference is larger."""
+    gaps = np.diff(rising)
+    if len(gaps) and gaps.max() < 2**32:
+        return b"d" + rising[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    return b"w" + rising.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    if data[:1] == b"w":
+        return np.frombuffer(data, dtype=np.uint64, offset=1)
+    gaps = np.frombuffer(data, dtype=np.uint32, offset=9)
+    out = np.empty(len(gaps) + 1, dtype=np.uint64)
+    out[0] = int.from_bytes(data[1:9], "little")
+    out[1:] = gaps
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts in one byte each where all but a few are small; the large ones follow as (place, count)."""
     big = np.flatnonzero(counts > 254)
