@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -86,14 +87,18 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
         p = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(np.zeros(buckets), float(np.log(p / (1 - p))) if len(y) else -2.0, span, grams)
     vocab: dict[str, int] = {}
-    lists = [[vocab.setdefault(w, len(vocab)) for w in t.split()] for t in texts]
-    words = np.fromiter((w for x in lists for w in x), dtype=np.int32)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    bags = [subwords(w, buckets, grams) for w in vocab]
-    n_bag = np.array([len(b) for b in bags], dtype=np.int32)
-    flat = np.fromiter((g for b in bags for g in b), dtype=np.int32)
-    bag_at = np.concatenate([[0], np.cumsum(n_bag)])[:-1]
-    del lists, bags, vocab
+    words, lengths, flat, n_bag = array("i"), array("i"), array("i"), array("i")  # 4 bytes a number: all of it is held at once
+    for t in texts:
+        before = len(words)
+        words.extend(vocab.setdefault(w, len(vocab)) for w in t.split())
+        lengths.append(len(words) - before)
+    for w in vocab:
+        bag = subwords(w, buckets, grams)
+        flat.extend(bag)
+        n_bag.append(len(bag))
+    del vocab
+    words, flat, n_bag = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (words, flat, n_bag))
+    starts, bag_at = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(n_bag)])[:-1]
     used = np.zeros(buckets, dtype=np.int32)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if a == b:
