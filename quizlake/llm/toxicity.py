@@ -99,6 +99,8 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
     del vocab
     words, flat, n_bag = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (words, flat, n_bag))
     starts, bag_at = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(n_bag)])[:-1]
+    ends = np.append(bag_at, len(flat))
+    blocks = [(a, min(a + 20_000, len(n_bag)), int(ends[a]), int(ends[min(a + 20_000, len(n_bag))])) for a in range(0, len(n_bag), 20_000)]
     used = np.zeros(buckets, dtype=np.int32)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if a == b:
@@ -114,7 +116,9 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for step in range(1, rounds + 1):
         diff = soft[:, 1] - soft[:, 0]
-        per_word = np.add.reduceat((e @ diff.astype(np.float32))[flat], bag_at) / n_bag
+        weight, per_word = e @ diff.astype(np.float32), np.empty(len(n_bag))
+        for a, b, s, t in blocks:
+            per_word[a:b] = np.add.reduceat(weight[flat[s:t]], bag_at[a:b] - s) / n_bag[a:b]
         if step <= rounds // 3:
             begin, length = starts[:-1], sizes
         else:
@@ -129,7 +133,9 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
         p = 1 / (1 + np.exp(-logit))
         g = (p - y) * balance / len(y)
         coef = np.bincount(index, weights=(g / n)[owner], minlength=len(n_bag)) / n_bag
-        pull = np.bincount(flat, weights=np.repeat(coef, n_bag), minlength=buckets)
+        pull = np.zeros(buckets)
+        for a, b, s, t in blocks:
+            pull += np.bincount(flat[s:t], weights=np.repeat(coef[a:b], n_bag[a:b]), minlength=buckets)
         d_soft = e.T @ pull.astype(np.float32)
         grads = [np.outer(pull * used, diff).astype(np.float32) + decay * e, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()])]
         for x, grad, (m, v), rate in zip((e, soft, bias), grads, state, (0.05, 0.05, 0.05), strict=True):
