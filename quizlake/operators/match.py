@@ -44,19 +44,23 @@ def _prefix_pairs(source: DataFrame, ref: DataFrame, t: float) -> DataFrame:
     return a.join(b, "gram").where(near).select("source_id", "ref_id").distinct()
 
 
-def _block_pairs(source: DataFrame, ref: DataFrame, t: float) -> DataFrame:
+def _cut(rows: DataFrame, size: int) -> int:
+    """Into how many blocks of about ``size`` rows."""
+    return max(1, -(-rows.count() // size))
+
+
+def _block_pairs(source: DataFrame, ref: DataFrame, t: float, block: tuple[int, int] = (512, 4096)) -> DataFrame:
     """All pairs within the length band, scored in blocks: lengths share a band of texts, a band is cut into blocks.
 
     N x M comparisons stay N x M; they are spread over (band, block, block) groups of a bounded size.
     """
     width = math.log(max(1.0001, (2 - t) / t))
     band = lambda n: F.floor(F.log(n) / width).cast("int")
-    many = source.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cut = lambda: F.lit(max(1, int(int(many) ** 0.5)))
-    s = source.withColumn("band", F.explode(F.sequence(band(F.length("t")) - 1, band(F.length("t")) + 1))).withColumn("i", F.pmod(F.xxhash64("id"), cut()).cast("int"))
-    s = s.withColumn("j", F.explode(F.sequence(F.lit(0), cut() - 1).cast("array<int>")))
-    r = ref.withColumn("band", band(F.length("t"))).withColumn("j", F.pmod(F.xxhash64("id"), cut()).cast("int"))
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), cut() - 1).cast("array<int>")))
+    n, m = _cut(source, block[0]), _cut(ref, block[1])
+    s = source.withColumn("band", F.explode(F.sequence(band(F.length("t")) - 1, band(F.length("t")) + 1))).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    s = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    r = ref.withColumn("band", band(F.length("t"))).withColumn("j", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
+    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     id_type = dict(source.dtypes)["id"]
 
     def compare(left, right):
@@ -106,6 +110,20 @@ def similar_pairs(source: DataFrame, ref: DataFrame, t: float = 0.75, prefix_fro
     return pairs.join(sa, "source_id").join(ra, "ref_id").select(F.col("_s").alias("source_id"), F.col("_r").alias("ref_id"), "similarity")
 
 
+def approximate_pairs(source: DataFrame, ref: DataFrame, t: float = 0.75, tables: int = 12, features: int = 1 << 16) -> DataFrame:
+    """``similar_pairs`` by MinHash LSH over bigrams: faster on large banks, and misses some pairs. Never the default."""
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    def vectors(x: DataFrame) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))
+        return HashingTF(inputCol="grams", outputCol="v", numFeatures=features, binary=True).transform(x.where(F.length("t") >= 5).withColumn("grams", grams)).drop("grams")
+
+    a, b = vectors(source), vectors(ref)
+    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=1).fit(b)
+    near = model.approxSimilarityJoin(a, b, 0.8, "far").select(F.col("datasetA.id").alias("source_id"), F.col("datasetB.id").alias("ref_id"), F.col("datasetA.t").alias("a"), F.col("datasetB.t").alias("b"))
+    return near.withColumn("similarity", indel_ratio("a", "b")).where(F.col("similarity") >= t).select("source_id", "ref_id", "similarity")
+
+
 def top_candidates(pairs: DataFrame, k: int = 5, score: str = "similarity") -> DataFrame:
     """The ``k`` best references of each source, ties to the lower reference."""
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(score), "ref_id"))
@@ -125,16 +143,17 @@ def fuzzy_match(source: DataFrame, ref: DataFrame, t: float = 0.75, k: int = 5,
     return out.withColumn("tier", tier(F.col("similarity")))
 
 
-def weighted_match(source: DataFrame, ref: DataFrame, t: float = 0.75, text_weight: float = 0.7, first: int = 20, k: int = 5, blocks: int = 8) -> DataFrame:
+def weighted_match(source: DataFrame, ref: DataFrame, t: float = 0.75, text_weight: float = 0.7, first: int = 20, k: int = 5, block: int = 2048) -> DataFrame:
     """``source_id, ref_id, similarity, text_similarity, corr_similarity, rank``: the ``first`` best by text, then by the weighted sum.
 
     ``source, ref``: ``id, t, c`` (normalised text and answer). The answer score is 0 where either answer is
     blank. The text score has no lower bound here, so every source is compared with every reference, as the
-    definition asks; the references are dealt to ``blocks`` groups that each keep their own best ``first``, and
-    only those are merged.
+    definition asks; both sides are cut into blocks of about ``block`` rows, each pair of blocks keeps its own best
+    ``first``, and only those are merged.
     """
-    s = source.where(F.length("t") >= 5).select("id", "t", "c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"))
-    r = ref.select("id", F.coalesce("t", F.lit("")).alias("t"), "c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    n, m = _cut(source, block), _cut(ref, block)
+    s = source.where(F.length("t") >= 5).select("id", "t", "c", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"))
+    r = ref.select("id", F.coalesce("t", F.lit("")).alias("t"), "c", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
     kind = dict(source.dtypes)["id"]
 
     def best(left, right):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, completion, costs, match, metadata, pages, questions
-from ..sources import io
+from ..sources import io, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,6 +71,40 @@ COSTS = "costs_ as (select user_id, 'p' || (user_id % 50) project, event_type st
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
+# ---- scans: files that the query writes from the tables and reads back
+
+@query("select 'exam' || (item_id % 5) doc_id, cast(item_id as integer) page, md5(text) md5 from benchmark")
+def page_scan(spark, d):
+    path = scratch.new_path(spark, "pages")
+    b = table(spark, d, "benchmark").select("text", F.concat(F.lit("exam"), F.col("item_id") % 5).alias("exam"), F.concat(F.lit("page_"), F.col("item_id")).alias("file"))
+    b.write.partitionBy("exam", "file").text(path)
+    return io.scan_pages(spark, path, page=r"file=page_(\d+)/", doc=r"exam=([^/]+)/").select("doc_id", "page", F.md5(F.regexp_replace("text", r"\n$", "")).alias("md5"))
+
+
+@query("select c_custkey number, c_mktsegment \"text\", 2 n from customer")
+def qcm_scan(spark, d):
+    path = scratch.new_path(spark, "questions")
+    q = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_custkey").alias("number"), F.lit(1).alias("page"), F.col("c_mktsegment").alias("text"), F.create_map(F.lit("A"), F.col("c_mktsegment"), F.lit("B"), F.lit("other")).alias("propositions")).alias("q"))
+    q.groupBy("nation").agg(F.to_json(F.collect_list("q")).alias("value")).write.partitionBy("nation").text(path)
+    got = io.scan_questions(spark, path, glob="*.txt").where("_corrupt_record is null")
+    return got.select(F.col("number").cast("long").alias("number"), "text", F.size("propositions").alias("n"))
+
+
+@query("select cast(row_number() over (order by item_id) - 1 as integer) ref_index, item_id num, md5(text) md5 from benchmark")
+def ref_load(spark, d):
+    path = scratch.new_path(spark, "bank")
+    rows = table(spark, d, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.struct(x["item_id"].alias("Num"), x["text"].alias("Text"))).alias("questions"))  # one file, as banks are
+    rows.select(F.to_json(F.struct(F.lit("bank").alias("name"), "questions")).alias("value")).coalesce(1).write.text(path)
+    return io.load_reference(spark, path).select("ref_index", F.try_variant_get("ref", "$.Num", "long").alias("num"), F.md5(F.try_variant_get("ref", "$.Text", "string")).alias("md5"))
+
+
+@query("select cast(c_custkey as varchar) num, nullif(trim(c_mktsegment), '') \"text\" from customer")
+def ref_tabular(spark, d):
+    path = scratch.new_path(spark, "bank-table")
+    table(spark, d, "customer").select(F.col("c_custkey").alias("num"), F.concat(F.lit(" "), "c_mktsegment", F.lit("  ")).alias("text")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return io.scan_table(spark, path)
+
+
 # ---- scalar functions
 
 @query("select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) norm from documents")
@@ -253,7 +287,7 @@ def _xtables(spark, d):
 
 @query("""select cast(l_orderkey as varchar) doc_id, l_linenumber number, case l_returnflag when 'A' then 'A' when 'N' then 'B' when 'R' then 'C' else '' end || case l_linestatus when 'F' then 'D' when 'O' then 'E' else '' end answer from lineitem""")
 def xtable_parse(spark, d):
-    return answers.parse_tables(_xtables(spark, d)).select("doc_id", F.col("number").cast("long").alias("number"), "answer")
+    return answers.parse_tables(_xtables(spark, d)).select("doc_id", "number", "answer")
 
 
 @query("""with l as (select cast(l_orderkey as varchar) doc_id, l_linenumber number, case l_returnflag when 'A' then 'A' when 'N' then 'B' when 'R' then 'C' else '' end || case l_linestatus when 'F' then 'D' when 'O' then 'E' else '' end answer, l_quantity, l_returnflag, l_linestatus from lineitem),
@@ -262,7 +296,7 @@ def xtable_parse(spark, d):
 def answer_key(spark, d):
     key = answers.parse_tables(_xtables(spark, d)).withColumn("pos", F.lit(0)).withColumn("priority", F.lit(0))
     key = key.unionByName(answers.parse_lists(_xtables(spark, d)).withColumn("priority", F.lit(1)))
-    return answers.merge_keys(key).select("doc_id", "page", F.col("number").cast("long").alias("number"), "answer", F.when(F.col("priority") == 0, "table").otherwise("list").alias("src"))
+    return answers.merge_keys(key).select("doc_id", "page", "number", "answer", F.when(F.col("priority") == 0, "table").otherwise("list").alias("src"))
 
 
 @query(f"with {QUESTIONS}, {KEY} select q.doc_id, q.number, coalesce(case when trim(k.answer) <> '' then k.answer end, q.correct) correct from questions_ q left join key_ k using (doc_id, number)")
@@ -393,7 +427,7 @@ def incomplete_fix(spark, d):
 @query("""select l_orderkey doc_id, l_linenumber number, coalesce(try_cast(l_comment as integer), 0) page from (select l_orderkey, l_linenumber, substr(cast(l_partkey as varchar) || l_returnflag, 1, 3) l_comment from lineitem)""")
 def sanitize(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("number"), F.substring(F.concat(F.col("l_partkey").cast("string"), "l_returnflag"), 1, 3).alias("page"))
-    return questions.sanitize(rows).select("doc_id", F.col("number").cast("long").alias("number"), "page")
+    return questions.sanitize(rows).select("doc_id", "number", "page")
 
 
 @query()

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 QUESTION = "doc_id string, page int, pos int, number int, text string, propositions map<string,string>, year string, subcategory string, clinical_case_hint string, correction string, metadata_detected struct<module:string,source:string,year:string>"
 
 
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, page, text`` of text files ``<doc>/page_N.txt``; page 0 where the name has no number."""
+def scan_pages(spark: SparkSession, path: str, page: str = r"(?i)page_?(\d+)[^/]*$", doc: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """``doc_id, page, text`` of text files, by default ``<doc>/page_N.txt``; page 0 where the path has no number.
+
+    ``page`` and ``doc`` are patterns over the path whose first group is the page number and the document.
+    """
     name = F.col("_metadata.file_path")
-    page = F.coalesce(F.regexp_extract(name, r"(?i)page_?(\d+)[^/]*$", 1).try_cast("int"), F.lit(0))
+    number = F.coalesce(F.regexp_extract(name, page, 1).try_cast("int"), F.lit(0))
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    return files.select(F.url_decode(F.regexp_extract(name, r"([^/]+)/[^/]+$", 1)).alias("doc_id"), page.alias("page"), F.col("value").alias("text"))
+    return files.select(F.url_decode(F.regexp_extract(name, doc, 1)).alias("doc_id"), number.alias("page"), F.col("value").alias("text"))
 
 
-def scan_questions(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFrame:
+def scan_questions(spark: SparkSession, path: str, schema: str = QUESTION, glob: str = "*.json") -> DataFrame:
     """Question JSON files (a list or one object each), all of a stage; what can't be read is in ``_corrupt_record``."""
-    return spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter=glob)
 
 
 def load_reference(spark: SparkSession, path: str) -> DataFrame:

@@ -211,6 +211,17 @@ def test_pruned_is_brute_force(spark, t):
     assert {(r.source_id, r.ref_id) for r in match.similar_pairs(s, s, t).collect()} == want
 
 
+def test_approximate_recall(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa"]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(40)]
+    texts += [t[:20] + "x" + t[21:] for t in texts]
+    s = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    exact = {(r.source_id, r.ref_id) for r in match.similar_pairs(s, s, 0.9).collect()}
+    found = {(r.source_id, r.ref_id) for r in match.approximate_pairs(s, s, 0.9).collect()}
+    assert found <= exact and len(found) >= 0.95 * len(exact)
+
+
 def test_weighted(spark):
     s = spark.createDataFrame([(1, "abcdefghij", "ab"), (2, "abcdefghij", ""), (3, "abc", "ab")], "id long, t string, c string")
     r = spark.createDataFrame([(7, "abcdefgh", "ab")], "id long, t string, c string")
