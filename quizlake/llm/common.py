@@ -1,41 +1,18 @@
-"""Shared helpers: reading tables, shared work folder, written intermediate tables."""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import work_dir, written
+
+__all__ = ["SPACES", "WORD", "parts", "table", "text_of", "work_dir", "written"]
+
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dir: list[str] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _local_dir:
-            _local_dir.append(tempfile.mkdtemp(prefix="spark-quizlake-"))
-        base = "file://" + _local_dir[0]
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts the lineage: what is lost with an executor is read again, not computed again.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
