@@ -75,7 +75,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
         def full() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], dtype=np.uint32)
             vocab, index = np.unique(np.concatenate(texts) >> _DROPPED, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([_pack(vocab)], pa.binary()), pa.array([zstandard.compress(index.astype(np.uint32).tobytes(), 1)], pa.binary()), pa.array([len(index)], pa.int64())], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([_pack(vocab)], pa.binary()), pa.array([_squeeze(index.astype(np.uint32))], pa.binary()), pa.array([len(index)], pa.int64())], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
@@ -93,7 +93,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
     packed = written(text_of(docs, "doc_id", "text").mapInArrow(pack, _BATCH.format(kind=kind)), "lm-batches")
 
     def unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-        index = np.frombuffer(zstandard.decompress(b["words"][k].as_py()), dtype=np.uint32)
+        index = _stretch(b["words"][k].as_py(), np.uint32)
         return _unpack(b["vocab"][k].as_py())[index], np.frombuffer(b["sizes"][k].as_py(), dtype=np.uint32).astype(np.int64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,22 +150,23 @@ def _rank(place: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     return (np.cumsum(place >= n - 1) - 1)[at]
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers, compressed plane by plane: first the lowest byte of all, last the highest."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def _stretch(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return planes.T.copy().view(kind).ravel()
+
+
 def _pack(rising: np.ndarray) -> bytes:
-    """Rising numbers as the first and 4-byte differences; as they stand where a difference is larger."""
-    gaps = np.diff(rising)
-    if len(gaps) and gaps.max() < 2**32:
-        return b"d" + rising[:1].tobytes() + gaps.astype(np.uint32).tobytes()
-    return b"w" + rising.tobytes()
+    """Rising numbers (uint64) as differences; what they have in their higher bytes takes next to no room."""
+    return _squeeze(np.diff(rising, prepend=np.uint64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"w":
-        return np.frombuffer(data, dtype=np.uint64, offset=1)
-    gaps = np.frombuffer(data, dtype=np.uint32, offset=9)
-    out = np.empty(len(gaps) + 1, dtype=np.uint64)
-    out[0] = int.from_bytes(data[1:9], "little")
-    out[1:] = gaps
-    return np.cumsum(out, dtype=np.uint64)
+    return np.cumsum(_stretch(data, np.uint64), dtype=np.uint64)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
