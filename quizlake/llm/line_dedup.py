@@ -166,9 +166,9 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     edges = by_unit(units, verify, schema, "a long, b long")
     roots = components(edges)
     slim = lines.select("row_key", "doc_id", "no", "h")
-    rooted = slim.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    rooted = written(slim.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "line-roots")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
-    first = rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
     dropped = rooted.join(first, "root").where(place != F.col("first")).select("row_key", "doc_id", "no")
     return lines, dropped
 

@@ -112,7 +112,7 @@ def ngram_join(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     name that both ends share.
     """
     sets = written(shingle_sets(docs, p), "join-sets")
-    classes = written(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("n_copies")), "join-classes")
+    classes = written(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("id"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n_copies")), "join-classes")
     reps = sets.join(classes.select(F.col("id").alias("uid")), "uid")
     members = written(shared_buckets(reps.select(F.col("uid").alias("id"), F.explode("keys").alias("key"))), "join-buckets")
     own = members.groupBy("id").agg(F.collect_list("bucket").alias("all"))  # at most one for each tree
@@ -153,8 +153,8 @@ def ngram_join(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     per = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    per = per.select("h1", "h2", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    docs_of = sets.select("doc_id", "h1", "h2", "n").where("n > 0").join(per, ["h1", "h2"])
-    low = docs_of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = docs_of.join(low, "root").select("doc_id", "class_id", "n_links", "n_copies")
+    per = written(per.select("h1", "h2", "low_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root")), "join-roots")
+    low = written(per.groupBy("root").agg(F.min("low_id").alias("class_id")), "join-low")
+    per = written(per.join(low, "root").drop("root", "low_id"), "join-per")
+    out = sets.select("doc_id", "h1", "h2").where("n > 0").join(per, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_copies")
     return out.unionByName(sets.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
