@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import ann, chat_format, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
 from .common import table
 
+#: Of op9: with 5 characters a changed character costs at most 5 shingles, so lines from 49 characters bear one in their middle.
+LINES = line_dedup.LineDedup(chars=5)
+
+
 def held_out() -> Column:
     """Rows that learning never sees."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -53,7 +57,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"), LINES)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The registered queries over the small tables, against SQL where there is some."""
 
+import random
 import zlib
 
 import pytest
@@ -27,6 +28,21 @@ def test_licenses(spark, duck, sf_dir):
     assert {r.doc_id for r in QUERIES["op4_license_scan"](spark, sf_dir).where("license = 'MIT'").collect()} >= want
 
 
+def test_short_lines_with_one_edit(spark, tmp_path):
+    """Lines of 30 to 90 characters and copies of them with one changed character, by the registered query."""
+    from test_llm_operators import brute_lines
+
+    rng = random.Random(13)
+    rows = []
+    for d in range(0, 120, 2):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(28 + d // 2)).strip("  ") + "kl"
+        at = rng.randrange(1, len(line) - 1)
+        rows += [(d, line), (d + 1, line[:at] + "Z" + line[at + 1 :])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, k) for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect() for k in r.dropped}
+    assert got == brute_lines(rows, 5) and got >= {(d, 0) for d, t in rows if d % 2 and len(t) >= 49}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on what the stage before it kept."""
     import corpus_pipeline
