@@ -29,7 +29,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+    """Bigrams, as its SQL has it."""
+    return _lm_score(spark, sf_dir, 2)
+
+
+def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm_score(spark, sf_dir, 3)
+
+
+def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    scored = lm_score.backoff_scores(table(spark, sf_dir, "documents"), order)
     return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -64,7 +73,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_trigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -81,6 +90,22 @@ ORACLE_SQL = {
         d as (select rid, sum(l) l from s group by rid)
         select w.doc_id, cast(len(ws) as bigint) n_words, round(coalesce(d.l, 0.0), 3) log_score, round(d.l / len(ws), 6) mean_log_score
         from w left join d using (rid)""",
+    "op3_lm_score_trigrams": rf"""
+        with w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
+        t as (select rid, i, ws[i] w, case when i > 1 then ws[i - 1] end c, case when i > 2 then ws[i - 2] end b from (select rid, ws, unnest(generate_series(1, len(ws))) i from w)),
+        uni as (select w, count(*) n from t group by w),
+        bi as (select c, w, count(*) n from t where c is not null group by c, w),
+        tri as (select b, c, w, count(*) n from t where b is not null group by b, c, w),
+        total as (select count(*) n from t),
+        s as (select t.rid, case when t.c is null then ln(u.n / total.n)
+                                 when t3.n >= 2 then ln(t3.n / c2.n)
+                                 else case when t.b is null then 0 else ln(0.4) end
+                                      + case when t2.n >= 2 then ln(t2.n / c1.n) else ln(0.4) + ln(u.n / total.n) end end l
+              from t join uni u on u.w = t.w left join bi t2 on t2.c = t.c and t2.w = t.w left join uni c1 on c1.w = t.c
+                   left join tri t3 on t3.b = t.b and t3.c = t.c and t3.w = t.w left join bi c2 on c2.c = t.b and c2.w = t.c, total),
+        d as (select rid, sum(l) l from s group by rid)
+        select w.doc_id, cast(len(ws) as bigint) n_words, round(coalesce(d.l, 0.0), 3) log_score, round(d.l / len(ws), 6) mean_log_score
+        from w left join d using (rid)""",
     "op5_exact_dedup": rf"""
         with n as (select row_number() over () rid, doc_id, regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g') t from documents)
         select doc_id, min(doc_id) over g keep_id, count(*) over g group_size,
