@@ -1,8 +1,9 @@
 """Operator 4, licence scans.
 
 Every run of words as long as a template is a window. MinHash signatures of all windows come from sliding
-minima (a few vector operations a hash function, whatever the window's length); bands of them are looked up
-among the templates' bands, and each hit is checked by exact containment of the template's shingles.
+minima (a few vector operations a hash function, whatever the window's length); bands of them are compared
+with the templates' bands, and each hit is checked by exact containment of the template's shingles. Where
+windows of several licences overlap, the one with the best containment stays.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .shingles import WordHashes, band_key, band_keys, joined, permutations
+from .shingles import WordHashes, joined, permutations
 
 #: Public licence notices, by SPDX name.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -31,6 +32,31 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
+    ("LGPL-2.0", "it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
 )
 _WORD = re.compile(r"\w+")
 
@@ -56,12 +82,12 @@ class _Scanner:
             raise ValueError(f"a template has at least {p.words} words")
         self.exact = [set(s.tolist()) for s in self.sets]
         self.xor, self.mul = permutations(p.bands * p.rows, p.seed)
-        self.by_width: dict[int, dict[int, list[int]]] = {}
+        self.by_width: dict[int, list[int]] = {}
+        self.sig = []
         for k, s in enumerate(self.sets):
             low = (s >> np.uint64(32)).astype(np.uint32)
-            sig = np.array([[((low ^ x) * m).min() for x, m in zip(self.xor, self.mul, strict=True)]])
-            for key in band_keys(sig, p.bands, p.rows)[0].tolist():
-                self.by_width.setdefault(len(s), {}).setdefault(key, []).append(k)
+            self.sig.append([((low ^ x) * m).min() for x, m in zip(self.xor, self.mul, strict=True)])
+            self.by_width.setdefault(len(s), []).append(k)
 
     def tokens(self, text: str) -> tuple[np.ndarray, int]:
         words = _WORD.findall(text.lower())
@@ -74,27 +100,48 @@ class _Scanner:
         sh = joined(np.concatenate(tokens) if tokens else np.empty(0, np.uint64), p.words)
         low = (sh >> np.uint64(32)).astype(np.uint32)
         hits: set[tuple[int, int]] = set()
-        widths = {w: (np.sort(np.fromiter(keys, dtype=np.int64)), keys) for w, keys in self.by_width.items() if w <= len(sh)}
+        widths = [w for w in self.by_width if w <= len(sh)]
         for band in range(p.bands):
-            columns = [self._minima((low ^ self.xor[i]) * self.mul[i], widths) for i in range(band * p.rows, (band + 1) * p.rows)]
-            for w, (known, keys) in widths.items():
-                made = band_key([c[w] for c in columns], band)
-                found = np.flatnonzero(known[np.minimum(np.searchsorted(known, made), len(known) - 1)] == made)
-                hits.update((int(i), k) for i in found for k in keys[int(made[i])])
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+            rows = range(band * p.rows, (band + 1) * p.rows)
+            values = [(low ^ self.xor[i]) * self.mul[i] for i in rows]
+            for w, first in self._minima(values[0], widths).items():
+                for k in self.by_width[w]:
+                    at = np.flatnonzero(first == self.sig[k][rows[0]])
+                    for i, h in zip(rows[1:], values[1:], strict=True):
+                        if len(at):  # few windows are left, or else all minima are taken
+                            least = np.lib.stride_tricks.sliding_window_view(h, w)[at].min(axis=1) if w * len(at) < len(h) else self._minima(h, [w])[w][at]
+                            at = at[least == self.sig[k][i]]
+                    hits.update((x, k) for x in at.tolist())
+        passed: dict[int, list[tuple[float, int, int, int]]] = {}
         for i, k in sorted(hits):
             n = len(self.sets[k])
             text = int(np.searchsorted(ends, i, side="right"))
-            begin = int(ends[text] - len(tokens[text]))
             if i + n + p.words - 1 > ends[text]:
                 continue  # it reaches into the next text
             share = len(self.exact[k].intersection(sh[i : i + n].tolist())) / len(self.exact[k])
-            if share >= p.least and share > best.get((text, k), (0.0, 0))[0]:
-                best[text, k] = (share, i - begin)
+            if share >= p.least:
+                passed.setdefault(text, []).append((-share, -n, k, i))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for text, windows in passed.items():
+            begin = int(ends[text] - len(tokens[text]))
+            for _, k, share, i in self._undisputed(sorted(windows)):
+                best.setdefault((text, k), (share, i - begin))
         return [(text, k, share, at) for (text, k), (share, at) in best.items()]
 
+    def _undisputed(self, windows: list[tuple[float, int, int, int]]) -> Iterator[tuple[int, int, float, int]]:
+        """The windows, the best first, but those that share over half of the shorter one's words with a better one of another licence."""
+        cell = max(len(x) for x in self.sets) + self.p.words - 1
+        taken: dict[int, list[tuple[str, int, int]]] = {}  # by the cells of words that a window touches, two at most
+        for minus, less, k, i in windows:
+            name, end = self.p.templates[k][0], i - less + self.p.words - 1
+            touched = {i // cell, (end - 1) // cell}
+            if not any(name != o and 2 * (min(end, e) - max(i, s)) > min(end - i, e - s) for c in touched for o, s, e in taken.get(c, ())):
+                for c in touched:
+                    taken.setdefault(c, []).append((name, i, end))
+                yield -less, k, -minus, i
+
     @staticmethod
-    def _minima(h: np.ndarray, widths: dict) -> dict[int, np.ndarray]:
+    def _minima(h: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
         """For each width, the minimum of every window, from windows of powers of two."""
         out, size, wanted = {}, 1, sorted(widths)
         while wanted:
@@ -113,7 +160,9 @@ def scan_licenses(docs: DataFrame, params: LicenseScan = LicenseScan()) -> DataF
     """One row per document and licence found: ``doc_id, license, template, containment, at_word``.
 
     Words are runs of letters, digits and _, lower-cased. ``containment`` is the largest share of a template's
-    shingles that one window holds (at least ``least``), ``at_word`` where the first such window begins, and
+    shingles that one window holds (at least ``least``); a window that shares over half of the shorter one's words with
+    a better one of another licence doesn't count (ties: the longer template, then the first). ``at_word`` is where
+    the first such window begins, and
     ``template`` the number of the template it belongs to (ties: the first). Null and empty texts and texts
     shorter than a template have no rows; repeated rows give repeated results; other columns are ignored.
     """

@@ -165,6 +165,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_relatives_keep_their_names(spark):
+    fsf = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    gpl, lesser = "General Public License", "Lesser General Public License"
+    bsd = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    never = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    asis = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING'
+    notices = [
+        (fsf.format(gpl, 2), {"GPL-2.0"}), (fsf.format(gpl, 3), {"GPL-3.0"}), (fsf.format(lesser, 2.1), {"LGPL-2.1"}), (fsf.format(lesser, 3), {"LGPL-3.0"}),
+        (fsf.format("Library " + gpl, 2), {"LGPL-2.0"}), (fsf.format("Affero " + gpl, 3), {"AGPL-3.0"}), (fsf.format(gpl, 2) + " filler " * 50 + fsf.format(gpl, 3), {"GPL-2.0", "GPL-3.0"}),
+        (fsf.format(lesser, 3) + " " + fsf.format(gpl, 2), {"LGPL-3.0", "GPL-2.0"}), (bsd + never + asis, {"BSD-3-Clause"}), (bsd + asis, {"BSD-2-Clause"}),
+    ]
+    notices += [(t, {name}) for name, t in licenses.TEMPLATES]
+    filler = "some other words that stand around it " * 20
+    df = docs(spark, *[(k, f"{filler} {t} {filler}") for k, (t, _) in enumerate(notices)])
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(df).collect():
+        got[r.doc_id].add(r.license)
+    wrong = [(t, want, got[k]) for k, (t, want) in enumerate(notices) if got[k] != want]
+    assert not wrong
+
+
 # ---- 5
 
 def test_exact(spark):
