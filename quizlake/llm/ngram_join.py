@@ -1,8 +1,9 @@
 """Operator 10, n-gram Jaccard join.
 
-A MinHash LSH forest finds candidates: each of ``trees`` labels a text with ``depth`` MinHash values, texts with
-a common prefix of the label lie under one node of its trie, and the prefix is shortened until the chance
-that a pair at the threshold shares one in some tree reaches ``recall``. Candidates are verified by exact
+MinHash bands find candidates and stand in for an LSH forest: each of ``trees`` labels a text with ``depth``
+MinHash values, of which only the first ``prefix`` are used, a number worked out beforehand (no labels are
+sorted, nothing is shortened by what was found): the longest at which the chance that a pair at the threshold
+shares one in some tree reaches ``recall``. Candidates are verified by exact
 Jaccard of their word shingles, in bounded blocks.
 """
 
