@@ -120,7 +120,8 @@ def _bits(places: set[int], n: int) -> int:
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
-    """(lines, dropped): every line that isn't blank, and those of them that go, by ``row_key, doc_id, no``.
+    """(lines, dropped): every line that isn't blank, and those of them that go, by ``row_key, doc_id, no``, with
+    the place of the line that stays for them, ``kept_id, kept_no``.
 
     Lines are cut at line feeds and compared without white space at their ends. Equal lines are linked, and so
     are lines whose sets of ``chars``-character shingles have an exact Jaccard of at least ``least``; lines with
@@ -169,17 +170,26 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     rooted = written(slim.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "line-roots")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
     first = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
-    dropped = rooted.join(first, "root").where(place != F.col("first")).select("row_key", "doc_id", "no")
+    dropped = rooted.join(first, "root").where(place != F.col("first"))
+    dropped = dropped.select("row_key", "doc_id", "no", F.col("first.doc_id").alias("kept_id"), F.col("first.no").alias("kept_no"))
     return lines, dropped
 
 
 def line_decisions(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """One row per document with a line that isn't blank: ``doc_id, n_lines, n_dropped, dropped`` (line numbers from 0, ascending)."""
+    """One row per row of ``docs``: ``doc_id, n_lines, n_dropped, dropped, kept``.
+
+    ``dropped`` has line numbers from 0, ascending; ``kept``, for each of them, the place ``doc_id, no`` of the
+    line that stays for it, by which lines of one class are known. ``n_lines`` doesn't count blank lines: null,
+    empty and blank texts have 0.
+    """
     lines, dropped = duplicate_lines(docs, p)
-    gone = dropped.groupBy("row_key").agg(F.array_sort(F.collect_set("no")).alias("dropped"))
-    counts = lines.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.countDistinct("no").alias("n_lines"))
-    out = counts.join(gone, "row_key", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    gone = dropped.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("no", F.struct(F.col("kept_id").alias("doc_id"), F.col("kept_no").alias("no")).alias("kept")))).alias("gone"))
+    counts = lines.groupBy("row_key").agg(F.countDistinct("no").alias("n_lines")).join(gone, "row_key", "left")
+    out = _keyed(docs).select("row_key", "doc_id").join(counts, "row_key", "left")
+    kind = dict(docs.dtypes)["doc_id"]
+    empty = {"dropped": F.array().cast("array<int>"), "kept": F.array().cast(f"array<struct<doc_id:{kind},no:int>>")}
+    out = out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("gone.no", empty["dropped"]).alias("dropped"), F.coalesce("gone.kept", empty["kept"]).alias("kept"))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "kept")
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:

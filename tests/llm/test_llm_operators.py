@@ -371,6 +371,16 @@ def test_lines(spark):
     assert line_dedup.line_decisions(df.limit(0)).count() == 0 and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_places(spark):
+    """Every row has a result, and each dropped line the place of the line that stays."""
+    line = "the quick brown fox jumps over the lazy dog and then runs back again through the long wet grass to its den"
+    near = line[:-1] + "m"
+    df = docs(spark, (1, f"own words\n{line}"), (2, f"{near}\n\nown words"), (2, f"{near}\n\nown words"), (3, None), (4, ""), (5, " \n"), (None, line))
+    got = sorted(((r.doc_id or 0, r.n_lines, r.dropped, [tuple(x) for x in r.kept]) for r in line_dedup.line_decisions(df).collect()), key=repr)
+    two = (2, 2, [0, 2], [(1, 1), (1, 0)])
+    assert got == [(0, 1, [0], [(1, 1)]), (1, 2, [], []), two, two, (3, 0, [], []), (4, 0, [], []), (5, 0, [], [])]
+
+
 def test_line_blocks(spark):
     """A bucket cut into blocks gives the same lines."""
     rng = random.Random(10)
