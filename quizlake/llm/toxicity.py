@@ -148,7 +148,8 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (4000, 2000), max_chars: int = 40_000_000) -> tuple[list[str], list[int]]:
     """At most ``max_rows`` (clean, toxic) labelled rows and ``max_chars`` characters, the first by a hash of the id.
 
-    Both are bounds on what the driver holds. Rows whose ``crc32(doc_id) % 5`` is 0 are held out.
+    Both are bounds on what the driver holds. Of rows that repeat an id the one with the smallest text hash is taken. Rows
+    whose ``crc32(doc_id) % 5`` is 0 are held out.
     """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -161,7 +162,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int
         if r.n <= left[r.toxic]:
             left[r.toxic] -= r.n
             keep[r.doc_id] = r.toxic
-    got = d.where(F.col("doc_id").isin(list(keep))).orderBy("doc_id", "text").toArrow()
+    one = d.where(F.col("doc_id").isin(list(keep))).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    got = one.orderBy("doc_id", "text").toArrow()
     return got["text"].to_pylist(), [keep[i] for i in got["doc_id"].to_pylist()]
 
 

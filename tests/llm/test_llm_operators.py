@@ -111,6 +111,15 @@ def test_toxicity_rows(spark):
     assert set(y) <= {1} and set(texts) <= {"river"}
 
 
+def test_training_sample_of_a_repeated_id(spark):
+    """Both bounds hold where one labelled id has many rows."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    df = docs(spark, *[(1, f"idiot {k}") for k in range(500)], (2, "river"), (3, "stone"))
+    texts, y = toxicity.training_sample(df, labels, max_rows=(5, 5), max_chars=100)
+    assert len(texts) == len(y) <= 3 and sum(map(len, texts)) <= 100 and sum(y) == 1
+    assert toxicity.training_sample(df.repartition(7), labels, max_rows=(5, 5), max_chars=100) == (texts, y)
+
+
 # ---- 3
 
 def brute_lm(rows, least=2, alpha=0.4):
