@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import work_dir, written
+from ..sources.scratch import forget, work_dir, written
 
-__all__ = ["SPACES", "WORD", "parts", "table", "text_of", "work_dir", "written"]
+__all__ = ["SPACES", "WORD", "forget", "parts", "table", "text_of", "work_dir", "written"]
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -77,19 +77,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating stars: each node's larger neighbours are linked to its smallest one
     (large star), then its smaller neighbours too (small star), until nothing changes: every link then goes from
-    a node to its root. Neighbourhoods are only ever reduced to their minimum, which combines on the map side,
-    and joined back; each round is written to the shared folder.
+    a node to its root. Neighbourhoods are only ever reduced to their minimum, which combines on the map side.
+    The minima are written before they are joined back: both sides of the join then are plain scans, and adaptive
+    execution can split the links of a node that has very many. Of the written rounds only the last stays.
     """
     nodes = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = written(nodes, "links"), None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # of a node's smaller neighbours, few after the large star
+        small = large.join(least, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        then, now = now, written(small, "links")
+        forget(then, low)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v", F.lit(1)).bitwiseAND(0xFFFFFFFF))).first()
         if state == before:
             break
