@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, work_dir, written
 
-__all__ = ["SPACES", "WORD", "forget", "parts", "table", "text_of", "work_dir", "written"]
+__all__ = ["SPACES", "WORD", "forget", "keyed_rows", "one_a_key", "parts", "row_key", "table", "text_of", "work_dir", "written"]
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -25,3 +25,23 @@ def parts(spark: SparkSession) -> int:
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns (so extra ones can't clash), ``text`` with null as empty."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c == "text" else F.col(c) for c in columns])
+
+
+def row_key() -> Column:
+    """A 128-bit digest of ``doc_id`` and ``text``, which stands for a row where ids are null or repeat; a null text counts as empty."""
+    i = F.col("doc_id").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(i).cast("string"), F.lit("")), F.lit(":"), F.coalesce(i, F.lit("")), F.coalesce(F.col("text"), F.lit("")))))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``row_key, row, doc_id, text, source``: the whole row in one column, so that no name of its can clash with a helper's; a missing column is null."""
+    have = set(docs.columns)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in ("doc_id", "text", "source")])
+    return d.withColumn("row_key", row_key())
+
+
+def one_a_key(rows: DataFrame) -> DataFrame:
+    """``row_key, row``: of rows with one key, the first by a digest of the other columns."""
+    other = [F.col(f"row.`{c}`") for c in rows.schema["row"].dataType.names if c not in ("doc_id", "text")]
+    order = F.md5(F.to_json(F.struct(*other))) if other else F.lit("")
+    return rows.groupBy("row_key").agg(F.min_by("row", order).alias("row"))

@@ -16,19 +16,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import forget, keyed_rows, one_a_key, row_key, text_of, written
 from .linking import Union, by_unit, components, in_blocks, shared_buckets
 from .shingles import band_keys, mix, signatures
 
 
 @dataclass(frozen=True)
 class LineDedup:
-    """Parameters. Lines at Jaccard 0.8 meet in a band with probability 1 - (1 - 0.8**rows)**bands: 0.993 at the defaults."""
+    """Parameters. Lines at Jaccard 0.8 meet in a band with probability 1 - (1 - 0.8**rows)**bands: 0.994 at the defaults.
+
+    Short shingles are common, so unrelated lines share some: ``rows`` is such that lines at Jaccard 0.1 meet once in ten thousand.
+    """
 
     chars: int = 9
     least: float = 0.8
-    bands: int = 7
-    rows: int = 3
+    bands: int = 13
+    rows: int = 5
     block: int = 512
     seed: int = 31
 
@@ -48,11 +51,11 @@ def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``row_key, doc_id, no, h, keys`` of every line that isn't blank; ``keys`` are given where the task meets the line first."""
+    """``row_key, doc_id, no, h, g, keys`` of every line that isn't blank: ``h, g`` are the halves of its 128-bit hash; ``keys`` are given where the task meets the line first."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for whole in batches:
             for at in range(0, len(whole), 200):
                 b = whole.slice(at, 200)
@@ -61,7 +64,7 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
                     for i, line in enumerate(t.split("\n")):
                         line = line.strip()
                         if line:
-                            x = xxhash.xxh3_64_intdigest(line)
+                            x = xxhash.xxh3_128_digest(line)
                             row.append(k), no.append(i), h.append(x)
                             if x not in met and len(line) >= p.chars:
                                 met.add(x)
@@ -81,23 +84,22 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
                     sig = signatures(sh[inside[: len(sh)]], starts, p.bands * p.rows, p.seed)
                     for k, made in zip(fresh, band_keys(sig, p.bands, p.rows), strict=True):
                         keys[k] = made
-                of = pa.array(row, pa.int64())
+                of, halves = pa.array(row, pa.int64()), np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    ["row_key", "doc_id", "no", "h", "keys"],
+                    [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64()))],
+                    ["row_key", "doc_id", "no", "h", "g", "keys"],
                 )
 
-    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {kind}, no int, h long, keys array<long>")
+    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, h long, g long, keys array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return text_of(docs, "doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return text_of(docs, "doc_id", "text").withColumn("row_key", row_key())
 
 
-def _candidate_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line`` of the wanted lines, cut from the documents that hold them."""
-    first = lines.select("row_key", "no", "h").join(ids.withColumnRenamed("id", "h"), "h").groupBy("h").agg(F.min(F.struct("row_key", "no")).alias("at"))
-    per_doc = first.groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "h")).alias("wanted"))  # lines of one document
+def _candidate_texts(docs: DataFrame, first: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, line`` of the wanted lines, cut from the document that ``first`` (``id, at``) names for each."""
+    per_doc = first.join(ids, "id").groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "id")).alias("wanted"))  # lines of one document
     both = _keyed(docs).join(per_doc, "row_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +108,18 @@ def _candidate_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataF
             for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
                 split = text.split("\n")
                 for w in wanted:
-                    ids.append(w["h"]), out.append(split[w["no"]].strip())
+                    ids.append(w["id"]), out.append(split[w["no"]].strip())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line"])
 
     return both.select("text", "wanted").mapInArrow(cut, "id long, line string")
 
 
+def with_ids(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``id``, one for each 128-bit hash: its first half, or a digest of both where different lines share that half."""
+    shared = written(lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h", F.lit(True).alias("shared")), "line-shared")
+    return lines.join(shared, "h", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("shared", "h", "g")
+
+
 def _bits(places: set[int], n: int) -> int:
     out = bytearray(n // 8 + 1)
     for k in places:
@@ -126,13 +134,14 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     Lines are cut at line feeds and compared without white space at their ends. Equal lines are linked, and so
     are lines whose sets of ``chars``-character shingles have an exact Jaccard of at least ``least``; lines with
     fewer characters only when equal. Of each connected component the line with the smallest (doc_id, digest of
-    id and text, line number) stays; null ids come last. Rows that repeat an id and text count as one. A line is
-    known by a 64-bit hash.
+    id and text, line number) stays; null ids come last. Rows that repeat an id and text count as one. Lines are
+    equal when their 128-bit hashes are.
     """
-    lines = written(line_table(docs, p), "line-table")
-    keys = lines.where("keys is not null").select(F.col("h").alias("id"), F.explode("keys").alias("key"))
-    members = written(shared_buckets(keys), "line-buckets")
-    texts = _candidate_texts(docs, lines, members.select("id").distinct())
+    table = written(line_table(docs, p), "line-table")
+    lines = with_ids(table)
+    members = written(shared_buckets(lines.where("keys is not null").select("id", F.explode("keys").alias("key"))), "line-buckets")
+    first = lines.groupBy("id").agg(F.min(F.struct("row_key", "no")).alias("at"))  # combines on the map side: a common line is one row a task
+    texts = written(_candidate_texts(docs, first, members.select("id").distinct()), "line-texts")
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
@@ -164,15 +173,17 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
         return [(r["id"], rows[u.find(x)]["id"]) for x, r in enumerate(rows) if u.find(x) != x]
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    edges = by_unit(units, verify, schema, "a long, b long")
+    edges = written(by_unit(units, verify, schema, "a long, b long"), "line-links")
+    forget(members, texts)
     roots = components(edges)
-    slim = lines.select("row_key", "doc_id", "no", "h")
-    rooted = written(slim.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "line-roots")
+    slim = lines.select("row_key", "doc_id", "no", "id")
+    rooted = written(slim.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "line-roots")
+    forget(edges, roots, table)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
     first = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
     dropped = rooted.join(first, "root").where(place != F.col("first"))
     dropped = dropped.select("row_key", "doc_id", "no", F.col("first.doc_id").alias("kept_id"), F.col("first.no").alias("kept_no"))
-    return lines, dropped
+    return rooted.select("row_key", "doc_id", "no"), dropped
 
 
 def line_decisions(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -196,12 +207,13 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; rows left without any line go.
 
     Blank lines stay; a document that had no line but blank ones (or a null or empty text) stays as it is. Of rows
-    that repeat an id and text one stays. All columns are kept; an empty table gives an empty result.
+    that repeat an id and text one stays, the first by a digest of its other columns. All columns are kept,
+    whatever their names; an empty table gives an empty result.
     """
     _, dropped = duplicate_lines(docs, p)
-    gone = dropped.groupBy("row_key").agg(F.collect_set("no").alias("_gone"))
-    base = docs.withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["row_key"])
-    both = base.join(gone, "row_key", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    gone = dropped.groupBy("row_key").agg(F.collect_set("no").alias("gone"))
+    both = one_a_key(keyed_rows(docs)).join(gone, "row_key", "left")
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = both.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"))
+    out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    return out.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

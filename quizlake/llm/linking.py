@@ -79,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
     (large star), then its smaller neighbours too (small star), until nothing changes: every link then goes from
     a node to its root. Neighbourhoods are only ever reduced to their minimum, which combines on the map side.
     The minima are written before they are joined back: both sides of the join then are plain scans, and adaptive
-    execution can split the links of a node that has very many. Of the written rounds only the last stays.
+    execution can split the links of a node that has very many. The rounds are deleted, the result is a written table.
     """
     nodes = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = written(nodes, "links"), None
@@ -96,7 +96,10 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = written(roots, "roots")
+    forget(now)
+    return roots
 
 
 class Union:

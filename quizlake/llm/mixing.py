@@ -51,20 +51,20 @@ def mix_sources(docs: DataFrame, weight=None, seed: int = 7, cap: float = 3.0, s
     unpicked one whose size is nearest to what remains, where that brings the sum nearer. No document is cut.
     ``weight`` is a column of non-negative weights (null or 0: drawn last); default ``quality_weight``. Null
     text has size 0 and is never taken; a null source is a source of its own; rows that repeat an id are drawn
-    one by one. An empty table gives an empty result.
+    one by one, in the order of their texts' digests. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"), (quality_weight(F.coalesce(F.col("text"), F.lit(""))) if weight is None else F.coalesce(weight, F.lit(0.0))).alias("w"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"))), 1, 12), 16, 10).cast("double") + 1) / float(2**48 + 1)
     key = F.when(F.col("w") > 0, -F.log(u) / F.col("w")).otherwise(F.lit(float("inf")))
-    slim = written(d.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("uid")), "mix-slim")
+    slim = written(d.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("uid")), "mix-slim")
 
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = source_targets(sizes, cap, source_weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     t = written(t.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
 
-    order = ["key", "doc_id", "uid"]
+    order = ["key", "doc_id", "digest", "uid"]
     dealt = written(slim.repartitionByRange(parts(spark), "source", *order).withColumn("pid", F.spark_partition_id()), "mix-dealt")
     offsets = dealt.groupBy("source", "pid").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, weight=None, seed: int = 7, cap: float = 3.0, s
     run = F.sum("size").over(Window.partitionBy("d.source", "d.pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     picked = (
         dealt.alias("d").join(at.alias("a"), same("d", "a") & (F.col("d.pid") == F.col("a.pid")))
-        .select("doc_id", "d.source", "size", "key", "uid", "source_size", "target", "epochs", "rest", (run + F.col("offset")).alias("upto"))
+        .select("doc_id", "d.source", "size", "key", "digest", "uid", "source_size", "target", "epochs", "rest", (run + F.col("offset")).alias("upto"))
         .withColumn("picked", F.col("upto") <= F.col("rest"))
     )
     picked = written(picked, "mix-picked")
@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, weight=None, seed: int = 7, cap: float = 3.0, s
     far = F.abs(F.col("size") - F.col("gap"))
     closing = (
         picked.alias("p").join(gap.alias("g"), same("p", "g")).where(~F.col("picked") & (far < F.col("gap")))
-        .groupBy("p.source").agg(F.min(F.struct(far.alias("far"), "key", "doc_id", "uid"))["uid"].alias("last_uid"))
+        .groupBy("p.source").agg(F.min(F.struct(far.alias("far"), *order))["uid"].alias("last_uid"))
     )
     out = picked.alias("p").join(closing.alias("c"), same("p", "c"), "left")
     taken = F.col("epochs") * F.col("size") + F.when(F.col("picked") | F.coalesce(F.col("uid") == F.col("last_uid"), F.lit(False)), F.col("size")).otherwise(0)
