@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.llm import line_dedup, mixing, ngram_join, sentencepiece, toxicity
-from quizlake.llm.common import table, written
+from quizlake.llm.common import keyed_rows, one_a_key, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (learned from ``labels``, held-out ids aside) rejects go."""
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
-    kept = docs.withColumnsRenamed({"score": "_score", "predicted": "_predicted"})
-    return toxicity.score_toxicity(kept, model).where("predicted = 0").drop("score", "predicted").withColumnsRenamed({"_score": "score", "_predicted": "predicted"})
+    rows = keyed_rows(docs).select("row", "text")
+    return toxicity.score_toxicity(rows, model).where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,29 +24,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a digest of id and text: what stands for a row where ids are null or repeat."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-
-
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that copies and links connect, the one with the smallest id stays; documents linked to nothing all stay."""
-    rows = _row(docs)
-    near = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text")).where((F.col("n_links") > 0) | (F.col("n_copies") > 1))
-    near = near.select(F.col("doc_id").alias("_row"), "class_id").distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    stays = near.groupBy("class_id").agg(F.min(place)["_row"].alias("stays"))
-    goes = near.join(stays, "class_id").where(F.col("_row") != F.col("stays")).select("_row")
-    return rows.join(goes, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
+    """Of documents that copies and links connect, the one with the smallest id stays (null last, then the smallest digest of id and text); documents linked to nothing all stay.
+
+    Of rows that repeat an id and text one stays, the first by a digest of its other columns.
+    """
+    rows = keyed_rows(docs)
+    near = ngram_join.ngram_join(rows.select(F.col("row_key").alias("doc_id"), "text")).where((F.col("n_links") > 0) | (F.col("n_copies") > 1))
+    near = near.select(F.col("doc_id").alias("row_key"), "class_id").distinct().join(rows.select("row_key", "doc_id").distinct(), "row_key")
+    near = written(near, "near-classes")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    stays = written(near.groupBy("class_id").agg(F.min(place)["row_key"].alias("stays")), "near-stays")
+    goes = near.join(stays, "class_id").where(F.col("row_key") != F.col("stays")).select("row_key")
+    return one_a_key(rows.join(goes, "row_key", "left_anti")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights: a document stands as often as the mix takes it; what is not taken goes."""
-    rows = _row(docs)
-    taken = mixing.mix_sources(rows.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = rows.dropDuplicates(["_row"]).join(times, "_row")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = keyed_rows(docs)
+    taken = mixing.mix_sources(rows.select(F.col("row_key").alias("doc_id"), "source", "text")).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    out = one_a_key(rows).join(times, "row_key")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
