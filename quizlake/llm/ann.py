@@ -21,16 +21,18 @@ from .common import written
 
 @dataclass(frozen=True)
 class AnnIndex:
-    """Parameters. The index is fitted on ``sample`` rows; every row is indexed. About sqrt(n) lists, at most ``lists``;
-    as many are probed as hold the share ``recall`` of the sample's true neighbours."""
+    """Parameters. About sqrt(n) lists, at most ``lists``; the index is fitted on ``sample`` rows, or ten a list where that is
+    more; every row is indexed. As many lists are probed as hold the share ``recall`` of the sample's true neighbours.
+    A task searches at most ``rows`` candidates of a list for at most ``asked`` queries."""
 
     k: int = 20
     sample: int = 20_000
-    lists: int = 4096
-    recall: float = 0.96
+    lists: int = 16_384
+    recall: float = 0.97
     columns: int = 16
     significance: float = 2.1
     rows: int = 4096
+    asked: int = 8192
     seed: int = 17
 
 
@@ -53,7 +55,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 def _nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(axis=1) / 2
-    return np.concatenate([(half - x[a : a + 4096] @ c.T).argmin(axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.empty(0, int)
+    return np.concatenate([(half - x[a : a + 1024] @ c.T).argmin(axis=1) for a in range(0, len(x), 1024)]) if len(x) else np.empty(0, int)
 
 
 def scan_block(q: np.ndarray, v: np.ndarray, k: int, columns: int, significance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,8 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnIndex = AnnIndex()) -> D
     rng = np.random.default_rng(p.seed)
     turn = np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0]
     k_lists = max(1, min(p.lists, round(total**0.5)))
-    seen = np.array([r.embedding for r in v.orderBy(F.xxhash64("vec_id")).limit(p.sample).select("embedding").toLocalIterator()])
+    seen = v.orderBy(F.xxhash64("vec_id")).limit(max(p.sample, 10 * k_lists)).select("embedding").toArrow()
+    seen = seen["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
 
     def lifted(x: np.ndarray, query: bool) -> np.ndarray:
         """Extended so that distance orders as inner product, scaled to the longest vector, rotated."""
@@ -153,11 +156,7 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnIndex = AnnIndex()) -> D
             yield pa.RecordBatch.from_arrays([b["vec_id"].take(of), b["embedding"].take(of), pa.array(best.ravel().astype(np.int32))], ["query_id", "embedding", "list"])
 
     dealt = written(v.mapInArrow(deal, "vec_id long, embedding array<double>, is_query boolean, list int"), "ann-lists")
-    sizes = dealt.groupBy("list").count().withColumn("pieces", F.ceil(F.col("count") / p.rows).cast("int"))  # a row a list
-    pieces = sizes.select("list", "pieces")
-    cands = dealt.join(pieces, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"), "vec_id", "embedding")
-    share = F.lit(max(1, -(-total // (20 * p.rows)))).cast("int")
-    cands = cands.withColumn("part", F.explode(F.sequence(F.lit(0), share - 1)))
+    pieces = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.rows).cast("int").alias("pieces"))  # a row a list
 
     def search(left, right):
         rows: list[tuple] = []
@@ -179,8 +178,12 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnIndex = AnnIndex()) -> D
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     def run(asked: DataFrame) -> DataFrame:
-        asked = asked.join(pieces, "list")
-        asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), share).cast("int"))
+        """A list is cut into pieces by its candidates and into parts by the queries that probe it: a candidate is copied once for every ``asked`` of those."""
+        asked = written(asked, "ann-asked")
+        grid = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.asked).cast("int").alias("parts")).join(pieces, "list")
+        grid = written(grid, "ann-grid")  # a row a list
+        cands = dealt.join(F.broadcast(grid), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "embedding")
+        asked = asked.join(F.broadcast(grid), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "embedding")
         found = cands.groupBy("list", "piece", "part").cogroup(asked.groupBy("list", "piece", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
