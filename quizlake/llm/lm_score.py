@@ -1,81 +1,71 @@
 """Operator 3, language-model scores by stupid backoff.
 
-Counts of n-grams are gathered from the whole corpus, by hash: every task adds up the n-grams of a batch of
-documents and sends each bucket of the hash space one packed row (hashes and counts) instead of a row an
-n-gram, so a frequent n-gram leaves a task once, however many documents hold it. In each bucket the batches'
-counts meet, sums are taken, and every batch gets the sums of its own n-grams back, in its own order: the join
-of count table and exploded n-grams. Batches then add up their documents' scores.
+Relational throughout: documents are exploded into their n-grams, known by 64-bit hashes; rows ``gram, batch, n``
+are dealt by hash and summed to the table of counts, which goes back to the batches' n-grams; each batch of
+documents then adds up its documents' scores. A frequent n-gram is one row a batch, however many documents of it
+hold the n-gram, so no hash has more rows than there are batches.
+
+Orders are counted one after another. An n-gram is at most as frequent as the two shorter ones it holds, so
+only those are sent of which both have reached the count from which an n-gram counts as seen: no other can.
 """
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, text_of, written
+from .common import forget, text_of, written
 from .shingles import WordHashes, joined
 
-#: Bits of a hash. Sorted hashes of a batch then lie so near each other that their differences take about 4 bytes.
-_BITS = 48
-_DROPPED = np.uint64(64 - _BITS)
-
-_BATCH = "batch string, doc_ids array<{kind}>, sizes binary, vocab binary, words binary, n_words long"
 
-
-def _orders(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each n up to ``order``: hashes of the n-grams inside the texts, and the text of each."""
+def _grams(words: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams inside the texts, and the place of each one's last word."""
     text = np.repeat(np.arange(len(sizes)), sizes)
-    out = []
-    for n in range(1, order + 1):
-        same = text[: len(text) - n + 1] == text[n - 1 :]
-        # n is part of the hash: orders share one table
-        out.append((joined(words ^ np.uint64(n), n)[same] >> _DROPPED, text[n - 1 :][same]))
-    return out
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    same = text[: len(text) - n + 1] == text[n - 1 :]
+    return joined(words ^ np.uint64(n), n)[same], np.flatnonzero(same) + n - 1
 
 
-def _distinct(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([h for h, _ in _orders(words, sizes, order)]), return_counts=True)
+def _counts(grams: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The totals of ``grams`` from a table sorted by ``known``; 0 for those it lacks."""
+    if not len(known):
+        return np.zeros(len(grams), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, totals[at], 0)
 
 
-def _split(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes: buckets are equal ranges of the hash space."""
-    edges = np.array([(k << _BITS) // buckets for k in range(buckets)], dtype=np.uint64)
-    return np.append(np.searchsorted(hashes, edges), len(hashes))
+def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and totals of ``gram, total`` rows."""
+    grams, totals = rows["gram"].to_numpy().view(np.uint64), rows["total"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], totals[order]
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: int = 2, buckets: int | None = None, batch_words: int = 600_000) -> DataFrame:
-    """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
+def _texts(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a batch, and the number of words of each text."""
+    words, vocab, sizes = (batch[c].chunk(0).flatten().to_numpy() if len(batch) else np.empty(0, np.int64) for c in ("words", "vocab", "sizes"))
+    return vocab.view(np.uint64)[words], sizes.astype(np.int64)
 
-    Words are runs of characters other than ASCII white space, as written. The score of word w after context c is
-    count(c w) / count(c) where count(c w) >= ``least``, else ``alpha`` times the score after the context
-    without its first word; without a context it is count(w) / N. Counts cover all documents, N is the number of
-    words. With ``least`` 2 an n-gram that a document alone has, once, isn't evidence for itself. ``log_score``
-    is the sum of natural logarithms over the document's words; contexts don't reach over documents. Null and
-    empty texts have n_words 0, log_score 0 and a null mean. Repeated rows count as often as they stand there;
-    an empty table gives an empty result.
-
-    ``buckets`` follows the session's shuffle partitions, so a bucket's size stays the same as data and
-    cluster grow. Hashes have 48 bits: of a billion different n-grams about four in a million share theirs with
-    another, which adds up the counts of the two.
-    """
-    spark = docs.sparkSession
+
+def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
+    """``batch, doc_ids, sizes, vocab, words, n_words``: documents in batches of about ``batch_words`` words, each word as its place among the batch's different ones."""
     kind = dict(docs.dtypes)["doc_id"]
-    buckets = buckets or 2 * parts(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         ids, texts, total = [], [], 0
 
         def full() -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in texts], dtype=np.uint32)
-            vocab, index = np.unique(np.concatenate(texts) >> _DROPPED, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([_pack(vocab)], pa.binary()), pa.array([_squeeze(index.astype(np.uint32))], pa.binary()), pa.array([len(index)], pa.int64())], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
+            vocab, index = np.unique(np.concatenate(texts), return_inverse=True)
+            columns = [int.from_bytes(os.urandom(7), "little"), ids, [len(t) for t in texts], vocab.view(np.int64), index.astype(np.int32), len(index)]
+            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
@@ -84,102 +74,90 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, least: i
                 ids.append(i)
                 texts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
                 total += len(words)
-                if total >= batch_words:
+                if total >= batch_words or len(ids) >= batch_words:
                     yield full()
                     ids, texts, total = [], [], 0
         if ids:
             yield full()
 
-    packed = written(text_of(docs, "doc_id", "text").mapInArrow(pack, _BATCH.format(kind=kind)), "lm-batches")
-
-    def unpack(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-        index = _stretch(b["words"][k].as_py(), np.uint32)
-        return _unpack(b["vocab"][k].as_py())[index], np.frombuffer(b["sizes"][k].as_py(), dtype=np.uint32).astype(np.int64)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(len(b)):
-                hashes, counts = _distinct(*unpack(b, k), order)
-                at = _split(hashes, buckets)
-                counts = counts.astype(np.uint32)
-                spans = [(j, s, e) for j, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([j for j, _, _ in spans], pa.int32()), pa.array([b["batch"][k].as_py()] * len(spans), pa.string()), pa.array([_pack(hashes[s:e]) for _, s, e in spans], pa.binary()), pa.array([_narrow(counts[s:e]) for _, s, e in spans], pa.binary())],
-                    ["bucket", "batch", "hashes", "counts"],
-                )
-
-    asked = packed.select("batch", "sizes", "vocab", "words").mapInArrow(ask, "bucket int, batch string, hashes binary, counts binary")
-
-    def answer(key, table):
-        hashes = [_unpack(x.as_py()) for x in table["hashes"]]
-        counts = [_wide(x.as_py()) for x in table["counts"]]
-        every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-        ends = np.cumsum([len(h) for h in hashes])
-        got = [_narrow(x) for x in np.split(sums[inverse], ends[:-1])]
-        return pa.table({"batch": table["batch"].cast(pa.string()), "bucket": table["bucket"].cast(pa.int32()), "sums": pa.array(got, pa.binary())})
-
-    answers = asked.groupBy("bucket").applyInArrow(answer, "batch string, bucket int, sums binary")
-    total = packed.agg(F.sum("n_words")).first()[0] or 0
-
-    def score(key, left, right):
-        batch = left.combine_chunks().to_batches()[0]
-        words, sizes = unpack(batch, 0)
-        parts_ = sorted(zip(right["bucket"].to_pylist(), right["sums"].to_pylist(), strict=True)) if len(words) else []
-        hashes, _ = _distinct(words, sizes, order) if len(words) else (np.empty(0, np.uint64), None)
-        sums = np.concatenate([_wide(x) for _, x in parts_]) if parts_ else np.empty(0, np.int64)
-        grams = _orders(words, sizes, order)
-        seen = [sums[np.searchsorted(hashes, h)] for h, _ in grams]
-        logs = np.log(np.maximum(seen[0], 1) / max(total, 1)) if len(words) else np.empty(0)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        place = np.arange(len(words)) - np.repeat(first, sizes)
-        for n in range(2, order + 1):
-            at = np.flatnonzero(place >= n - 1)  # the last words of the n-grams, in order
-            context = seen[n - 2][_rank(place, n - 1, at - 1)]
-            better = np.where(seen[n - 1] >= least, np.log(np.maximum(seen[n - 1], 1) / np.maximum(context, 1)), np.log(alpha) + logs[at])
-            logs = logs.copy()
-            logs[at] = better
-        sums_ = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
-        return pa.table({"doc_id": batch["doc_ids"].values, "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums_, pa.float64()), "mean_log_score": pa.array([s / n if n else None for s, n in zip(sums_.tolist(), sizes.tolist(), strict=True)], pa.float64())})
-
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")
-
-
-def _rank(place: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """The number, among all n-grams, of those that end at the words ``at``."""
-    return (np.cumsum(place >= n - 1) - 1)[at]
-
+    return text_of(docs, "doc_id", "text").mapInArrow(pack, f"batch long, doc_ids array<{kind}>, sizes array<int>, vocab array<long>, words array<int>, n_words long")
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Numbers, compressed plane by plane: first the lowest byte of all, last the highest."""
-    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
-
-
-def _stretch(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return planes.T.copy().view(kind).ravel()
 
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_words: int = 2_000_000) -> DataFrame:
+    """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
 
-def _pack(rising: np.ndarray) -> bytes:
-    """Rising numbers (uint64) as differences; what they have in their higher bytes takes next to no room."""
-    return _squeeze(np.diff(rising, prepend=np.uint64(0)))
+    Words are runs of characters other than ASCII white space, as written. The score of word w after context c is
+    count(c w) / count(c) where count(c w) >= ``least``, else ``alpha`` times the score after the context
+    without its first word; without a context it is count(w) / N. Counts cover all documents, N is the number of
+    words. A document's own n-grams are in the counts, so with ``least`` 1 nothing would ever back off; with 2 an
+    n-gram that a document alone has, once, isn't evidence for itself. ``log_score`` is the sum of natural
+    logarithms over the document's words; contexts don't reach over documents. Null and empty texts have n_words
+    0, log_score 0 and a null mean. Repeated rows count as often as they stand there; an empty table gives an
+    empty result.
 
+    A task holds a batch of documents and the counts of that batch's n-grams, whatever the size of the corpus.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    tokens = written(_tokens(docs, batch_words), "lm-tokens")
+    texts = tokens.select("batch", "sizes", "vocab", "words")
+    asked_schema = pa.schema([("gram", pa.int64()), ("batch", pa.int64()), ("n", pa.int32())])
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_stretch(data, np.uint64), dtype=np.uint64)
+    def rows(batch: int, grams: np.ndarray) -> pa.Table:
+        every, n = np.unique(grams, return_counts=True)
+        return pa.table([every.view(np.int64), np.full(len(every), batch), n.astype(np.int32)], schema=asked_schema)
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                one = pa.Table.from_batches([b.slice(k, 1)]).combine_chunks()
+                yield from rows(one["batch"][0].as_py(), _grams(*_texts(one), 1)[0]).to_batches()
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each where all but a few are small; the large ones follow as (place, count)."""
-    big = np.flatnonzero(counts > 254)
-    small = np.where(counts > 254, 255, counts).astype(np.uint8)
-    return len(counts).to_bytes(8, "little") + small.tobytes() + big.astype(np.uint32).tobytes() + counts[big].astype(np.uint64).tobytes()
+    def longer(n: int):
+        def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            words, sizes = _texts(left.combine_chunks())
+            shorter, at = _grams(words, sizes, n - 1)
+            seen = np.zeros(len(words), dtype=bool)
+            seen[at] = _counts(shorter, *_table(right)) >= least
+            grams, at = _grams(words, sizes, n)
+            return rows(key[0].as_py(), grams[seen[at] & seen[at - 1]])
 
+        return ask
 
-def _wide(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.frombuffer(data, dtype=np.uint8, count=n, offset=8).astype(np.int64)
-    many = (len(data) - 8 - n) // 12
-    if many:
-        out[np.frombuffer(data, dtype=np.uint32, count=many, offset=8 + n)] = np.frombuffer(data[8 + n + 4 * many :], dtype=np.uint64)
+    answers: list[DataFrame] = []
+    for n in range(1, order + 1):
+        if n == 1:
+            asked = texts.mapInArrow(single, "gram long, batch long, n int")
+        else:
+            asked = texts.groupBy("batch").cogroup(answers[-1].groupBy("batch")).applyInArrow(longer(n), "gram long, batch long, n int")
+        total = F.sum("n").over(Window.partitionBy("gram"))
+        counted = asked.withColumn("total", total).where(F.col("total") >= (least if n > 1 else 2))  # a word that isn't sent back occurs once
+        answers.append(written(counted.select("batch", F.lit(n).alias("len"), "gram", "total"), f"lm-counts-{n}"))
+
+    every = answers[0]
+    for a in answers[1:]:
+        every = every.unionByName(a)
+    words_in_all = tokens.agg(F.sum("n_words")).first()[0] or 0
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        words, sizes = _texts(left)
+        lens = right["len"].to_numpy()
+        tables = [_table(right.filter(pa.array(lens == n))) for n in range(1, order + 1)]
+        count = np.maximum(_counts(_grams(words, sizes, 1)[0], *tables[0]), 1)
+        logs = np.log(count / max(words_in_all, 1))
+        context = count.astype(float)  # of the (n - 1)-gram that ends at a word
+        for n in range(2, order + 1):
+            grams, at = _grams(words, sizes, n)
+            count = _counts(grams, *tables[n - 1])
+            seen = count >= least
+            logs[at] = np.where(seen, np.log(np.where(seen, count, 1) / np.where(seen, context[at - 1], 1)), np.log(alpha) + logs[at])
+            context = np.zeros(len(words))
+            context[at] = count
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
+        mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
+        return pa.table({"doc_id": left["doc_ids"].chunk(0).flatten(), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
+
+    scored = tokens.select("batch", "doc_ids", "sizes", "vocab", "words").groupBy("batch").cogroup(every.groupBy("batch"))
+    out = written(scored.applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double"), "lm-scores")
+    forget(tokens, *answers)
     return out

@@ -29,12 +29,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams, as its SQL has it."""
-    return _lm_score(spark, sf_dir, 2)
+    """Trigrams, with two steps of backoff."""
+    return _lm_score(spark, sf_dir, 3)
 
 
-def op3_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lm_score(spark, sf_dir, 3)
+def op3_lm_score_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm_score(spark, sf_dir, 2)
 
 
 def _lm_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
@@ -73,13 +73,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_trigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
-    "op3_lm_score": rf"""
+    "op3_lm_score_bigrams": rf"""
         with w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
         t as (select rid, i, ws[i] w, case when i > 1 then ws[i - 1] end c from (select rid, ws, unnest(generate_series(1, len(ws))) i from w)),
         uni as (select w, count(*) n from t group by w),
@@ -90,7 +90,7 @@ ORACLE_SQL = {
         d as (select rid, sum(l) l from s group by rid)
         select w.doc_id, cast(len(ws) as bigint) n_words, round(coalesce(d.l, 0.0), 3) log_score, round(d.l / len(ws), 6) mean_log_score
         from w left join d using (rid)""",
-    "op3_lm_score_trigrams": rf"""
+    "op3_lm_score": rf"""
         with w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
         t as (select rid, i, ws[i] w, case when i > 1 then ws[i - 1] end c, case when i > 2 then ws[i - 2] end b from (select rid, ws, unnest(generate_series(1, len(ws))) i from w)),
         uni as (select w, count(*) n from t group by w),

@@ -122,30 +122,29 @@ def test_training_sample_of_a_repeated_id(spark):
 
 # ---- 3
 
-def brute_lm(rows, least=2, alpha=0.4):
+def brute_lm(rows, order, least=2, alpha=0.4):
     words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in rows}
-    one = collections.Counter(w for ws in words.values() for w in ws)
-    two = collections.Counter(p for ws in words.values() for p in zip(ws, ws[1:]))
-    n = sum(one.values())
-    out = {}
-    for k, ws in words.items():
-        s = 0.0
-        for i, w in enumerate(ws):
-            s += math.log(two[ws[i - 1], w] / one[ws[i - 1]]) if i and two[ws[i - 1], w] >= least else math.log((alpha if i else 1) * one[w] / n)
-        out[k] = (len(ws), s)
-    return out
-
-
-def test_lm(spark):
+    count = collections.Counter(tuple(ws[i : i + n]) for ws in words.values() for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    every = sum(map(len, words.values()))
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(count[gram] / every)
+        return math.log(count[gram] / count[gram[:-1]]) if count[gram] >= least else math.log(alpha) + score(gram[1:])
+
+    return {k: (len(ws), sum(score(tuple(ws[max(0, i - order + 1) : i + 1])) for i in range(len(ws)))) for k, ws in words.items()}
+
+
+@pytest.mark.parametrize("order,least,batch_words", [(2, 2, 10), (3, 2, 10), (3, 2, 2_000_000), (4, 3, 100), (1, 2, 50), (3, 1, 1000)])
+def test_lm(spark, order, least, batch_words):
     rng = random.Random(4)
-    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))) for k in range(50)] + [(90, None), (91, ""), (92, "\t \n"), (93, "a b " * 3000)]
-    for words in (10, 600_000):
-        got = {r.doc_id: r for r in lm_score.backoff_scores(docs(spark, *rows), batch_words=words).collect()}
-        want = brute_lm(rows)
-        assert set(got) == set(want)
-        for k, (n, s) in want.items():
-            assert got[k].n_words == n and math.isclose(got[k].log_score, s, abs_tol=1e-6)
-            assert (got[k].mean_log_score is None) == (n == 0)
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))) for k in range(50)] + [(90, None), (91, ""), (92, "\t \n"), (93, "a b " * 3000), (94, "once")]
+    got = {r.doc_id: r for r in lm_score.backoff_scores(docs(spark, *rows), order, least=least, batch_words=batch_words).collect()}
+    want = brute_lm(rows, order, least)
+    assert set(got) == set(want)
+    for k, (n, s) in want.items():
+        assert got[k].n_words == n and math.isclose(got[k].log_score, s, abs_tol=1e-6)
+        assert (got[k].mean_log_score is None) == (n == 0)
     assert lm_score.backoff_scores(docs(spark, *rows).limit(0)).count() == 0
 
 

@@ -19,7 +19,7 @@ def test_trigrams_are_counted(spark, tmp_path):
     """The context "x b" tells what comes next, "b" alone doesn't; a query of bigrams scores both documents the same."""
     texts = ["x b c", "x b c", "y b d", "y b d", "x b d", "y b c"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.log_score for r in QUERIES["op3_lm_score_trigrams"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.log_score for r in QUERIES["op3_lm_score"](spark, str(tmp_path)).collect()}
     assert got[0] == round(math.log(3 / 18) + math.log(3 / 3) + math.log(2 / 3), 3)
     assert got[4] == round(math.log(3 / 18) + math.log(3 / 3) + math.log(0.4 * 3 / 6), 3)
 
