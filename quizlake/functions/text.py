@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,6 +63,42 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def encoded(*groups: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each group of texts (codes, lengths): a row of small character numbers a text, common to all groups, filled up with 0."""
+    points = [np.frombuffer("".join(g).encode("utf-32-le"), dtype=np.uint32) for g in groups]
+    _, numbers = np.unique(np.concatenate(points), return_inverse=True)
+    out, at = [], 0
+    for g, x in zip(groups, points, strict=True):
+        lengths = np.array([len(t) for t in g], dtype=np.int64)
+        codes = np.zeros((len(g), int(lengths.max(initial=0))), dtype=np.int32)
+        codes[np.arange(codes.shape[1])[None, :] < lengths[:, None]] = numbers[at : at + len(x)] + 1
+        out.append((codes, lengths))
+        at += len(x)
+    return out
+
+
+def lcs_lengths(text: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """``lcs_length`` of one text with many, all as ``encoded`` numbers up to ``most``: the same steps for all at once, in words of 64 positions of the text."""
+    n, words = len(text), -(-len(text) // 64)
+    where = np.zeros((words, most + 1), dtype=np.uint64)
+    for k, x in enumerate(text.tolist()):
+        where[k // 64, x] |= np.uint64(1 << k % 64)
+    row = np.full((words, len(others)), ~np.uint64(0))
+    for column in others.T:
+        carry = np.uint64(0)
+        for w in range(words):
+            old = row[w]
+            hit = old & where[w, column]
+            total = old + hit
+            more = total < old
+            total += carry
+            carry = (more | (total < carry)).astype(np.uint64)
+            row[w] = total | (old - hit)
+    if n % 64:
+        row[-1] |= ~np.uint64((1 << n % 64) - 1)
+    return n - (np.bitwise_count(row).sum(axis=0).astype(np.int64) - (64 * words - n)) if words else np.zeros(len(others), dtype=np.int64)
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -96,6 +133,7 @@ MODERATE_WORDS = ("réponse", "réponses", "rep.", "answers")
 DETECT_WORDS = ("corrigé", "correction", "réponse", "rep.", "answers", "clé", "answer key")
 SIMPLE_WORDS = ("corrigé", "correction", "réponse", "rep.")
 
+#: Patterns of the page scores and of the split scan below.
 TABLE_HEAD = r"(?iu)\|(?U)\s*a\s*\|\s*b\s*\|\s*c"
 
 

@@ -81,14 +81,14 @@ def answer_key(pages: DataFrame) -> DataFrame:
 
 
 def apply_key(questions: DataFrame, key: DataFrame) -> DataFrame:
-    """``correct`` from the key by (doc_id, number), the old answer where the key has none or a blank one."""
-    k = key.select("doc_id", "number", F.when(F.trim("answer") != "", F.col("answer")).alias("_new"))
+    """``correct`` from the key by (doc_id, number), the old answer where the key has none or a blank one; of repeated key rows the greatest answer counts."""
+    k = key.groupBy("doc_id", "number").agg(F.max(F.when(F.trim("answer") != "", F.col("answer"))).alias("_new"))
     return questions.join(k, ["doc_id", "number"], "left").withColumn("correct", F.coalesce("_new", "correct")).drop("_new")
 
 
 def fill_gaps(questions: DataFrame, key: DataFrame) -> DataFrame:
-    """Only blank answers are filled."""
-    k = key.select("doc_id", "number", F.col("answer").alias("_new"))
+    """Only blank answers are filled; of repeated key rows the greatest answer counts."""
+    k = key.groupBy("doc_id", "number").agg(F.max("answer").alias("_new"))
     blank = F.coalesce(F.trim("correct"), F.lit("")) == ""
     return questions.join(k, ["doc_id", "number"], "left").withColumn("correct", F.when(blank, F.coalesce("_new", "correct")).otherwise(F.col("correct"))).drop("_new")
 

@@ -58,13 +58,45 @@ def cascade(rows: DataFrame, rule: Column, model: Callable[[DataFrame], DataFram
     return done.unionByName(rest, allowMissingColumns=True)
 
 
+def extract(rows: DataFrame, prompt: Column, primary: Model, schema: str, fallback: Model | None = None, **how) -> DataFrame:
+    """Prompt, call and parse in one: ``rows`` with what ``complete`` adds and ``objects``, the reply's objects (null where none can be read).
+
+    The prompt is a column and the models are the caller's, so this is extraction, metadata, categories or
+    repair according to what is asked.
+    """
+    done = complete(rows.withColumn("_prompt", prompt), "_prompt", primary, fallback, **how).drop("_prompt")
+    return parse_replies(done, "content", schema)
+
+
+def method_counts(rows: DataFrame) -> DataFrame:
+    """How many rows a ``cascade`` settled by rule and by model."""
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_object(content: Column) -> Column:
+    """The one object of a reply as ``map<string,string>``, from its first opening to its last closing brace; null where it can't be read."""
+    body = F.regexp_extract(content, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, "map<string,string>"))
+
+
 def parse_objects(content: Column, schema: str) -> Column:
-    """The objects of a reply, as ``array<schema>``: as they stand, else repaired; null where neither can be read."""
+    """The objects of a reply, as ``array<schema>``: as they stand, else repaired; null where neither can be read. ``parse_replies`` does less work a row."""
     as_list = lambda c: F.when(F.startswith(c, F.lit("{")), F.concat(F.lit("["), c, F.lit("]"))).otherwise(c)
     good = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, f"array<{schema}>"))
     return F.coalesce(good(as_list(json_body(content))), good(as_list(json_repair(content))))
 
 
+def parse_replies(rows: DataFrame, content: str, schema: str) -> DataFrame:
+    """``rows`` with ``objects``, ``array<schema>`` from the replies: as they stand, else repaired; null where neither can be read.
+
+    Bodies are columns of their own, so that each pattern runs once a row, and the repair only where it is needed.
+    """
+    as_list = lambda c: F.when(F.startswith(c, F.lit("{")), F.concat(F.lit("["), c, F.lit("]"))).otherwise(c)
+    plain = rows.withColumn("_body", as_list(json_body(F.col(content))))
+    plain = plain.withColumn("_body", F.when(F.try_parse_json("_body").isNotNull(), F.col("_body")).otherwise(as_list(json_repair(F.col(content)))))
+    return plain.withColumn("objects", F.when(F.try_parse_json("_body").isNotNull(), F.from_json("_body", f"array<{schema}>"))).drop("_body")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def salvage_objects(content: pd.Series) -> pd.Series:
     """Every JSON object that can be read anywhere in a broken reply, as JSON text."""
@@ -104,3 +136,10 @@ def parse_fix_blocks(replies: DataFrame) -> DataFrame:
     pages = F.arrays_zip(F.regexp_extract_all("body", F.lit(page), 1).alias("page"), F.regexp_extract_all("body", F.lit(page), 2).alias("text"))
     out = blocks.select("doc_id", "fix", F.explode(pages).alias("p"))
     return out.select("doc_id", "fix", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.text", r"^\s+|\s+$", "").alias("text"))
+
+
+def apply_fix_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pages with the texts of ``parse_fix_blocks`` in place of their own, and ``fixed``. Of texts for one page that of the last block counts."""
+    new = blocks.groupBy("doc_id", "page").agg(F.max(F.struct("fix", "text"))["text"].alias("_text"))
+    out = pages.join(new, ["doc_id", "page"], "left")
+    return out.withColumn("fixed", F.col("_text").isNotNull()).withColumn("text", F.coalesce("_text", "text")).drop("_text")

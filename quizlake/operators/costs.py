@@ -57,11 +57,11 @@ PRICES = (
 def estimate(calls: DataFrame, prices: DataFrame, default: tuple[float, float] = (0.1, 0.1)) -> DataFrame:
     """``cost`` as reported where above 0, else from tokens and the price list (``model, prompt, completion``), unknown models at the default.
 
-    The price list holds a row a model and is broadcast.
+    Of price rows that repeat a model the dearest counts.
     """
-    p = prices.select("model", F.col("prompt").alias("_p"), F.col("completion").alias("_c"))
+    p = prices.groupBy("model").agg(F.max(F.struct("prompt", "completion")).alias("_p")).select("model", F.col("_p.prompt").alias("_p"), F.col("_p.completion").alias("_c"))
     rate = F.col("prompt_tokens") / 1e6 * F.coalesce("_p", F.lit(default[0])) + F.col("completion_tokens") / 1e6 * F.coalesce("_c", F.lit(default[1]))
-    return calls.join(F.broadcast(p), "model", "left").withColumn("cost", F.when(F.col("cost") > 0, F.col("cost")).otherwise(rate)).drop("_p", "_c")
+    return calls.join(p, "model", "left").withColumn("cost", F.when(F.col("cost") > 0, F.col("cost")).otherwise(rate)).drop("_p", "_c")
 
 
 def badges(pages: DataFrame) -> DataFrame:
@@ -70,6 +70,30 @@ def badges(pages: DataFrame) -> DataFrame:
     return per.withColumn("badge", F.when(F.col("pages_ok") == 0, "error").when(F.col("pages_failed") > 0, "warning").otherwise("success"))
 
 
+def question_badges(pages: DataFrame) -> DataFrame:
+    """Of each project: questions and pages without any; error (no question), warning (some page empty) or success. ``pages``: project, n_questions."""
+    per = pages.groupBy("project").agg(F.sum("n_questions").alias("qcms"), F.count_if(F.col("n_questions") == 0).alias("empty_pages"))
+    return per.withColumn("badge", F.when(F.col("qcms") == 0, "error").when(F.col("empty_pages") > 0, "warning").otherwise("success"))
+
+
+def merged_badges(projects: DataFrame, merged: DataFrame) -> DataFrame:
+    """Of each of ``projects`` (project): merged questions, and error where there are none. ``merged``: a row a question, with project."""
+    per = merged.groupBy("project").agg(F.count(F.lit(1)).alias("merged_qcms"))
+    out = projects.select("project").distinct().join(per, "project", "left").withColumn("merged_qcms", F.coalesce("merged_qcms", F.lit(0)))
+    return out.withColumn("badge", F.when(F.col("merged_qcms") == 0, "error").otherwise("success"))
+
+
+def manifest(pages: DataFrame) -> DataFrame:
+    """Totals of a document's page calls. ``pages``: doc_id, page, cost, duration, tokens; repeated calls of a page all cost, the page counts once."""
+    return pages.groupBy("doc_id").agg(F.countDistinct("page").alias("total_pages"), F.sum("cost").alias("total_cost"), F.sum("duration").alias("total_duration"), F.sum("tokens").alias("total_tokens"))
+
+
+def sort_users(users: DataFrame, measure: str = "cost", descending: bool = True) -> DataFrame:
+    """Users by a measure, missing ones as 0, ties by user."""
+    value = F.coalesce(F.col(measure), F.lit(0))
+    return users.orderBy(value.desc() if descending else value.asc(), "user_id")
+
+
 def progress(steps: DataFrame) -> DataFrame:
     """Highest completed step of each project. ``steps``: project, step_ord."""
     return steps.groupBy("project").agg(F.max("step_ord").alias("current_step"))
@@ -97,7 +121,14 @@ def batch_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def cache_stats(hits: DataFrame, misses: DataFrame) -> DataFrame:
+    """``hits, misses`` of a ``cache_split``."""
+    both = hits.select(F.lit(1).alias("hit")).unionByName(misses.select(F.lit(0).alias("hit")))
+    return both.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.count_if(F.col("hit") == 0).alias("misses"))
+
+
 def cache_split(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with ``cached``, misses) of items by the digest of their content. ``items``: id, content; ``cache``: digest, value."""
+    cache = cache.groupBy("digest").agg(F.max("value").alias("value"))
     keyed = items.withColumn("digest", F.md5(F.col("content").cast("binary")))
     return keyed.join(cache.withColumnRenamed("value", "cached"), "digest"), keyed.join(cache, "digest", "left_anti")

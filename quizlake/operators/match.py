@@ -12,10 +12,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio, nonempty, normalize_text, percent, ratio, tier
+from ..functions.text import encoded, indel_ratio, lcs_lengths, nonempty, normalize_text, percent, ratio, tier
+from ..sources.scratch import written
 
 
 def match_text(text: Column, *options: Column, correct: Column | None = None) -> Column:
@@ -49,6 +51,12 @@ def _cut(rows: DataFrame, size: int) -> int:
     return max(1, -(-rows.count() // size))
 
 
+def _bags(codes: np.ndarray, most: int) -> np.ndarray:
+    """How often each character occurs in each text."""
+    at = np.arange(len(codes))[:, None] * (most + 1) + codes
+    return np.bincount(at.ravel(), minlength=len(codes) * (most + 1)).reshape(len(codes), most + 1)[:, 1:].astype(np.int32)
+
+
 def _block_pairs(source: DataFrame, ref: DataFrame, t: float, block: tuple[int, int] = (512, 4096)) -> DataFrame:
     """All pairs within the length band, scored in blocks: lengths share a band of texts, a band is cut into blocks.
 
@@ -64,26 +72,23 @@ def _block_pairs(source: DataFrame, ref: DataFrame, t: float, block: tuple[int,
     id_type = dict(source.dtypes)["id"]
 
     def compare(left, right):
-        def bags(texts):
-            m = np.zeros((len(texts), 37), dtype=np.int32)
-            for k, x in enumerate(texts):
-                for c in x:
-                    m[k, ord(c) - 87 if c >= "a" else ord(c) - 48 if c != " " else 36] += 1
-            return m
-
-        a, b = left["t"].to_pylist(), right["t"].to_pylist()
+        ia, ib = left["id"].to_numpy(zero_copy_only=False), right["id"].to_numpy(zero_copy_only=False)
         out: list[tuple] = []
-        if a and b:
-            x, y = bags(a), bags(b)
-            la, lb = x.sum(axis=1), y.sum(axis=1)
-            ia, ib = left["id"].to_pylist(), right["id"].to_pylist()
+        if len(ia) and len(ib):
+            right = right.take(np.argsort(pc.utf8_length(right["t"]).to_numpy(), kind="stable"))
+            ib = right["id"].to_numpy(zero_copy_only=False)
+            (a, la), (b, lb) = encoded(left["t"].to_pylist(), right["t"].to_pylist())
+            most = int(max(a.max(initial=0), b.max(initial=0)))
+            x, y = _bags(a, most), _bags(b, most)
             for p in range(len(a)):
                 both = np.minimum(x[p], y).sum(axis=1)
-                for q in np.flatnonzero(2 * both >= t * (la[p] + lb) - 1e-9).tolist():
-                    score = ratio(a[p], b[q])
-                    if score >= t:
-                        out.append((ia[p], ib[q], score))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                near = np.flatnonzero(2 * both >= t * (la[p] + lb) - 1e-9)
+                for at in range(0, len(near), 1024):  # by length, so that few steps are taken for short texts beside long ones
+                    q = near[at : at + 1024]
+                    score = 2 * lcs_lengths(a[p, : la[p]], b[q, : lb[q].max()], most) / (la[p] + lb[q])
+                    good = score >= t
+                    out.append((np.repeat(ia[p], good.sum()), ib[q[good]], score[good]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table({"source_id": pa.array(columns[0], left["id"].type), "ref_id": pa.array(columns[1], left["id"].type), "similarity": pa.array(columns[2], pa.float64())})
 
     return s.groupBy("band", "i", "j").cogroup(r.select("id", "t", "band", "i", "j").groupBy("band", "i", "j")).applyInArrow(compare, f"source_id {id_type}, ref_id {id_type}, similarity double")
@@ -97,9 +102,10 @@ def similar_pairs(source: DataFrame, ref: DataFrame, t: float = 0.75, prefix_fro
     """
     def classes(x: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = x.where(F.length("t") >= 5)
-        return own.groupBy("t").agg(F.min("id").alias("id")), own
+        own = written(own.select("id", "t"), "match-texts")
+        return written(own.groupBy("t").agg(F.min("id").alias("id")), "match-classes"), own
 
-    (s, s_all), (r, r_all) = classes(source), classes(ref.where(F.length("t") >= 1))
+    (s, s_all), (r, r_all) = classes(source), classes(ref)
     if t >= prefix_from:
         pairs = _prefix_pairs(s, r, t).join(s.select(F.col("id").alias("source_id"), F.col("t").alias("a")), "source_id").join(r.select(F.col("id").alias("ref_id"), F.col("t").alias("b")), "ref_id")
         pairs = pairs.withColumn("similarity", indel_ratio("a", "b")).where(F.col("similarity") >= t).select("source_id", "ref_id", "similarity")
@@ -157,11 +163,15 @@ def weighted_match(source: DataFrame, ref: DataFrame, t: float = 0.75, text_weig
     kind = dict(source.dtypes)["id"]
 
     def best(left, right):
-        refs = list(zip(right["id"].to_pylist(), right["t"].to_pylist(), right["c"].to_pylist(), strict=True))
+        names, answers = right["id"].to_numpy(zero_copy_only=False), right["c"].to_pylist()
         out: list[tuple] = []
-        for i, a, ca in zip(left["id"].to_pylist(), left["t"].to_pylist(), left["c"].to_pylist(), strict=True):
-            scored = sorted(((ratio(a, b), j, cb) for j, b, cb in refs), key=lambda x: (-x[0], x[1]))[:first]
-            out += [(i, j, x, ratio(ca, cb) if ca and cb else 0.0) for x, j, cb in scored]
+        if len(left) and len(right):
+            (a, la), (b, lb) = encoded(left["t"].to_pylist(), right["t"].to_pylist())
+            most, place = int(max(a.max(initial=0), b.max(initial=0))), np.unique(names, return_inverse=True)[1]
+            for p, (i, ca) in enumerate(zip(left["id"].to_pylist(), left["c"].to_pylist(), strict=True)):
+                score = 2 * lcs_lengths(a[p, : la[p]], b, most) / (la[p] + lb)
+                top = np.lexsort((place, -score))[:first].tolist()
+                out += [(i, names[q], score[q], ratio(ca, answers[q]) if ca and answers[q] else 0.0) for q in top]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"source_id": pa.array(columns[0], left["id"].type), "ref_id": pa.array(columns[1], left["id"].type), "text_similarity": pa.array(columns[2], pa.float64()), "corr_similarity": pa.array(columns[3], pa.float64())})
 
@@ -177,19 +187,61 @@ def match_summary(matches: DataFrame) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("matched"), F.round(F.avg("similarity"), 4).alias("mean_similarity"), *[F.count_if(F.col("tier") == x).alias(x) for x in ("green", "yellow", "red")])
 
 
+#: Fields of a short record, columns of the report and of the full export.
+SLIM = ("Num", "Text", "A", "B", "C", "D", "E", "Correct", "Year", "subcategoryName", "categoryName", "Tag", "Source")
+_OWN = (("Num", "num"), ("Text", "question"), ("Correct", "correct"), ("Year", "year"), ("subcategoryName", "sub"))
+EXPORT = (
+    ("Num", "Num"), ("Text", "Question"), ("A", "A"), ("B", "B"), ("C", "C"), ("D", "D"), ("E", "E"), ("Correct", "Correct"), ("Year", "Year"),
+    ("categoryName", "Category"), ("subcategoryName", "Subcategory"), ("Tag", "Tag"), ("Source", "Source"),
+)
+EXPORT_REF = (("Num", "Ref #"), ("Text", "Ref Question"), ("Correct", "Ref Correct"), ("Year", "Ref Year"))
+
+
+def slim(rows: DataFrame, fields: tuple[str, ...] = SLIM) -> Column:
+    """A record of ``fields`` as text; one that is missing or null is taken from the name in lower case, else empty."""
+    have = {f.name for f in rows.schema.fields}
+    pick = lambda n: F.coalesce(*[F.col(f"`{c}`").cast("string") for c in (n, n.lower()) if c in have], F.lit(""))
+    return F.struct(*[pick(n).alias(n) for n in fields])
+
+
+def full(rows: DataFrame, tags: str = "Tag") -> Column:
+    """A record of all columns, a list of tags as joined text."""
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ", ")
+    return F.struct(*[(joined(n) if n == tags and t.startswith("array") else F.col(f"`{n}`")).alias(n) for n, t in rows.dtypes])
+
+
+def order_matches(matches: DataFrame) -> DataFrame:
+    """Best first, unmatched last, ties by source."""
+    return matches.orderBy(F.desc_nulls_last("similarity"), "source_id")
+
+
+def _text(record: str, field: str, have: set[str]) -> Column:
+    return F.coalesce(F.col(f"{record}.{field}").cast("string"), F.lit("")) if field in have else F.lit("")
+
+
+def _fields(rows: DataFrame, record: str) -> set[str]:
+    return set(rows.schema[record].dataType.names)
+
+
 def match_report(matches: DataFrame, mode: str = "text_only") -> DataFrame:
-    """The 14 columns of the report and the colour band, best first.
+    """The 14 columns of the report and the colour band, best first, ties by the source's number.
 
     ``matches``: ``similarity, text_similarity, corr_similarity`` and structs ``source, ref`` of template columns.
     """
-    pick = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit(""))
     score = lambda c: F.when(F.col(c).isNotNull(), percent(F.col(c))).otherwise("")
-    own = [("Num", "num"), ("Text", "question"), ("Correct", "correct"), ("Year", "year"), ("subcategoryName", "sub")]
-    columns = [*[pick("source", c).alias(f"source_{n}") for c, n in own], *[score(c).alias(n) for c, n in (("similarity", "match_score"), ("text_similarity", "text_score"), ("corr_similarity", "corr_score"))], F.lit(mode).alias("mode"), *[pick("ref", c).alias(f"ref_{n}") for c, n in own]]
-    return matches.where("similarity > 0").select(*columns, tier(F.col("similarity")).alias("band"))
+    pick = lambda side: [_text(side, c, _fields(matches, side)).alias(f"{side}_{n}") for c, n in _OWN]
+    columns = [*pick("source"), *[score(c).alias(n) for c, n in (("similarity", "match_score"), ("text_similarity", "text_score"), ("corr_similarity", "corr_score"))], F.lit(mode).alias("mode"), *pick("ref")]
+    return matches.where("similarity > 0").orderBy(F.desc("similarity"), "source.Num").select(*columns, tier(F.col("similarity")).alias("band"))
 
 
 def match_export(matches: DataFrame, low: float = 0.0, high: float = 0.6, ids: DataFrame | None = None) -> DataFrame:
     """Matches with ``low`` <= similarity <= ``high``, or those of ``ids`` (``qcm_id``), labelled; ``No match`` at 0."""
-    chosen = matches.where(F.col("similarity").between(low, high)) if ids is None else matches.join(ids, "qcm_id", "left_semi")
+    chosen = matches.where(F.col("similarity").between(low, high)) if ids is None else matches.join(ids.select("qcm_id").distinct(), "qcm_id", "left_semi")
     return chosen.withColumn("label", F.when(F.col("similarity") == 0, "No match").otherwise(percent(F.col("similarity"))))
+
+
+def export_sheet(matches: DataFrame) -> DataFrame:
+    """The 19 columns of the full export and the colour band (grey without a match), from ``match_export``."""
+    own, ref = _fields(matches, "source"), _fields(matches, "ref")
+    band = F.when(F.col("similarity") == 0, "grey").otherwise(tier(F.col("similarity")))
+    return matches.select(F.col("qcm_id").alias("ID"), *[_text("source", c, own).alias(n) for c, n in EXPORT], F.col("label").alias("Similarity"), *[_text("ref", c, ref).alias(n) for c, n in EXPORT_REF], band.alias("band"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.text import first_nonempty, nonempty, sequence_ratio
+from ..functions.text import first_nonempty, nonempty
 
 
 def carry_forward(rows: DataFrame, value: str, partition: str = "doc_id", order: tuple[str, ...] = ("page", "pos"), out: str = "cas") -> DataFrame:
@@ -32,8 +35,8 @@ def fill_metadata(rows: DataFrame, fields: list[str], per_doc: DataFrame, per_fi
     values, ``S`` skip. ``per_doc``: doc_id and fields; ``per_file``: doc_id, file and fields.
     """
     fallback, strategy = fallback or {}, strategy or {}
-    d = per_doc.select("doc_id", *[F.col(f).alias(f"_d_{f}") for f in fields])
-    p = per_file.select("doc_id", "file", *[F.col(f).alias(f"_p_{f}") for f in fields])
+    d = per_doc.groupBy("doc_id").agg(*[F.max(f).alias(f"_d_{f}") for f in fields])  # a repeated key must not double rows
+    p = per_file.groupBy("doc_id", "file").agg(*[F.max(f).alias(f"_p_{f}") for f in fields])
     out = rows.join(d, "doc_id", "left").join(p, ["doc_id", "file"], "left")
     for f in fields:
         how = strategy.get(f, "P")
@@ -60,11 +63,10 @@ def domain_of(c: Column) -> Column:
 def keyword_category(rows: DataFrame, modules: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, module, keyword`` of the longest keyword a text holds, in its domain (both have ``domain``), ties by module order.
 
-    ``modules``: ``domain, module, module_ord, keywords``, a dimension of a few hundred keywords; their number is
-    bounded by the subject list, so it is broadcast.
+    ``modules``: ``domain, module, module_ord, keywords``. Which side is broadcast is left to Spark, which knows their sizes.
     """
     words = modules.select("domain", "module", "module_ord", F.explode("keywords").alias("keyword"))
-    hit = rows.select(key, "domain", F.lower(text).alias("t")).join(F.broadcast(words), "domain").where(F.contains("t", F.lower("keyword")))
+    hit = rows.select(key, "domain", F.lower(text).alias("t")).join(words, "domain").where(F.contains("t", F.lower("keyword")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("keyword")), "module_ord", "keyword"))
     return hit.withColumn("rn", rank).where("rn = 1").select(key, "module", "keyword")
 
@@ -73,23 +75,41 @@ def resolve_module(rows: DataFrame, modules: DataFrame, answer: str = "answer",
     """The module that a reply names: equal, else contained (first in order), else ``Autre``."""
     m = modules.select("domain", "module", "module_ord", F.lower("module").alias("m"))
     r = rows.withColumn("_t", F.translate(F.trim(F.lower(answer)), "\"'", ""))
-    hit = r.select(key, "domain", "_t").join(F.broadcast(m), "domain").where(F.contains("_t", F.col("m")))
+    hit = r.select(key, "domain", "_t").join(m, "domain").where(F.contains("_t", F.col("m")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.when(F.col("m") == F.col("_t"), 0).otherwise(1), "module_ord"))
     best = hit.withColumn("rn", rank).where("rn = 1").select(key, "module")
     return rows.join(best, key, "left").withColumn("module", F.coalesce("module", F.lit("Autre")))
 
 
-def nearest_module(names: DataFrame, modules: DataFrame, least: float = 0.6) -> DataFrame:
+def nearest_module(names: DataFrame, modules: DataFrame, least: float = 0.6, block: int = 512) -> DataFrame:
     """``name, module, confidence`` of distinct names: equal 1, else the larger of sequence ratio and 0.85 where one contains the other; above ``least``.
 
-    Every name meets every module: the module list is a dimension of a few dozen rows.
+    The ratio of two texts depends on which comes first and has no bound by common parts that would make an
+    equi-join, so each name is compared with every module: names are dealt over tasks, and the modules come to
+    them in blocks of ``block``, each of which keeps its best.
     """
     n = names.select("name").distinct().withColumn("n", F.trim(F.lower("name"))).where("n <> ''")
-    both = n.crossJoin(F.broadcast(modules.select("module", "module_ord", F.lower("module").alias("m"))))
-    near = F.contains("n", F.col("m")) | F.contains("m", F.col("n"))
-    score = F.when(F.col("n") == F.col("m"), 1.0).otherwise(F.greatest(sequence_ratio("n", "m"), F.when(near, 0.85).otherwise(0.0)))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("confidence"), "module_ord"))
-    return both.withColumn("confidence", score).withColumn("rn", rank).where((F.col("rn") == 1) & (F.col("confidence") > least)).select("name", "module", "confidence")
+    m = modules.select("module", "module_ord", F.lower("module").alias("m"))
+    cut = max(1, -(-m.count() // block))
+    asked = n.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
+    lists = m.withColumn("block", F.pmod(F.xxhash64("module", "module_ord"), F.lit(cut)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("module_ord", "module", "m"))).alias("ms"))
+    best = asked.join(lists, "block").select("name", _best_module("n", "ms").alias("b")).where("b is not null")
+    best = best.groupBy("name").agg(F.max(F.struct("b.confidence", (-F.col("b.module_ord")).alias("first"), "b.module")).alias("b"))
+    return best.where(F.col("b.confidence") > least).select("name", "b.module", "b.confidence")
+
+
+@F.pandas_udf(StructType([StructField("confidence", DoubleType()), StructField("module_ord", LongType()), StructField("module", StringType())]))
+def _best_module(names: pd.Series, lists: pd.Series) -> pd.DataFrame:
+    def best(n: str, ms) -> tuple:
+        found = (None, None, None)
+        for m in ms:
+            x = m["m"]
+            score = 1.0 if x == n else max(difflib.SequenceMatcher(None, n, x).ratio(), 0.85 if x in n or n in x else 0.0)
+            if found[0] is None or score > found[0]:
+                found = (score, m["module_ord"], m["module"])
+        return found
+
+    return pd.DataFrame([best(n, ms) for n, ms in zip(names, lists, strict=True)], columns=["confidence", "module_ord", "module"])
 
 
 #: Names a template column may have in the input.

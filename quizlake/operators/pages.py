@@ -66,6 +66,17 @@ def confident_splits(guesses: DataFrame, least: int = 80) -> DataFrame:
     return guesses.where(F.col("has_split") & (F.col("confidence") >= least))
 
 
+def flagged_pages(guesses: DataFrame) -> DataFrame:
+    """``doc_id, page`` of all pages that stand on either side of a guessed split (``doc_id, page_from, page_to, has_split``), whatever its confidence."""
+    return guesses.where("has_split").select("doc_id", F.explode(F.array("page_from", "page_to")).alias("page")).distinct()
+
+
+def with_page_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows with ``page_text``, the text of their page; empty where there is none. Of pages that repeat a number the first text by order counts."""
+    texts = pages.groupBy("doc_id", "page").agg(F.min("text").alias("page_text"))
+    return rows.join(texts, ["doc_id", "page"], "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
+
+
 def merge_chains(pages: DataFrame, splits: DataFrame) -> DataFrame:
     """Pages joined to the page before where ``splits`` (``doc_id, page, next_page``) says so; a whole chain is one page, which keeps its first number."""
     marked = pages.join(splits.select("doc_id", F.col("next_page").alias("page"), F.lit(True).alias("joined")), ["doc_id", "page"], "left")

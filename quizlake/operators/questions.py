@@ -20,11 +20,25 @@ def validate(rows: DataFrame, first_page: int = 1) -> DataFrame:
     return rows.where(F.col("text").isNotNull() & F.col("propositions").isNotNull()).withColumn("page", F.coalesce("page", F.lit(first_page)))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Questions by document, page and number."""
+    return rows.orderBy(*KEY)
+
+
+def last_by_key(rows: DataFrame, key: list[str], *values: str) -> DataFrame:
+    """One row a key: the greatest by ``values``, so that a repeated key never doubles what is joined to it."""
+    best = rows.groupBy(*key).agg(F.max(F.struct(*values)).alias("_best"))
+    return best.select(*key, *[F.col(f"_best.{v}").alias(v) for v in values])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, order: list | None = None) -> DataFrame:
-    """Old rows with new ones put in by key; nothing is deleted. Of equal keys in one table the last by ``order`` wins.
+    """Old rows with new ones put in by key; nothing is deleted. Of equal keys in one table the first by ``order`` wins, by default
+    the one with the smallest digest of the whole row.
 
     Rows whose ``number`` is 0 have no key of their own and are all kept.
     """
+    if not order:
+        order = [F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in old.columns])))]
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_gen"), *(order or [])))
     keep = F.col("_rn") == 1
@@ -67,7 +81,7 @@ def incomplete(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def fix_incomplete(rows: DataFrame, fixed: DataFrame, key: list[str] = KEY) -> DataFrame:
     """A fixed row's options replace the original's where they are more."""
-    f = fixed.select(*key, F.col("propositions").alias("_p"))
+    f = fixed.groupBy(*key).agg(F.max_by("propositions", F.struct(F.size("propositions"), F.to_json("propositions"))).alias("_p"))  # of repeats the one with most options
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     better = F.col("_p").isNotNull() & (size("_p") > size("propositions"))
     return rows.join(f, key, "left").withColumn("fixed", better).withColumn("propositions", F.when(better, F.col("_p")).otherwise(F.col("propositions"))).drop("_p")

@@ -1,14 +1,14 @@
 """Registered queries of the operators over the given tables, and the same in SQL for DuckDB.
 
-Tables stand in for question data: documents are pages (``source`` is the exam, rows in id order are pages),
-lines of an order are options or questions, events are model calls, conversations are questions with cases.
+Tables stand in for question data: documents are pages (a source's documents among a thousand ids are an exam, rows in
+id order its pages), lines of an order are options or questions, events are model calls, conversations are questions with cases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,29 +37,37 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # ---- tables in their roles, with the same in SQL
 
+def exam() -> Column:
+    """An exam has at most a thousand pages, so exams grow in number with the documents, not in size."""
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 1000))
+
+
+_EXAM = "(coalesce({0}source, '') || '/' || ({0}doc_id // 1000))"
+
+
 def as_pages(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select(F.col("source").alias("doc_id"), rank.alias("page"), "text")
+    docs = table(spark, d, "documents").select(exam().alias("exam"), "doc_id", "text")
+    return docs.select(F.col("exam").alias("doc_id"), F.row_number().over(Window.partitionBy("exam").orderBy("doc_id")).alias("page"), "text")
 
 
-PAGES = "pages_ as (select source doc_id, cast(row_number() over (partition by source order by doc_id) as integer) page, text from documents)"
+PAGES = f"pages_ as (select {_EXAM.format('')} doc_id, cast(row_number() over (partition by {_EXAM.format('')} order by documents.doc_id) as integer) page, text from documents)"
 
 
 def as_questions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select(F.col("source").alias("doc_id"), F.lit(1).alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 7 == 0, "E").when(F.col("doc_id") % 7 == 1, " ").alias("correct"))
+    return docs.select(exam().alias("doc_id"), F.lit(1).alias("page"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 7 == 0, "E").when(F.col("doc_id") % 7 == 1, " ").alias("correct"))
 
 
-QUESTIONS = "questions_ as (select source doc_id, doc_id pos, doc_id number, case doc_id % 7 when 0 then 'E' when 1 then ' ' end correct from documents)"
+QUESTIONS = f"questions_ as (select {_EXAM.format('documents.')} doc_id, documents.doc_id pos, documents.doc_id number, case documents.doc_id % 7 when 0 then 'E' when 1 then ' ' end correct from documents)"
 
 
 def as_key(spark: SparkSession, d: str) -> DataFrame:
     marks = table(spark, d, "labels").groupBy(F.col("doc_id").alias("number")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("number"))
+    docs = table(spark, d, "documents").select(exam().alias("doc_id"), F.col("doc_id").alias("number"))
     return marks.join(docs, "number", "left").select(F.coalesce("doc_id", F.lit("none")).alias("doc_id"), "number", F.when(F.col("toxic") == 1, "BD").when(F.col("quality") == 1, "A").otherwise("").alias("answer"))
 
 
-KEY = "key_ as (select coalesce(d.source, 'none') doc_id, l.doc_id number, case when toxic = 1 then 'BD' when quality = 1 then 'A' else '' end answer from (select doc_id, max(quality) quality, max(toxic) toxic from labels group by doc_id) l left join documents d on d.doc_id = l.doc_id)"
+KEY = f"key_ as (select coalesce({_EXAM.format('d.')}, 'none') doc_id, l.doc_id number, case when toxic = 1 then 'BD' when quality = 1 then 'A' else '' end answer from (select doc_id, max(quality) quality, max(toxic) toxic from labels group by doc_id) l left join documents d on d.doc_id = l.doc_id)"
 
 
 def as_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -90,14 +98,21 @@ def qcm_scan(spark, d):
     return got.select(F.col("number").cast("long").alias("number"), "text", F.size("propositions").alias("n"))
 
 
-@query("select cast(row_number() over (order by item_id) - 1 as integer) ref_index, item_id num, md5(text) md5 from benchmark")
+@query("select cast(row_number() over (partition by item_id // 25 order by item_id) - 1 as integer) ref_index, item_id num, md5(text) md5 from benchmark")
 def ref_load(spark, d):
+    """Banks of 25 items, a file each."""
     path = scratch.new_path(spark, "bank")
-    rows = table(spark, d, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.struct(x["item_id"].alias("Num"), x["text"].alias("Text"))).alias("questions"))  # one file, as banks are
-    rows.select(F.to_json(F.struct(F.lit("bank").alias("name"), "questions")).alias("value")).coalesce(1).write.text(path)
+    rows = table(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 25).alias("bank"))
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.struct(x["item_id"].alias("Num"), x["text"].alias("Text"))).alias("questions"))
+    rows.select("bank", F.to_json(F.struct(F.lit("bank").alias("name"), "questions")).alias("value")).write.partitionBy("bank").text(path)
     return io.load_reference(spark, path).select("ref_index", F.try_variant_get("ref", "$.Num", "long").alias("num"), F.md5(F.try_variant_get("ref", "$.Text", "string")).alias("md5"))
 
 
+@query("select doc_id, row_number() over (order by doc_id) - 1 ref_index from documents")
+def ref_index(spark, d):
+    return scratch.with_index(table(spark, d, "documents").select("doc_id"), ["doc_id"], "ref_index")
+
+
 @query("select cast(c_custkey as varchar) num, nullif(trim(c_mktsegment), '') \"text\" from customer")
 def ref_tabular(spark, d):
     path = scratch.new_path(spark, "bank-table")
@@ -150,25 +165,33 @@ def page_score(spark, d):
     return table(spark, d, "documents").select("doc_id", T.page_score(F.col("text")).alias("score"))
 
 
-_LIST = r"(?m)(?:^|\||\s)(\d{1,3})\s*[:.\-\s]+\s*([A-Ea-e]{1,5})(?:\s|\||$)"
+_MARK = "substr('ABCDE', cast(1 + l_partkey % 5 as integer), 1) || case when l_suppkey % 2 = 0 and l_partkey % 5 < 4 then 'E' else '' end"
+PLANTED = f"""ln as (select l_orderkey k, l_linenumber n, {_MARK} a from lineitem),
+    planted as (select k // 40 doc_id, cast(k % 40 as integer) page, case k % 4 when 0 then 'Corrigé' || chr(10) || string_agg(n || ': ' || lower(a), chr(10) order by n, a)
+                when 1 then 'Réponse' || chr(10) || string_agg(n || ' ' || a, chr(10) order by n, a) when 2 then 'Une page de texte' else '| A | B | C |' end text from ln group by k)"""
 
 
-@query(f"""with {PAGES}, m as (select doc_id, page, regexp_extract_all(text, '{_LIST}', 1) n, regexp_extract_all(text, '{_LIST}', 2) a from pages_),
-           e as (select doc_id, page, unnest(range(1, len(n) + 1)) i, n, a from m)
-           select doc_id, page, cast(i - 1 as integer) pos, cast(n[i] as integer) number, upper(a[i]) answer from e""")
-def answer_regex(spark, d):
-    return answers.parse_lists(as_pages(spark, d))
+def _planted(spark, d):
+    """An order is a page: a list of answers, pairs of numbers and answers, plain text or a head of a table."""
+    marks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_linenumber").alias("n"), F.expr(_MARK.replace("//", "div")).alias("a")).alias("m"))
+    per = marks.groupBy("k").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    joined = lambda between, f: F.array_join(F.transform("m", lambda x: F.concat(x["n"], F.lit(between), f(x["a"]))), "\n")
+    text = F.when(F.col("k") % 4 == 0, F.concat(F.lit("Corrigé\n"), joined(": ", F.lower))).when(F.col("k") % 4 == 1, F.concat(F.lit("Réponse\n"), joined(" ", lambda a: a)))
+    text = text.when(F.col("k") % 4 == 2, "Une page de texte").otherwise("| A | B | C |")
+    return per.select(F.floor(F.col("k") / 40).alias("doc_id"), (F.col("k") % 40).cast("int").alias("page"), text.alias("text"))
 
 
-_SIMPLE = r"(\d{1,3})\s+([A-E]{1,5})"
+_NUMBERED = "select k // 40 doc_id, cast(k % 40 as integer) page, cast(row_number() over (partition by k order by n, a) - 1 as integer) pos, n number, a answer from ln where k % 4 = "
 
 
-@query(f"""with {PAGES}, m as (select doc_id, page, regexp_extract_all(text, '{_SIMPLE}', 1) n, regexp_extract_all(text, '{_SIMPLE}', 2) a from pages_
-               where contains(lower(text), 'corrigé') or contains(lower(text), 'correction') or contains(lower(text), 'réponse') or contains(lower(text), 'rep.')),
-           e as (select doc_id, page, unnest(range(1, len(n) + 1)) i, n, a from m)
-           select doc_id, page, cast(i - 1 as integer) pos, cast(n[i] as integer) number, a[i] answer from e""")
+@query(f"with {PLANTED} {_NUMBERED} 0")
+def answer_regex(spark, d):
+    return answers.parse_lists(_planted(spark, d)).where("page % 4 = 0")
+
+
+@query(f"with {PLANTED} {_NUMBERED} 1")
 def answer_regex_simple(spark, d):
-    return answers.parse_simple(as_pages(spark, d))
+    return answers.parse_simple(_planted(spark, d))
 
 
 @query(r"""select doc_id, lt and q and not o split from (select doc_id, len(b) >= 2 lt, coalesce(regexp_matches(b[1], '^\d+[-.)]\s*.{15,}[:?]\s*$'), false) q,
@@ -186,11 +209,11 @@ def page_range(spark, d):
     return pages.page_range(as_pages(spark, d), "3-9").select("doc_id", "page", F.length("text").cast("long").alias("n"))
 
 
-@query(f"""with {PAGES}, s as (select distinct source doc_id, length(source) n from documents)
+@query(f"""with {PAGES}, s as (select distinct {_EXAM.format('')} doc_id, length({_EXAM.format('')}) n from documents)
            select p.doc_id, p.page from pages_ p join s using (doc_id) where p.page in (1, 2) or p.page between n and n + 4 or p.page between 20 and 22""")
 def page_list(spark, d):
-    n = F.length("source")
-    specs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("1, 2,"), n, F.lit(":"), n + 4, F.lit(",20-22,x,9-")).alias("spec")).distinct()
+    n = F.length(exam())
+    specs = table(spark, d, "documents").select(exam().alias("doc_id"), F.concat(F.lit("1, 2,"), n, F.lit(":"), n + 4, F.lit(",20-22,x,9-")).alias("spec")).distinct()
     return pages.page_list(as_pages(spark, d), specs).select("doc_id", "page")
 
 
@@ -230,6 +253,18 @@ def split_pages(spark, d):
     return pages.split_pages(marked)
 
 
+@query(f"with {PAGES}, g as (select doc_id, page from pages_ where page % 6 = 1) select doc_id, page from g union all select doc_id, page + 1 from g")
+def flagged_pages(spark, d):
+    guesses = as_pages(spark, d).select("doc_id", F.col("page").alias("page_from"), (F.col("page") + 1).alias("page_to"), (F.col("page") % 6 == 1).alias("has_split"))
+    return pages.flagged_pages(guesses)
+
+
+@query(f"""with {PAGES}, q as (select doc_id, page, page + 5 wanted from pages_) select q.doc_id, q.page, md5(coalesce(p.text, '')) md5 from q left join pages_ p on p.doc_id = q.doc_id and p.page = q.wanted""")
+def page_text_join(spark, d):
+    p = as_pages(spark, d)
+    return pages.with_page_text(p.select("doc_id", F.col("page").alias("own"), (F.col("page") + 5).alias("page")), p).select("doc_id", F.col("own").alias("page"), F.md5("page_text").alias("md5"))
+
+
 @query(f"""with {PAGES}, q as (select doc_id, page, unnest([page - 1, page, page + 1]) near_page from pages_ where page % 4 = 0)
            select q.doc_id, q.page, q.near_page, length(p.text) n from q join pages_ p on p.doc_id = q.doc_id and p.page = q.near_page""")
 def page_window(spark, d):
@@ -294,8 +329,9 @@ def xtable_parse(spark, d):
           r as (select *, row_number() over (partition by doc_id, number order by answer desc) rn from l)
           select doc_id, 1 page, number, answer, 'table' src from r where rn = 1""")
 def answer_key(spark, d):
-    key = answers.parse_tables(_xtables(spark, d)).withColumn("pos", F.lit(0)).withColumn("priority", F.lit(0))
-    key = key.unionByName(answers.parse_lists(_xtables(spark, d)).withColumn("priority", F.lit(1)))
+    pages_ = scratch.written(_xtables(spark, d), "answer-pages")
+    key = answers.parse_tables(pages_).withColumn("pos", F.lit(0)).withColumn("priority", F.lit(0))
+    key = key.unionByName(answers.parse_lists(pages_).withColumn("priority", F.lit(1)))
     return answers.merge_keys(key).select("doc_id", "page", "number", "answer", F.when(F.col("priority") == 0, "table").otherwise("list").alias("src"))
 
 
@@ -335,18 +371,30 @@ def coverage(spark, d):
     return answers.coverage(as_questions(spark, d)).withColumn("missing_numbers", F.array_join(F.col("missing_numbers").cast("array<string>"), ","))
 
 
-_DE = "cast(len(regexp_extract_all(text, 'de')) as integer)"
+_DETECT = r"""cast(15 * (cast(contains(t, 'corrigé') as int) + cast(contains(t, 'correction') as int) + cast(contains(t, 'réponse') as int) + cast(contains(t, 'rep.') as int) + cast(contains(t, 'answers') as int) + cast(contains(t, 'clé') as int) + cast(contains(t, 'answer key') as int))
+    + 40 * cast(regexp_matches(t, '\|\s*a\s*\|\s*b\s*\|\s*c') as int) + least(50, 5 * len(regexp_extract_all(t, '\d{1,3}\s*[\.:\-\s]\s*[a-e]{1,5}'))) as integer)"""
 
 
-@query(f"""with {PAGES}, s as (select doc_id, page, {_DE} score, max({_DE}) over (partition by doc_id) top from pages_), c as (select doc_id, page from s where score >= case when top >= 60 then 60 else 5 end),
-           n as (select distinct doc_id, unnest([page - 1, page, page + 1]) page from c) select doc_id, page from pages_ semi join n using (doc_id, page)""")
+@query(f"""with {PLANTED}, s as (select doc_id, page, {_SCORE} score from (select *, lower(text) t, text u from planted)), m as (select *, max(score) over (partition by doc_id) top from s),
+           c as (select doc_id, page from m where score >= case when top >= 15 then 15 else 5 end), n as (select distinct doc_id, unnest([page - 1, page, page + 1]) page from c) select doc_id, page from planted semi join n using (doc_id, page)""")
 def answer_pages(spark, d):
-    return answers.answer_pages(as_pages(spark, d), F.regexp_count("text", F.lit("de")), least=60, relaxed=5)
+    return answers.answer_pages(_planted(spark, d), T.page_score(F.col("text")))
 
 
-@query(f"with {PAGES}, s as (select doc_id, page, {_DE} score from pages_), r as (select *, row_number() over (partition by doc_id order by score desc, page) rank from s where score >= 40) select * from r where rank <= 5")
+@query(f"with {PLANTED}, s as (select doc_id, page, {_DETECT} score from (select *, lower(text) t from planted)), r as (select *, row_number() over (partition by doc_id order by score desc, page) rank from s where score >= 40) select * from r where rank <= 5")
 def answer_pages_top5(spark, d):
-    return answers.top_answer_pages(as_pages(spark, d), score=F.regexp_count("text", F.lit("de"))).withColumn("rank", F.col("rank").cast("long"))
+    return answers.top_answer_pages(_planted(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {QUESTIONS} select doc_id, number, cast(null as varchar) correct from questions_")
+def drop_answers(spark, d):
+    return answers.drop_answers(as_questions(spark, d)).select("doc_id", "number", "correct")
+
+
+@query("select * from (select conv_id doc_id, turn // 4 batch, count(*) / 4.0::double share from conversations group by 1, 2) where share < 0.9")
+def incomplete_batches(spark, d):
+    found = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 4).alias("batch")).agg(F.count(F.lit(1)).alias("n_found"))
+    return answers.incomplete_batches(found, 4)
 
 
 # ---- questions
@@ -366,6 +414,13 @@ def qcm_upsert(spark, d):
     return questions.upsert(rows.where("l_suppkey % 3 <> 0"), rows.where("l_suppkey % 3 = 0"), order=_order()).select("doc_id", "number", "l_extendedprice", "l_partkey")
 
 
+@query("select l_orderkey doc_id, l_linenumber number, row_number() over (order by l_orderkey, l_linenumber, l_extendedprice desc, l_partkey desc, l_suppkey desc, l_quantity desc) place from lineitem")
+def question_order(spark, d):
+    rows = questions.in_order(_lines(spark, d)).select("doc_id", "page", "number", *[(-F.col(c)).alias(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")])
+    rows = scratch.with_index(rows, ["doc_id", "page", "number", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity"], "place")
+    return rows.select("doc_id", "number", (F.col("place") + 1).alias("place"))
+
+
 @query("""with n as (select distinct l_orderkey, l_linenumber from lineitem where l_suppkey % 3 = 0), o as (select distinct l_orderkey, l_linenumber, 1 x from lineitem where l_suppkey % 3 <> 0)
           select count(x) updated, count(*) - count(x) added from n left join o using (l_orderkey, l_linenumber)""")
 def qcm_upsert_counts(spark, d):
@@ -635,10 +690,34 @@ def latest_stage(spark, d):
     return costs.latest_stage(table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.expr(_RANK).alias("stage_rank"), "o_orderkey"))
 
 
-@query("select o_orderkey, 'rejected' status from orders where o_orderstatus = 'P' or o_orderstatus is null")
+@query("select o_orderkey, case when o_orderstatus in ('O', 'F') then 'accepted' else 'rejected' end status from orders")
 def accepted_split(spark, d):
+    """Both outputs of a step, each read back by itself."""
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus").isin("O", "F"), "accepted").otherwise("rejected").alias("status"))
-    return o.where("status = 'rejected'")
+    path = scratch.new_path(spark, "stage")
+    io.save_stage(o, path, "1")
+    return io.load_stage(spark, path, "1", status="accepted").unionByName(io.load_stage(spark, path, "1", status="rejected")).select("o_orderkey", "status")
+
+
+_RUNS = "r as (select o_custkey doc_id, o_orderkey, case when o_orderkey % 3 = 0 then '2024-01-02' else '2024-01-01' end run_id from orders)"
+
+
+@query(f"with {_RUNS} select *, false latest from r union all select *, true from r where run_id = (select max(run_id) from r)")
+def run_snapshots(spark, d):
+    """Two runs of a step kept side by side, all read back, and the newest alone."""
+    o, path = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey"), scratch.new_path(spark, "runs")
+    io.save_run(o.where("o_orderkey % 3 <> 0"), path, "5", "2024-01-01")
+    io.save_run(o.where("o_orderkey % 3 = 0"), path, "5", "2024-01-02")
+    every, last = io.load_runs(spark, path, "5"), io.load_runs(spark, path, "5", "current")
+    return every.withColumn("latest", F.lit(False)).unionByName(last.withColumn("latest", F.lit(True))).select("doc_id", "o_orderkey", "run_id", "latest")
+
+
+@query("""select 'merged' action, count(*) total, count(distinct l_orderkey) documents from lineitem where l_returnflag = 'R' union all
+          select 'fixed', count(*), count(distinct l_orderkey) from lineitem where l_returnflag = 'A'""")
+def audit_report(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_returnflag")
+    trails = [io.audit(rows.where(F.col("l_returnflag") == f), a) for f, a in (("R", "merged"), ("A", "fixed"))]
+    return io.audit_report(*trails).select("action", "total", "documents")
 
 
 @query("select coalesce(o_orderstatus, 'none') status, count(distinct o_custkey) documents, count(*) n_rows from orders group by 1")
@@ -654,25 +733,84 @@ def cache_split(spark, d):
     return hits.select("doc_id", "digest", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "digest", F.lit(False).alias("hit")))
 
 
-# ---- replies
+@query("""with c as (select distinct md5(coalesce(text, '')) digest from documents where doc_id % 2 = 0), k as (select md5(coalesce(text, '')) in (select digest from c) hit from documents)
+          select count(*) filter (where hit) hits, count(*) filter (where not hit) misses from k""")
+def cache_stats(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    cache = docs.where("doc_id % 2 = 0").select(F.md5(F.col("content").cast("binary")).alias("digest"), F.lit("stored").alias("value"))
+    return costs.cache_stats(*costs.cache_split(docs, cache))
 
-def _replies(spark, d):
-    """Model replies with what goes wrong in them, made from the questions' data."""
+
+@query("select user_id doc_id, count(distinct event_id % 20) total_pages, sum(cast(round(value, 2) as decimal(18,2))) total_cost, cast(sum(event_id % 7) as bigint) total_duration, cast(sum(length(props)) as bigint) total_tokens from events group by 1")
+def ocr_manifest(spark, d):
     e = table(spark, d, "events")
-    obj = F.concat(F.lit('{"number": '), F.col("event_id"), F.lit(', "text": "'), F.col("event_type"), F.lit('",}'))
-    return e.select("event_id", "event_type", F.concat(F.lit("Here it is:\n```json\n["), obj, F.lit("\n"), obj, F.lit(",]\n```\nDone.")).alias("content"), F.concat(F.lit("[{\"a\": "), F.col("event_id"), F.lit("}, garbage {\"b\": \""), F.col("event_type"), F.lit("\"} {broken")).alias("broken"))
+    return costs.manifest(e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 20).alias("page"), F.round("value", 2).cast("decimal(18,2)").alias("cost"), (F.col("event_id") % 7).alias("duration"), F.length("props").alias("tokens")))
+
+
+@query("""with p as (select user_id project, event_id % 30 page, count(*) filter (where event_type = 'purchase') n from events group by 1, 2)
+          select project, cast(sum(n) as bigint) qcms, count(*) filter (where n = 0) empty_pages, case when sum(n) = 0 then 'error' when count(*) filter (where n = 0) > 0 then 'warning' else 'success' end badge from p group by 1""")
+def question_badges(spark, d):
+    p = table(spark, d, "events").groupBy(F.col("user_id").alias("project"), (F.col("event_id") % 30).alias("page")).agg(F.count_if(F.col("event_type") == "purchase").alias("n_questions"))
+    return costs.question_badges(p)
+
 
+@query("""select c_custkey project, coalesce(n, 0) merged_qcms, case when coalesce(n, 0) = 0 then 'error' else 'success' end badge from customer left join (select o_custkey, count(*) n from orders group by 1) on o_custkey = c_custkey""")
+def merged_badges(spark, d):
+    return costs.merged_badges(table(spark, d, "customer").select(F.col("c_custkey").alias("project")), table(spark, d, "orders").select(F.col("o_custkey").alias("project")))
 
-@query("select event_id, event_id number, event_type \"text\", 2 n from events")
+
+@query(f"with {COSTS} select user_id, sum(cost) cost, row_number() over (order by sum(cost) desc, user_id) place from costs_ group by 1")
+def user_sort(spark, d):
+    """Users by cost; the place comes from the rank of the sorted rows' own order."""
+    per = costs.sort_users(as_costs(spark, d).groupBy("user_id").agg(F.sum("cost").alias("cost")))
+    return scratch.with_index(per.withColumn("_down", -F.col("cost")), ["_down", "user_id"], "place").select("user_id", "cost", (F.col("place") + 1).alias("place"))
+
+
+# ---- replies
+
+def _replies(spark, d):
+    """Model replies with what goes wrong in them, made from the events: by id a list in a fence with trailing commas, one object, objects without commas
+    between them after a comment, a nested object, and a list that is cut off."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 5
+    obj = lambda more="": F.concat(F.lit('{"number": '), F.col("event_id"), F.lit(', "text": "'), F.col("event_type"), F.lit('"' + more + "}"))
+    content = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n["), obj(","), F.lit("\n"), obj(","), F.lit(",]\n```\nDone.")))
+    content = content.when(k == 1, F.concat(F.lit("Sure. "), obj(), F.lit(" That is all.")))
+    content = content.when(k == 2, F.concat(F.lit("[\n// first\n"), obj(), F.lit("\n"), obj(), F.lit(" "), obj(), F.lit("\n]")))
+    content = content.when(k == 3, F.concat(F.lit("["), obj(', "more": {"a": [1, 2], "b": {"c": "}"}}'), F.lit("]")))
+    content = content.otherwise(F.concat(F.lit("["), obj(), F.lit(', {"number": ')))
+    return e.select("event_id", "event_type", content.alias("content"))
+
+
+@query("select event_id, case when event_id % 5 < 4 then event_id end number, case when event_id % 5 < 4 then event_type end \"text\", case event_id % 5 when 0 then 2 when 1 then 1 when 2 then 3 when 3 then 1 end n from events")
 def json_repair(spark, d):
-    r = _replies(spark, d).withColumn("o", completion.parse_objects(F.col("content"), "struct<number:bigint,text:string>"))
-    return r.select("event_id", F.col("o")[0]["number"].alias("number"), F.col("o")[1]["text"].alias("text"), F.size("o").alias("n"))
+    r = completion.parse_replies(_replies(spark, d), "content", "struct<number:bigint,text:string>")
+    return r.select("event_id", F.get("objects", F.lit(0))["number"].alias("number"), F.get("objects", F.size("objects") - 1)["text"].alias("text"), F.when(F.col("objects").isNotNull(), F.size("objects")).alias("n"))
 
 
-@query("select event_id, '{\"a\": ' || event_id || '}' as \"first\", '{\"b\": \"' || event_type || '\"}' as \"second\", 2 n from events")
+@query("""with o as (select *, '{"number": ' || event_id || ', "text": "' || event_type || '"}' obj, '{"more": {"a": [1, 2], "b": {"c": "}"}}, "number": ' || event_id || ', "text": "' || event_type || '"}' nested from events)
+          select event_id, case event_id % 5 when 0 then null when 3 then nested else obj end as "first", case event_id % 5 when 0 then 0 when 2 then 3 else 1 end n from o""")
 def json_salvage(spark, d):
-    r = _replies(spark, d).withColumn("o", completion.salvage_objects("broken"))
-    return r.select("event_id", F.col("o")[0].alias("first"), F.col("o")[1].alias("second"), F.size("o").alias("n"))
+    r = _replies(spark, d).withColumn("o", completion.salvage_objects("content"))
+    return r.select("event_id", F.get("o", F.lit(0)).alias("first"), F.size("o").alias("n"))
+
+
+@query("select event_id, case when event_id % 5 in (1, 3, 4) then cast(event_id as varchar) end number, case when event_id % 5 in (1, 3, 4) then event_type end \"text\" from events")
+def object_extract(spark, d):
+    r = _replies(spark, d).where("event_id % 5 in (1, 3, 4)").unionByName(_replies(spark, d).where("event_id % 5 not in (1, 3, 4)").withColumn("content", F.lit("no object")))
+    o = r.withColumn("o", completion.parse_object(F.col("content")))
+    return o.select("event_id", F.col("o")["number"].alias("number"), F.col("o")["text"].alias("text"))
+
+
+@query("select doc_id, upper(lang) lang, cast(length(substr(text, 1, 500)) as bigint) n from documents")
+def model_extract(spark, d):
+    """Prompt, call and parse; the model is a function that says what it was asked about."""
+    def model(prompt: str):
+        lang, _, text = prompt.partition("|")
+        return f'```json\n[{{"lang": "{lang.upper()}", "n": {len(text)},}}]\n```', len(prompt), 9, 0.0
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    done = completion.extract(docs, T.prompt("%s|%s", (F.col("lang"), 20), (F.col("text"), 500)), model, "struct<lang:string,n:bigint>", pause=0)
+    return done.select("doc_id", F.col("objects")[0]["lang"].alias("lang"), F.col("objects")[0]["n"].alias("n"))
 
 
 @query(f"""with {PAGES}, p as (select doc_id, page, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) t from pages_) select doc_id, page fix, page, md5(t) md5 from p where page % 2 = 1
@@ -683,6 +821,14 @@ def fix_parse(spark, d):
     return completion.parse_fix_blocks(p.select("doc_id", block.alias("content"))).select("doc_id", "fix", "page", F.md5("text").alias("md5"))
 
 
+@query(f"""with {PAGES} select doc_id, page, md5(case when page % 3 = 0 then 'fixed ' || page else text end) md5, page % 3 = 0 fixed from pages_""")
+def fix_apply(spark, d):
+    p = as_pages(spark, d)
+    block = F.format_string("FIX_%d\nPAGE_%d: fixed %d\nEND_FIX_%d", "page", "page", "page", "page")
+    blocks = completion.parse_fix_blocks(p.where("page % 3 = 0").select("doc_id", block.alias("content")))
+    return completion.apply_fix_blocks(p, blocks).select("doc_id", "page", F.md5("text").alias("md5"), "fixed")
+
+
 @query("select event_id, case when event_type = 'error' then 'error' when event_type = 'purchase' then 'ok' when event_type = 'view' then 'warn' else 'info' end type from events")
 def log_classify(spark, d):
     mark = F.when(F.col("event_type") == "error", "❌ failed ").when(F.col("event_type") == "purchase", "[OK] ").when(F.col("event_type") == "view", "⚠️ ").otherwise("")
@@ -705,14 +851,20 @@ def cascade_route(spark, d):
     return completion.cascade(docs, F.when(F.contains("text", F.lit("tion")), "tion"), model, "category").select("doc_id", "category", "method")
 
 
+@query("select case when contains(text, 'tion') then 'rule' else 'model' end \"method\", count(*) n from documents group by 1")
+def method_counts(spark, d):
+    done = completion.cascade(table(spark, d, "documents").select("doc_id", "text"), F.when(F.contains("text", F.lit("tion")), "tion"), lambda rest: rest.withColumn("category", F.lit("other")), "category")
+    return completion.method_counts(done)
+
+
 # ---- matching
 
 def _bank(spark, d):
     """Questions: all benchmark items. Reference bank: all distinct lines of the documents."""
     source = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.normalize_text(F.col("text")).alias("t"))
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    ref = lines.select((F.col("doc_id") * 1_000_000 + F.col("no")).alias("id"), T.normalize_text(F.col("line")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    return source, ref.select("id", "t")
+    ref = lines.select(F.concat_ws("-", "doc_id", "no").alias("id"), T.normalize_text(F.col("line")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
+    return source.withColumn("id", F.col("id").cast("string")), ref.select("id", "t")
 
 
 @query()
@@ -722,7 +874,21 @@ def fuzzy_match(spark, d):
     return m.select("source_id", "qcm_id", "ref_id", F.round("similarity", 6).alias("similarity"), F.size("candidates").alias("n_candidates"), "tier")
 
 
-@query()
+_LCS = """list_reduce(list_transform(ca, lambda x: list_transform(cb, lambda y: cast(x = y as integer))), lambda old, m: list_transform(range(1, len(m) + 1),
+          lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when m[k] = 1 then case when k > 1 then old[k - 1] else 0 end + 1 else old[k] end))), list_transform(cb, lambda y: 0))[-1]"""
+
+
+def _sides(column: str) -> str:
+    norm = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
+    return f"select min(p_partkey) id, {norm(column)} t, {norm('min(p_brand)')} c from part group by {column}"
+
+
+@query(f"""with s as ({_sides('p_name')}), r as ({_sides('p_type')}), p as (select s.id source_id, r.id ref_id, s.t st, s.c sc, r.t rt, r.c rc from s, r where length(s.t) >= 5),
+           x as (select *, string_split(st, '') ca, string_split(rt, '') cb from p), y as (select * exclude (ca, cb), 2.0 * {_LCS} / (length(st) + length(rt)) ts from x),
+           f as (select *, string_split(sc, '') ca, string_split(rc, '') cb from (select *, row_number() over (partition by source_id order by ts desc, ref_id) k from y) where k <= 20),
+           g as (select source_id, ref_id, 0.7 * ts + (1 - 0.7) * case when sc = '' or rc = '' then 0 else 2.0 * {_LCS} / (length(sc) + length(rc)) end similarity from f),
+           h as (select *, row_number() over (partition by source_id order by similarity desc, ref_id) rank from g where similarity >= 0.3)
+           select source_id, ref_id, round(similarity, 6) similarity, cast(rank as integer) rank from h where rank <= 5""")
 def fuzzy_weighted(spark, d):
     names = lambda c: table(spark, d, "part").groupBy(F.col(c).alias("t0")).agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("c0"))
     s = names("p_name").select("id", T.normalize_text(F.col("t0")).alias("t"), T.normalize_text(F.col("c0")).alias("c"))
@@ -744,11 +910,49 @@ def match_summary(spark, d):
     return match.match_summary(_scores(spark, d))
 
 
-@query(f"with {_S} select cast(event_id as varchar) source_num, printf('%.1f%%', s * 100) match_score, cast(year(ts) as varchar) source_year, event_type ref_question, '' corr_score, case when s >= 0.9 then 'green' when s >= 0.75 then 'yellow' else 'red' end band from s where s > 0")
+_OWN = "cast(event_id as varchar) source_num, props source_question, 'AB' source_correct, cast(year(ts) as varchar) source_year, event_type source_sub"
+_REF = "cast(event_id as varchar) ref_num, event_type ref_question, 'AB' ref_correct, cast(year(ts) as varchar) ref_year, event_type ref_sub"
+_BAND = "case when s >= 0.9 then 'green' when s >= 0.75 then 'yellow' else 'red' end"
+
+
+@query(f"with {_S} select {_OWN}, printf('%.1f%%', s * 100) match_score, printf('%.1f%%', s * 100) text_score, '' corr_score, 'text_only' \"mode\", {_REF}, {_BAND} band from s where s > 0")
 def match_report(spark, d):
-    return match.match_report(_scores(spark, d)).select("source_num", "match_score", "source_year", "ref_question", "corr_score", "band")
+    return match.match_report(_scores(spark, d))
+
+
+@query(f"with {_S} select md5(cast(event_id as varchar)) qcm_id, row_number() over (order by s desc, md5(cast(event_id as varchar))) place from s")
+def match_order(spark, d):
+    """Matches best first; the place is that of the row in this order."""
+    m = match.order_matches(_scores(spark, d).withColumn("source_id", F.col("qcm_id"))).withColumn("down", -F.col("similarity"))
+    return scratch.with_index(m.select("qcm_id", "down"), ["down", "qcm_id"], "place").select("qcm_id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"with {_S} select md5(cast(event_id as varchar)) qcm_id, s similarity, case when s = 0 then 'No match' else printf('%.1f%%', s * 100) end label from s where s between 0 and 0.6")
 def match_export(spark, d):
     return match.match_export(_scores(spark, d)).select("qcm_id", "similarity", "label")
+
+
+_SHEET = f"""md5(cast(event_id as varchar)) "ID", cast(event_id as varchar) "Num", props "Question", '' "A", '' "B", '' "C", '' "D", '' "E", 'AB' "Correct", cast(year(ts) as varchar) "Year", '' "Category", event_type "Subcategory", '' "Tag", '' "Source",
+    case when s = 0 then 'No match' else printf('%.1f%%', s * 100) end "Similarity", cast(event_id as varchar) "Ref #", event_type "Ref Question", 'AB' "Ref Correct", cast(year(ts) as varchar) "Ref Year", case when s = 0 then 'grey' else {_BAND} end band"""
+
+
+@query(f"with {_S} select {_SHEET} from s where s between 0.2 and 0.95 or s = 0")
+def match_sheet(spark, d):
+    m = _scores(spark, d)
+    return match.export_sheet(match.match_export(m, 0.2, 0.95).unionByName(match.match_export(m, 0.0, 0.0)))
+
+
+@query(f"with {_S} select {_SHEET} from s where event_type = 'purchase'")
+def match_sheet_ids(spark, d):
+    """The export of a list of ids, some of them named twice."""
+    ids = table(spark, d, "events").where("event_type = 'purchase'").select(F.md5(F.col("event_id").cast("string")).alias("qcm_id"))
+    return match.export_sheet(match.match_export(_scores(spark, d), ids=ids.unionByName(ids)))
+
+
+@query("""select o_orderkey key, cast(o_orderkey as varchar) num, coalesce(case when o_orderkey % 2 = 0 then o_orderstatus end, o_orderpriority) txt, coalesce(cast(year(o_orderdate) as varchar), '') yr, '' a, o_orderstatus || ', ' || o_orderpriority tag from orders""")
+def slim_record(spark, d):
+    """Short records, with names in lower case where the usual ones are missing or null, and full ones with their tags joined."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("num"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("text_"), F.col("o_orderpriority").alias("other"), F.year("o_orderdate").alias("Year"), F.array("o_orderstatus", "o_orderpriority").alias("Tag"))
+    o = o.withColumn("Text", F.coalesce("text_", "other"))
+    r = o.select(F.col("num").alias("key"), match.slim(o).alias("s"), match.full(o).alias("f"))
+    return r.select("key", F.col("s.Num").alias("num"), F.col("s.Text").alias("txt"), F.col("s.Year").alias("yr"), F.col("s.A").alias("a"), F.col("f.Tag").alias("tag"))

@@ -76,6 +76,28 @@ def export_columns(rows: DataFrame, preferred: tuple[str, ...] = PREFERRED) -> D
     return rows.select(*[(F.array_join(F.array_distinct(F.col(c)), ", ") if kinds[c].startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in names])
 
 
+def save_run(rows: DataFrame, path: str, step: str, run_id: str) -> None:
+    """A snapshot of a step's rows; earlier runs of the step stay."""
+    rows.write.mode("overwrite").parquet(f"{path}/step={step}/run_id={run_id}")
+
+
+def load_runs(spark: SparkSession, path: str, step: str, run_id: str | None = None) -> DataFrame:
+    """All snapshots of a step with their ``run_id``; one of them by its id, or the newest for ``current``."""
+    runs = spark.read.option("basePath", f"{path}/step={step}").parquet(f"{path}/step={step}").withColumn("run_id", F.col("run_id").cast("string"))
+    if run_id is None:
+        return runs
+    newest = runs.agg(F.max("run_id")).first()[0] if run_id == "current" else run_id
+    return runs.where(F.col("run_id") == newest)
+
+
 def audit(rows: DataFrame, action: str) -> DataFrame:
     """An audit trail: each row with the action and when it was done."""
     return rows.withColumn("action", F.lit(action)).withColumn("at", F.current_timestamp())
+
+
+def audit_report(*trails: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of each action: how many entries, in how many documents, and when the first and last were made."""
+    every = trails[0].select(key, "action", "at")
+    for t in trails[1:]:
+        every = every.unionByName(t.select(key, "action", "at"))
+    return every.groupBy("action").agg(F.count(F.lit(1)).alias("total"), F.countDistinct(key).alias("documents"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,3 +55,17 @@ def forget(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._folder)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_index(rows: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """``rows`` with a number from 0 in ``order`` (which must be total for the numbers to be the same again).
+
+    Numbers come from range partitions and their row counts, so no task sorts more than its range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "indexed")
+    counts = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.join(F.broadcast(counts.select("_pid", before.alias("_before"))), "_pid")
+    rank = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
+    return numbered.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_pid", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import log_type
 from ..operators.questions import KEY, upsert
+from ..sources.scratch import forget, written
 
 LOG = "project string, step string, ts timestamp, text string"
 
@@ -18,31 +19,28 @@ def tail_logs(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
     return lines.where(F.trim("text") != "").withColumn("type", log_type(F.col("text"))).withColumn("text", F.rtrim("text"))
 
 
-def accumulate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str] = KEY) -> StreamingQuery:
+def accumulate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str] = KEY, slots: int = 64) -> StreamingQuery:
     """New question files go into the table at ``target`` by key, a batch at a time.
 
-    Every batch writes a new version beside the last and then names it current, so a batch that is lost or runs
-    again leaves the table as it was.
+    The table is partitioned into ``slots`` by a hash of the key, and a batch rewrites only the slots that its keys
+    fall in. A batch that is lost half-way runs again and, as an upsert, gives the same rows.
     """
     def put(batch: DataFrame, number: int) -> None:
-        done = [v for v in versions(spark, target) if v < number]
-        old = spark.read.parquet(f"{target}/version={max(done)}") if done else batch.limit(0)
-        upsert(old, batch, key).write.mode("overwrite").parquet(f"{target}/version={number}")
+        new = written(batch.withColumn("slot", F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")), "accumulate-batch")
+        touched = [r["slot"] for r in new.select("slot").distinct().collect()]  # at most ``slots``
+        old = spark.read.parquet(target).where(F.col("slot").isin(touched)) if _exists(spark, target) else new.limit(0)
+        merged = written(upsert(old, new, key), "accumulate-merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(target)
+        forget(new, merged)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
-    """Finished versions of an accumulated table."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def _exists(spark: SparkSession, target: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/version={versions(spark, target)[-1]}")
+    return spark.read.parquet(target).drop("slot")

@@ -227,3 +227,60 @@ def test_weighted(spark):
     r = spark.createDataFrame([(7, "abcdefgh", "ab")], "id long, t string, c string")
     got = {x.source_id: round(x.similarity, 4) for x in match.weighted_match(s, r, 0.1).collect()}
     assert got == {1: round(0.7 * 16 / 18 + 0.3, 4), 2: round(0.7 * 16 / 18, 4)}
+
+
+def test_report_order(spark):
+    side = "named_struct('Num', {}, 'Text', 't', 'Correct', 'A', 'Year', '2024', 'subcategoryName', 's')"
+    m = spark.range(20).selectExpr("id source_id", "cast(id % 4 as double) / 4 similarity", "0.5d text_similarity", "cast(null as double) corr_similarity", f"{side.format('id')} source", f"{side.format('id')} ref").repartition(5)
+    assert [r.source_id for r in match.order_matches(m).collect()] == sorted(range(20), key=lambda k: (-(k % 4), k))
+    assert [int(r.source_num) for r in match.match_report(m).collect()] == sorted((k for k in range(20) if k % 4), key=lambda k: (-(k % 4), k))
+
+
+def test_orders(spark):
+    users = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0), (4, 2.0)], "user_id int, cost double").repartition(3)
+    assert [r.user_id for r in costs.sort_users(users).collect()] == [3, 1, 4, 2] and [r.user_id for r in costs.sort_users(users, descending=False).collect()] == [2, 1, 4, 3]
+    q = spark.createDataFrame([("d", 2, 1), ("d", 1, 10), ("d", 1, 9)], "doc_id string, page int, number int").repartition(3)
+    assert [(r.page, r.number) for r in questions.in_order(q).collect()] == [(1, 9), (1, 10), (2, 1)]
+
+
+def test_repeated_keys_do_not_double(spark):
+    q = spark.createDataFrame([("d", 1, 1, "x", "f", "")], "doc_id string, page int, number int, correct string, file string, year string")
+    key = spark.createDataFrame([("d", 1, "A"), ("d", 1, "B"), ("d", 1, " ")], "doc_id string, number int, answer string")
+    assert [r.correct for r in answers.apply_key(q, key).collect()] == ["B"]
+    assert [r.correct for r in answers.fill_gaps(q.withColumn("correct", F.lit(" ")), key).collect()] == ["B"]
+    twice = spark.createDataFrame([("d", "f", "2023"), ("d", "f", "2024")], "doc_id string, file string, year string")
+    assert [r.year for r in metadata.fill_metadata(q, ["year"], twice, twice).collect()] == ["2024"]
+    calls = spark.createDataFrame([("m", 0.0, 1_000_000, 0)], "model string, cost double, prompt_tokens long, completion_tokens long")
+    assert [r.cost for r in costs.estimate(calls, spark.createDataFrame([("m", 1.0, 1.0), ("m", 2.0, 1.0)], "model string, prompt double, completion double")).collect()] == [2.0]
+    p = spark.createDataFrame([("d", 1, "b"), ("d", 1, "a")], "doc_id string, page int, text string")
+    assert [r.page_text for r in pages.with_page_text(q.select("doc_id", "page"), p).collect()] == ["a"]
+
+
+def test_upsert_is_the_same_again(spark):
+    rows = spark.createDataFrame([("d", 1, 1, f"v{k}") for k in range(50)], "doc_id string, page int, number int, v string")
+    assert len({questions.upsert(rows.limit(0), rows.repartition(k)).first().v for k in (1, 3, 8)}) == 1
+
+
+def test_lcs_of_many():
+    rng = random.Random(5)
+    for _ in range(60):
+        a, others = ["".join(rng.choice("abcd ") for _ in range(n)) for n in [rng.randint(1, 200)]][0], ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 200))) for _ in range(12)]
+        (x, n), (y, _) = T.encoded([a], others)
+        assert T.lcs_lengths(x[0, : n[0]], y, int(max(x.max(initial=0), y.max(initial=0)))).tolist() == [T.lcs_length(a, b) for b in others]
+
+
+def test_nearest_module(spark):
+    import difflib
+
+    names, modules = ["Cardio", "cardiologie", "neuro", "x", "Urologie pédiatrique", "", None], ["Cardiologie", "Neurologie", "Urologie", "Cardiologie"]
+    n, m = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame(list(zip(modules, range(4), strict=True)), "module string, module_ord long")
+
+    def best(name):
+        low = name.strip().lower()
+        scored = [(1.0 if low == x.lower() else max(difflib.SequenceMatcher(None, low, x.lower()).ratio(), 0.85 if x.lower() in low or low in x.lower() else 0), -k, x) for k, x in enumerate(modules)]
+        return max(scored)
+
+    want = {x: best(x) for x in names if x}
+    for block in (2, 512):
+        got = {r.name: (r.confidence, r.module) for r in metadata.nearest_module(n, m, 0.3, block).collect()}
+        assert got == {x: (c, mod) for x, (c, _, mod) in want.items() if c > 0.3}
