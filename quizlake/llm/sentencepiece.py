@@ -15,6 +15,7 @@ such a place; the parts are encoded alone, and each worker keeps those it has me
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,18 +106,31 @@ class Codec:
         self.out = [bytes([byte_of[i]]) if k == "b" else b"" if k == "c" else " ⁇ ".encode() if k == "u" else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True))]
 
     def merged(self, text: str) -> list[str]:
-        """Merge the adjacent pair of the best score, the leftmost of equals, until none is a piece."""
+        """Merge the adjacent pair of the best score, the leftmost of equals, until none is a piece: a queue of pairs, so long runs cost n log n."""
         parts, ids, score = list(text), self.ids, self.m.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue = []
+
+        def offer(left: int, right: int) -> None:
+            whole = parts[left] + parts[right]
+            i = ids.get(whole)
+            if i is not None:
+                heapq.heappush(queue, (-score[i], left, right, whole))
+
+        for k in range(len(parts) - 1):
+            offer(k, k + 1)
+        while queue:
+            _, left, right, whole = heapq.heappop(queue)
+            if parts[left] is None or parts[right] is None or after[left] != right or parts[left] + parts[right] != whole:
+                continue  # one of the two has been merged since
+            parts[left], parts[right] = whole, None
+            after[left] = then = after[right]
+            if then < len(parts):
+                before[then] = left
+                offer(left, then)
+            if before[left] >= 0:
+                offer(before[left], left)
+        return [p for p in parts if p is not None]
 
     def _beside(self, a: int, b: int) -> bool:
         """Whether merging leaves pieces ``a`` and ``b`` beside each other."""
@@ -202,9 +216,9 @@ class Codec:
         out, at = [], len(word)
         while at > 0:
             i, start = last[at]
-            out[:0] = [i] if i >= 0 else self._fallback(word[start])
+            out += [i] if i >= 0 else self._fallback(word[start])[::-1]
             at = start
-        return out
+        return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids (int32) of a whole text; none for an empty one."""
