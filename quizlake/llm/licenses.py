@@ -1,9 +1,10 @@
 """Operator 4, licence scans.
 
-Every run of words as long as a template is a window. MinHash signatures of all windows come from sliding
-minima (a few vector operations a hash function, whatever the window's length); bands of them are compared
-with the templates' bands, and each hit is checked by exact containment of the template's shingles. Where
-windows of several licences overlap, the one with the best containment stays.
+Every run of words as long as a template is a window, cut off where the text begins or ends, so that a text that
+holds only a part of a notice is seen too. MinHash signatures of all windows come from sliding minima (a few vector operations
+a hash function, whatever the window's length); bands of them are compared with the templates' bands, and
+each hit is checked by exact containment of the template's shingles. Where windows of several licences
+overlap, the one with the best containment stays.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .shingles import WordHashes, joined, permutations
 
-#: Public licence notices, by SPDX name.
+_SOFTWARE_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+#: Public licence texts and notices, by SPDX name; those of MIT and ISC are whole.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
@@ -57,6 +60,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _SOFTWARE_AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_AS_IS),
 )
 _WORD = re.compile(r"\w+")
 
@@ -82,6 +87,7 @@ class _Scanner:
             raise ValueError(f"a template has at least {p.words} words")
         self.exact = [set(s.tolist()) for s in self.sets]
         self.xor, self.mul = permutations(p.bands * p.rows, p.seed)
+        self.overhang = int(np.ceil((1 - p.least) * max(len(x) for x in self.sets))) + p.words
         self.by_width: dict[int, list[int]] = {}
         self.sig = []
         for k, s in enumerate(self.sets):
@@ -94,16 +100,23 @@ class _Scanner:
         return np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words)), len(words)
 
     def scan(self, texts: list[str]) -> list[tuple[int, int, float, int]]:
-        """(text, template, best containment, first word of the best window) over texts one after another."""
-        p, tokens = self.p, [self.tokens(t)[0] for t in texts]
-        ends = np.cumsum([len(t) for t in tokens])
-        sh = joined(np.concatenate(tokens) if tokens else np.empty(0, np.uint64), p.words)
+        """(text, template, best containment, first word of the best window) over texts one after another, with room between them for windows that stand out of a text."""
+        p, room = self.p, np.zeros(self.overhang, dtype=np.uint64)
+        tokens = [self.tokens(t)[0] for t in texts]
+        begins = np.cumsum([self.overhang, *(len(t) + self.overhang for t in tokens)])[:-1]
+        sh = joined(np.concatenate([room, *(x for t in tokens for x in (t, room))]), p.words)
+        last = np.array([b + len(t) - p.words + 1 for b, t in zip(begins.tolist(), tokens, strict=True)])  # behind a text's last shingle
+        outside = np.ones(len(sh), dtype=bool)
+        for b, e in zip(begins.tolist(), last.tolist(), strict=True):
+            outside[b : max(b, e)] = False
         low = (sh >> np.uint64(32)).astype(np.uint32)
         hits: set[tuple[int, int]] = set()
         widths = [w for w in self.by_width if w <= len(sh)]
         for band in range(p.bands):
             rows = range(band * p.rows, (band + 1) * p.rows)
             values = [(low ^ self.xor[i]) * self.mul[i] for i in rows]
+            for h in values:
+                h[outside] = 0xFFFFFFFF
             for w, first in self._minima(values[0], widths).items():
                 for k in self.by_width[w]:
                     at = np.flatnonzero(first == self.sig[k][rows[0]])
@@ -112,33 +125,33 @@ class _Scanner:
                             least = np.lib.stride_tricks.sliding_window_view(h, w)[at].min(axis=1) if w * len(at) < len(h) else self._minima(h, [w])[w][at]
                             at = at[least == self.sig[k][i]]
                     hits.update((x, k) for x in at.tolist())
-        passed: dict[int, list[tuple[float, int, int, int]]] = {}
+        passed: dict[int, list[tuple[float, int, int, int, int]]] = {}
         for i, k in sorted(hits):
             n = len(self.sets[k])
-            text = int(np.searchsorted(ends, i, side="right"))
-            if i + n + p.words - 1 > ends[text]:
-                continue  # it reaches into the next text
-            share = len(self.exact[k].intersection(sh[i : i + n].tolist())) / len(self.exact[k])
+            text = max(0, int(np.searchsorted(begins, i + n // 2, side="right")) - 1)  # where the window's middle lies
+            s, e = max(i, int(begins[text])), min(i + n, int(last[text]))
+            if s >= e:
+                continue
+            share = len(self.exact[k].intersection(sh[s:e].tolist())) / len(self.exact[k])
             if share >= p.least:
-                passed.setdefault(text, []).append((-share, -n, k, i))
+                passed.setdefault(text, []).append((-share, -n, k, s, e + p.words - 1))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for text, windows in passed.items():
-            begin = int(ends[text] - len(tokens[text]))
-            for _, k, share, i in self._undisputed(sorted(windows)):
-                best.setdefault((text, k), (share, i - begin))
+            for k, share, i in self._undisputed(sorted(windows)):
+                best.setdefault((text, k), (share, i - int(begins[text])))
         return [(text, k, share, at) for (text, k), (share, at) in best.items()]
 
-    def _undisputed(self, windows: list[tuple[float, int, int, int]]) -> Iterator[tuple[int, int, float, int]]:
+    def _undisputed(self, windows: list[tuple[float, int, int, int, int]]) -> Iterator[tuple[int, float, int]]:
         """The windows, the best first, but those that share over half of the shorter one's words with a better one of another licence."""
         cell = max(len(x) for x in self.sets) + self.p.words - 1
         taken: dict[int, list[tuple[str, int, int]]] = {}  # by the cells of words that a window touches, two at most
-        for minus, less, k, i in windows:
-            name, end = self.p.templates[k][0], i - less + self.p.words - 1
+        for minus, _, k, i, end in windows:
+            name = self.p.templates[k][0]
             touched = {i // cell, (end - 1) // cell}
             if not any(name != o and 2 * (min(end, e) - max(i, s)) > min(end - i, e - s) for c in touched for o, s, e in taken.get(c, ())):
                 for c in touched:
                     taken.setdefault(c, []).append((name, i, end))
-                yield -less, k, -minus, i
+                yield k, -minus, i
 
     @staticmethod
     def _minima(h: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
@@ -153,6 +166,14 @@ class _Scanner:
         return out
 
 
+def templates_of(rows: DataFrame, most: int = 10_000) -> tuple[tuple[str, str], ...]:
+    """Templates from a table ``license, text`` of at most ``most`` rows (else ValueError), whole texts in the order of their names."""
+    got = rows.select("license", "text").where("license is not null and text is not null").distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} templates")
+    return tuple(sorted((r["license"], r["text"]) for r in got))
+
+
 _scanners: dict[LicenseScan, _Scanner] = {}
 
 
@@ -164,7 +185,7 @@ def scan_licenses(docs: DataFrame, params: LicenseScan = LicenseScan()) -> DataF
     a better one of another licence doesn't count (ties: the longer template, then the first). ``at_word`` is where
     the first such window begins, and
     ``template`` the number of the template it belongs to (ties: the first). Null and empty texts and texts
-    shorter than a template have no rows; repeated rows give repeated results; other columns are ignored.
+    shorter than ``words`` words have no rows; repeated rows give repeated results; other columns are ignored.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

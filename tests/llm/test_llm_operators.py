@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,16 @@ def test_ids_are_the_library_s(model, library, text):
     assert c.decode(ids) == text.replace("▁", " ")
 
 
+def test_long_runs(model, library):
+    """100 000 spaces, marks without a piece or letters that never merge cost little more than ten times 10 000."""
+    c = sentencepiece.codec(model)
+    for run in (" ", "☃", "x", "é "):
+        text = "a" + run * 100_000 + "b"
+        began = time.process_time()
+        ids = c.encode(text).tolist()
+        assert time.process_time() - began < 5 and ids == library.encode(text) and c.decode(ids) == text
+
+
 def test_viterbi_is_the_best_segmentation():
     rng = random.Random(1)
     pieces = ["<unk>", "a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "ca", "cab"]
@@ -194,6 +205,51 @@ def test_relatives_keep_their_names(spark):
     assert not wrong
 
 
+def brute_licenses(text, p):
+    """Of each template the largest containment in any window of its length, cut off at the text's ends, and where the first such one begins."""
+    words = re.findall(r"\w+", text.lower())
+    sh = [tuple(words[i : i + p.words]) for i in range(len(words) - p.words + 1)]
+    out = {}
+    for k, (_, t) in enumerate(p.templates):
+        tw = re.findall(r"\w+", t.lower())
+        want = {tuple(tw[i : i + p.words]) for i in range(len(tw) - p.words + 1)}
+        n = len(tw) - p.words + 1
+        every = [(len(want & set(sh[max(0, i) : i + n])) / len(want), -max(0, i)) for i in range(-n // 2, len(sh) + 1) if sh[max(0, i) : i + n]]
+        share, at = max(every, default=(0, 0))
+        if share >= p.least:
+            out[k] = (share, -at)
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(14)
+    p = licenses.LicenseScan(templates=tuple(licenses.TEMPLATES[k] for k in (1, 3, 8, 11, 31, 32, 35, 36)))
+    rows = []
+    for d in range(160):
+        words = rng.choice(p.templates)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"zz{rng.randrange(50)}"
+        cut = rng.randint(0, len(words) // 5) if d % 2 else 0
+        words = words[cut:] if d % 4 == 1 else words[: len(words) - cut]
+        rest = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([0, 3, 80]))) for _ in range(2)]
+        rows.append((d, " ".join([rest[0], *words, rest[1]]).strip()))
+    rows += [(900, " ".join(p.templates[0][1].split()[:-3])), (901, "a b c " + " ".join(p.templates[0][1].split()[:-3]))]
+    got = {(r.doc_id, r.license): (round(r.containment, 9), r.at_word) for r in licenses.scan_licenses(docs(spark, *rows), p).collect()}
+    want = {}
+    for d, text in rows:
+        found = brute_licenses(text, p)
+        for k, (share, at) in found.items():
+            name = p.templates[k][0]
+            if (d, name) not in want or share > want[d, name][0]:
+                want[d, name] = (round(share, 9), at)
+    assert {x for x in got} == {x for x in want} and (900, "MIT") in got and (901, "MIT") in got
+    assert sum(got[x][0] == want[x][0] for x in want) >= 0.98 * len(want)
+    table = spark.createDataFrame(list(p.templates), "license string, text string")
+    assert sorted(licenses.templates_of(table)) == sorted(p.templates)
+    with pytest.raises(ValueError):
+        licenses.templates_of(table, 3)
+
+
 # ---- 5
 
 def test_exact(spark):
