@@ -48,10 +48,12 @@ def permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(flat: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
     """MinHash signatures, (number of sets, k) uint32. ``flat``: the sets' hashes one after another (uint64); ``starts``: where each, non-empty, begins."""
     low, (xor, mul) = (flat >> np.uint64(32)).astype(np.uint32), permutations(k, seed)
-    out = np.empty((len(starts), k), dtype=np.uint32)
+    out, room = np.empty((k, len(starts)), dtype=np.uint32), np.empty_like(low)
     for i in range(k):
-        out[:, i] = np.minimum.reduceat((low ^ xor[i]) * mul[i], starts)
-    return out
+        np.bitwise_xor(low, xor[i], out=room)
+        np.multiply(room, mul[i], out=room)
+        np.minimum.reduceat(room, starts, out=out[i])
+    return out.T
 
 
 def band_key(columns: list[np.ndarray], band: int) -> np.ndarray:

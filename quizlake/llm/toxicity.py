@@ -1,14 +1,15 @@
 """Operator 2, toxicity.
 
 Every word is a bag of subwords: itself and its character n-grams between ``<`` and ``>``, hashed to buckets.
-A passage is the average of its words' averaged embeddings, under a linear softmax over (clean, toxic);
-embeddings and softmax are trained jointly, in numpy, on a bounded sample of labelled rows. A misspelling
-that was never seen shares n-grams, and so vectors, with the word it stands for. A text gets the score of its
-most toxic passage, so a long text doesn't thin out what it says in one place.
+A passage of ``span`` words (by default one) is the average of its words' averaged embeddings, under a linear
+softmax over (clean, toxic); embeddings and softmax are trained jointly, in numpy, on a bounded sample of labelled
+rows. A misspelling that was never seen shares n-grams, and so vectors, with the word it stands for. A text gets
+the score of its most toxic passage, so a long text doesn't thin out what it says in one place.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .shingles import mix
 
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -38,31 +40,55 @@ class ToxicityModel:
     def __getstate__(self):
         return {**self.__dict__, "_words": {}}
 
-    def word(self, raw: str) -> float:
-        got = self._words.get(raw)
-        if got is None:
-            if len(self._words) > 400_000:  # a bound on the worker's memory
-                self._words.clear()
-            got = self._words[raw] = float(self.weights[subwords(raw, len(self.weights), self.grams)].mean())
-        return got
+    def _values(self, words: list[str]) -> np.ndarray:
+        """Each word's part of the logit."""
+        flat, sizes = bags(words, len(self.weights), self.grams)
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes) / sizes
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Softmax probability of ``toxic`` of each text's most toxic passage; the bias alone for a text without words."""
+        split = [t.split() for t in texts]
+        known, every = self._words, set(itertools.chain.from_iterable(split))
+        if len(known) > 400_000:  # a bound on the worker's memory
+            known.clear()
+        if new := list(every.difference(known)):
+            known.update(zip(new, self._values(new).tolist(), strict=True))
+        values = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.float64)
+        _, top, _ = best_passages(values, np.cumsum([0, *map(len, split)]), self.span)
+        return 1 / (1 + np.exp(-(top + self.bias)))
 
     def score(self, text: str) -> float:
-        """Softmax probability of ``toxic`` of the text's most toxic passage of ``span`` words; the bias alone for a text without words."""
-        word = self.word
-        s = np.array([word(w) for w in text.split()], dtype=np.float64)
-        top = best_passages(s, np.array([0, len(s)]), self.span)[1][0] if len(s) else 0.0
-        return float(1 / (1 + np.exp(-(top + self.bias))))
-
-
-def subwords(raw: str, buckets: int, grams: tuple[int, int]) -> list[int]:
-    """Buckets of a word, lower-cased and without punctuation at its edges: the whole word and its n-grams."""
-    w = f"<{_EDGES.sub('', raw).lower()}>"
-    bits = [w] + [w[i : i + n] for n in range(grams[0], grams[1] + 1) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(x.encode()) % buckets for x in bits]
+        return float(self.scores([text])[0])
+
+
+def bags(words: list[str], buckets: int, grams: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (int32) of the subwords of each word, one word after another, and how many each has: of the word in lower
+    case, without punctuation at its edges, between ``<`` and ``>``, the whole and all its n-grams."""
+    marked = [f"<{_EDGES.sub('', w).lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(w) for w in marked], dtype=np.int64)
+    word, left = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    owners, made = [np.arange(len(words))], [np.array([zlib.crc32(w.encode()) for w in marked], dtype=np.uint64)]
+    run = np.zeros(len(codes) + 1, dtype=np.uint64)
+    for n in range(1, grams[1] + 1):  # hashes of all runs of n characters
+        run = run[:-1][: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        run = np.append(run, np.uint64(0))
+        if n >= grams[0]:
+            inside = np.flatnonzero(left[: len(run) - 1] >= n)
+            owners.append(word[inside]), made.append(mix(run[inside]))
+    owner, flat = np.concatenate(owners), np.concatenate(made)
+    return (flat[np.argsort(owner, kind="stable")] % np.uint64(buckets)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def best_passages(values: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text (``starts``: where its words begin, and the end), its passage with the largest mean: begin, mean, length."""
+    """Of each text (``starts``: where its words begin, and the end), its passage with the largest mean: begin, mean (0 without words), length."""
+    if span == 1:
+        begin, mean = starts[:-1].copy(), np.zeros(len(starts) - 1)
+        for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            if b > a:
+                begin[k] = a + values[a:b].argmax()
+                mean[k] = values[begin[k]]
+        return begin, mean, np.minimum(np.diff(starts), 1)
     sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     begin, mean, length = [], [], []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -76,7 +102,7 @@ def best_passages(values: np.ndarray, starts: np.ndarray, span: int) -> tuple[np
     return np.array(begin), np.array(mean), np.array(length)
 
 
-def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, span: int = 6, grams: tuple[int, int] = (3, 5), rounds: int = 60, seed: int = 3, least_docs: int = 4, decay: float = 1e-4) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, span: int = 1, grams: tuple[int, int] = (3, 6), rounds: int = 60, seed: int = 3, least_docs: int = 4, decay: float = 1e-4) -> ToxicityModel:
     """Train embeddings and softmax together by Adam over all given texts.
 
     The first third of the rounds averages whole texts, the others each text's most toxic passage under the
@@ -92,11 +118,12 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
         before = len(words)
         words.extend(vocab.setdefault(w, len(vocab)) for w in t.split())
         lengths.append(len(words) - before)
-    for w in vocab:
-        bag = subwords(w, buckets, grams)
-        flat.extend(bag)
-        n_bag.append(len(bag))
+    every = list(vocab)
     del vocab
+    for at in range(0, len(every), 20_000):
+        bag, n = bags(every[at : at + 20_000], buckets, grams)
+        flat.frombytes(bag.tobytes()), n_bag.frombytes(n.astype(np.int32).tobytes())
+    del every
     words, flat, n_bag = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (words, flat, n_bag))
     starts, bag_at = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(n_bag)])[:-1]
     ends = np.append(bag_at, len(flat))
@@ -179,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for t in texts:
-            yield pd.Series([m.score(x or "") for x in t], dtype="float64")
+            yield pd.Series(np.concatenate([m.scores(t.iloc[at : at + 200].tolist()) for at in range(0, len(t), 200)] or [np.empty(0)]), dtype="float64")
 
     out = docs.drop("score", "predicted").withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
