@@ -7,6 +7,7 @@ hold the n-gram, so no hash has more rows than there are batches.
 
 Orders are counted one after another. An n-gram is at most as frequent as the two shorter ones it holds, so
 only those are sent of which both have reached the count from which an n-gram counts as seen: no other can.
+Counts go back to the batches in slices, so that only a slice of them lies in shuffle files at a time.
 """
 
 from __future__ import annotations
@@ -47,10 +48,18 @@ def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], totals[order]
 
 
+def _longs(batch: pa.Table, column: str) -> np.ndarray:
+    return batch[column].chunk(0).flatten().to_numpy() if len(batch) else np.empty(0, np.int64)
+
+
 def _texts(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a batch, and the number of words of each text."""
-    words, vocab, sizes = (batch[c].chunk(0).flatten().to_numpy() if len(batch) else np.empty(0, np.int64) for c in ("words", "vocab", "sizes"))
-    return vocab.view(np.uint64)[words], sizes.astype(np.int64)
+    return _longs(batch, "vocab").view(np.uint64)[_longs(batch, "words")], _longs(batch, "sizes").astype(np.int64)
+
+
+def _known(batch: pa.Table, n: int) -> np.ndarray:
+    """For each word of a batch the total of the n-gram that ends at it (0: not counted or too few)."""
+    return _longs(batch, "c1")[_longs(batch, "words")] if n == 1 else _longs(batch, f"c{n}")
 
 
 def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
@@ -83,7 +92,7 @@ def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
     return text_of(docs, "doc_id", "text").mapInArrow(pack, f"batch long, doc_ids array<{kind}>, sizes array<int>, vocab array<long>, words array<int>, n_words long")
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_words: int = 2_000_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_words: int = 1_000_000, slices: int = 4) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
 
     Words are runs of characters other than ASCII white space, as written. The score of word w after context c is
@@ -98,66 +107,78 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
     A task holds a batch of documents and the counts of that batch's n-grams, whatever the size of the corpus.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    tokens = written(_tokens(docs, batch_words), "lm-tokens")
-    texts = tokens.select("batch", "sizes", "vocab", "words")
+    state = [written(_tokens(docs, batch_words), "lm-tokens")]
+    words_in_all = state[0].agg(F.sum("n_words")).first()[0] or 0
+    kinds = {"batch": "long", "doc_ids": f"array<{kind}>", "sizes": "array<int>", "vocab": "array<long>", "words": "array<int>"}
     asked_schema = pa.schema([("gram", pa.int64()), ("batch", pa.int64()), ("n", pa.int32())])
 
-    def rows(batch: int, grams: np.ndarray) -> pa.Table:
-        every, n = np.unique(grams, return_counts=True)
-        return pa.table([every.view(np.int64), np.full(len(every), batch), n.astype(np.int32)], schema=asked_schema)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(len(b)):
-                one = pa.Table.from_batches([b.slice(k, 1)]).combine_chunks()
-                yield from rows(one["batch"][0].as_py(), _grams(*_texts(one), 1)[0]).to_batches()
-
-    def longer(n: int):
-        def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            words, sizes = _texts(left.combine_chunks())
-            shorter, at = _grams(words, sizes, n - 1)
-            seen = np.zeros(len(words), dtype=bool)
-            seen[at] = _counts(shorter, *_table(right)) >= least
-            grams, at = _grams(words, sizes, n)
-            return rows(key[0].as_py(), grams[seen[at] & seen[at - 1]])
-
-        return ask
-
-    answers: list[DataFrame] = []
-    for n in range(1, order + 1):
-        if n == 1:
-            asked = texts.mapInArrow(single, "gram long, batch long, n int")
-        else:
-            asked = texts.groupBy("batch").cogroup(answers[-1].groupBy("batch")).applyInArrow(longer(n), "gram long, batch long, n int")
-        total = F.sum("n").over(Window.partitionBy("gram"))
-        counted = asked.withColumn("total", total).where(F.col("total") >= (least if n > 1 else 2))  # a word that isn't sent back occurs once
-        answers.append(written(counted.select("batch", F.lit(n).alias("len"), "gram", "total"), f"lm-counts-{n}"))
-
-    every = answers[0]
-    for a in answers[1:]:
-        every = every.unionByName(a)
-    words_in_all = tokens.agg(F.sum("n_words")).first()[0] or 0
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
+    def ask(n: int):
+        """The n-grams of each batch that may be seen, as ``gram, batch, n`` rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(len(b)):
+                    one = pa.Table.from_batches([b.slice(k, 1)]).combine_chunks()
+                    grams, at = _grams(*_texts(one), n)
+                    if n > 1:
+                        seen = _known(one, n - 1) >= least
+                        grams = grams[seen[at] & seen[at - 1]]
+                    every, times = np.unique(grams, return_counts=True)
+                    yield from pa.table([every.view(np.int64), np.full(len(every), one["batch"][0].as_py()), times.astype(np.int32)], schema=asked_schema).to_batches(max_chunksize=100_000)
+
+        return run
+
+    def put(n: int):
+        """Write the totals of n-grams into the batch they came from; the last ones give the scores."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            left, table = left.combine_chunks(), _table(right)
+            words, sizes = _texts(left)
+            if n == 1:
+                vocab = _longs(left, "vocab").view(np.uint64)
+                made = np.maximum(_counts(_grams(vocab, np.ones(len(vocab), np.int64), 1)[0], *table), 1)  # a word that isn't sent back occurs once
+            else:
+                made = np.zeros(len(words), dtype=np.int64)
+                grams, at = _grams(words, sizes, n)
+                made[at] = _counts(grams, *table)
+            left = left.append_column(f"c{n}", pa.array([made], pa.list_(pa.int64())))
+            return score(left) if n == order else left
+
+        return run
+
+    def score(left: pa.Table) -> pa.Table:
         words, sizes = _texts(left)
-        lens = right["len"].to_numpy()
-        tables = [_table(right.filter(pa.array(lens == n))) for n in range(1, order + 1)]
-        count = np.maximum(_counts(_grams(words, sizes, 1)[0], *tables[0]), 1)
-        logs = np.log(count / max(words_in_all, 1))
-        context = count.astype(float)  # of the (n - 1)-gram that ends at a word
+        context = _known(left, 1)
+        logs = np.log(np.maximum(context, 1) / max(words_in_all, 1))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         for n in range(2, order + 1):
-            grams, at = _grams(words, sizes, n)
-            count = _counts(grams, *tables[n - 1])
-            seen = count >= least
-            logs[at] = np.where(seen, np.log(np.where(seen, count, 1) / np.where(seen, context[at - 1], 1)), np.log(alpha) + logs[at])
-            context = np.zeros(len(words))
-            context[at] = count
+            count, at = _known(left, n), np.flatnonzero(place >= n - 1)
+            seen = count[at] >= least
+            logs[at] = np.where(seen, np.log(np.where(seen, count[at], 1) / np.where(seen, context[at - 1], 1)), np.log(alpha) + logs[at])
+            context = count
         sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
         mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
         return pa.table({"doc_id": left["doc_ids"].chunk(0).flatten(), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
 
-    scored = tokens.select("batch", "doc_ids", "sizes", "vocab", "words").groupBy("batch").cogroup(every.groupBy("batch"))
-    out = written(scored.applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double"), "lm-scores")
-    forget(tokens, *answers)
-    return out
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    for n in range(1, order + 1):
+        last = n == order
+        whole = all_of(state).select(*kinds)
+        asked = whole.mapInArrow(ask(n), "gram long, batch long, n int")
+        total = F.sum("n").over(Window.partitionBy("gram"))
+        counted = written(asked.withColumn("total", total).where(F.col("total") >= (least if n > 1 else 2)).select("batch", "gram", "total"), f"lm-counts-{n}")
+        kinds[f"c{n}"] = "array<long>"
+        schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double" if last else ", ".join(f"{c} {t}" for c, t in kinds.items())
+        done = []
+        for k in range(slices):
+            mine = F.pmod(F.xxhash64("batch"), F.lit(slices)) == k
+            both = whole.where(mine).groupBy("batch").cogroup(counted.where(mine).select("batch", "gram", "total").groupBy("batch"))
+            done.append(written(both.applyInArrow(put(n), schema), "lm-scores" if last else f"lm-state-{n}"))
+        forget(counted, *state)
+        state = done
+    return all_of(state)
