@@ -29,8 +29,9 @@ def text_of(df: DataFrame, *columns: str) -> DataFrame:
 
 def row_key() -> Column:
     """A 128-bit digest of ``doc_id`` and ``text``, which stands for a row where ids are null or repeat; a null text counts as empty."""
-    i = F.col("doc_id").cast("string")
-    return F.unhex(F.md5(F.concat(F.coalesce(F.length(i).cast("string"), F.lit("")), F.lit(":"), F.coalesce(i, F.lit("")), F.coalesce(F.col("text"), F.lit("")))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    halves = F.xxhash64(text, "doc_id"), F.xxhash64(F.lit(1), "doc_id", text)
+    return F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves])
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``row_key, doc_id, no, h, g, keys`` of every line that isn't blank: ``h, g`` are the halves of its 128-bit hash; ``keys`` are given where the task meets the line first."""
+    """``row_key, doc_id, no, h, g, keys, line`` of every line that isn't blank: ``h, g`` are the halves of its 128-bit hash; ``keys`` and ``line`` are given where the task meets the line first."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +72,7 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
                 if len(met) > 1_000_000:  # only spares work
                     met.clear()
                 keys: list = [None] * len(h)
+                lines: list = [None] * len(h)
                 if texts:
                     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
                     sizes = np.array([len(t) for t in texts])
@@ -82,49 +83,37 @@ def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
                         inside[ends - back] = False
                     starts = np.concatenate([[0], np.cumsum(sizes - p.chars + 1)])[:-1]
                     sig = signatures(sh[inside[: len(sh)]], starts, p.bands * p.rows, p.seed)
-                    for k, made in zip(fresh, band_keys(sig, p.bands, p.rows), strict=True):
-                        keys[k] = made
+                    for k, made, line in zip(fresh, band_keys(sig, p.bands, p.rows), texts, strict=True):
+                        keys[k], lines[k] = made, line
                 of, halves = pa.array(row, pa.int64()), np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64()))],
-                    ["row_key", "doc_id", "no", "h", "g", "keys"],
+                    [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(lines, pa.string())],
+                    ["row_key", "doc_id", "no", "h", "g", "keys", "line"],
                 )
 
-    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, h long, g long, keys array<long>")
+    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, h long, g long, keys array<long>, line string")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return text_of(docs, "doc_id", "text").withColumn("row_key", row_key())
 
 
-def _candidate_texts(docs: DataFrame, first: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, line`` of the wanted lines, cut from the document that ``first`` (``id, at``) names for each."""
-    per_doc = first.join(ids, "id").groupBy("at.row_key").agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "id")).alias("wanted"))  # lines of one document
-    both = _keyed(docs).join(per_doc, "row_key")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, out = [], []
-            for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
-                split = text.split("\n")
-                for w in wanted:
-                    ids.append(w["id"]), out.append(split[w["no"]].strip())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line"])
-
-    return both.select("text", "wanted").mapInArrow(cut, "id long, line string")
-
-
 def with_ids(lines: DataFrame) -> DataFrame:
     """``lines`` with ``id``, one for each 128-bit hash: its first half, or a digest of both where different lines share that half."""
     shared = written(lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h", F.lit(True).alias("shared")), "line-shared")
     return lines.join(shared, "h", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("shared", "h", "g")
 
 
-def _bits(places: set[int], n: int) -> int:
-    out = bytearray(n // 8 + 1)
-    for k in places:
-        out[k >> 3] |= 1 << (k & 7)
-    return int.from_bytes(out, "little")
+def shingle_sets(lines: list[str], n: int) -> list[np.ndarray]:
+    """The sorted different shingles of each line, by their hashes."""
+    sizes = np.array([len(t) for t in lines], dtype=np.int64)
+    made = char_shingles(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32), n)
+    return [np.unique(made[e - size : max(e - size, e - n + 1)]) for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets, of which ``b`` isn't empty."""
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
@@ -139,31 +128,26 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     """
     table = written(line_table(docs, p), "line-table")
     lines = with_ids(table)
-    members = written(shared_buckets(lines.where("keys is not null").select("id", F.explode("keys").alias("key"))), "line-buckets")
-    first = lines.groupBy("id").agg(F.min(F.struct("row_key", "no")).alias("at"))  # combines on the map side: a common line is one row a task
-    texts = written(_candidate_texts(docs, first, members.select("id").distinct()), "line-texts")
+    met = lines.where("keys is not null")  # a line once for each task that met it
+    members = shared_buckets(met.select("id", F.explode("keys").alias("key")))
+    texts = met.select("id", "line").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
-        """Links enough to join what is connected: a line is compared with one group after another, and with a group until one member is near.
-
-        A line's shingles are bits over the unit's shingles, so an intersection is one operation on integers.
-        """
+        """Links enough to join what is connected: a line is compared with one group after another, and with a group until one member is near."""
         rows = list({r["id"]: r for r in rows}.values())
         across = rows[0]["i"] != rows[0]["j"]
-        place: dict[str, int] = {}
-        sets = [{place.setdefault(r["line"][k : k + p.chars], len(place)) for k in range(len(r["line"]) - p.chars + 1)} for r in rows]
-        masks = [_bits(s, len(place)) for s in sets]
+        sets = [r["line"] for r in rows]
         sizes = [len(s) for s in sets]
         u, groups = Union(len(rows)), []
-        for x, (mask, n) in enumerate(zip(masks, sizes, strict=True)):
+        for x, (own, n) in enumerate(zip(sets, sizes, strict=True)):
             near = []
             for g in groups:
                 for y in g:
                     o = sizes[y]
                     if (n < p.least * o or o < p.least * n) or (across and rows[x]["mine"] == rows[y]["mine"]):
                         continue
-                    both = (mask & masks[y]).bit_count()
+                    both = _common(own, sets[y])
                     if both >= p.least * (n + o - both) - 1e-9:
                         near.append(g)
                         u.join(x, y)
@@ -173,8 +157,8 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
         return [(r["id"], rows[u.find(x)]["id"]) for x, r in enumerate(rows) if u.find(x) != x]
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    edges = written(by_unit(units, verify, schema, "a long, b long"), "line-links")
-    forget(members, texts)
+    edges = written(by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line"), "line-links")
+    forget(members)
     roots = components(edges)
     slim = lines.select("row_key", "doc_id", "no", "id")
     rooted = written(slim.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "line-roots")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, written
@@ -14,18 +14,18 @@ from .common import forget, written
 def shared_buckets(keys: DataFrame) -> DataFrame:
     """``bucket, n, id`` of the buckets with several members, from ``key, id`` rows.
 
-    Bands that hold the very same members are one bucket (its name is a 128-bit digest of the members folded to
-    64 bits), so a set of near copies that meets in many bands is verified once. Repeated rows don't count.
+    Bands that hold the very same members are one bucket (its name is a digest of the members), so a set of near
+    copies that meets in many bands is verified once. Repeated rows don't count. What is known of a key is
+    combined on the map side, written, and joined back, so that a key with very many members can be split.
     """
-    rows = keys.repartition("key").groupBy("key", "id").agg(F.lit(1).alias("one"))
-    w = Window.partitionBy("key")
-    rows = rows.select(
-        "id",
-        F.count(F.lit(1)).over(w).alias("n"),
-        F.bit_xor(F.xxhash64("id")).over(w).alias("x"),
-        F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).over(w).alias("s"),
-    )
-    return rows.where("n > 1").select(F.xxhash64("n", "x", "s").alias("bucket"), "n", "id").distinct()
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "bucket-keys")
+    rows = written(keys.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "bucket-rows")  # few keys are shared: no sort of all rows
+    forget(shared)
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"))
+    named = written(sums.select("key", "n", F.xxhash64("n", "x", "s").alias("bucket")), "bucket-names")
+    members = written(rows.join(named, "key").select("bucket", "n", "id").distinct(), "buckets")
+    forget(rows, named)
+    return members
 
 
 def in_blocks(members: DataFrame, size: int) -> DataFrame:
@@ -39,10 +39,11 @@ def in_blocks(members: DataFrame, size: int) -> DataFrame:
     return m.select(F.xxhash64("bucket", i, j).alias("unit"), "bucket", "mine", i.alias("i"), j.alias("j"), "id", *[c for c in members.columns if c not in ("bucket", "n", "id")])
 
 
-def by_unit(rows: DataFrame, work: Callable[[int, list[dict]], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+def by_unit(rows: DataFrame, work: Callable[[int, list[dict]], list[tuple]], schema: pa.Schema, ddl: str, made_of: Callable[[list], list] | None = None, column: str = "") -> DataFrame:
     """Call ``work(unit, its rows)`` for each unit and return the tuples it gives.
 
     Rows are dealt by unit and sorted, and a task walks its partition as a stream, so it holds one unit at a time.
+    ``made_of`` turns the values of ``column`` into others, many at once.
     """
     names = rows.columns
 
@@ -51,13 +52,16 @@ def by_unit(rows: DataFrame, work: Callable[[int, list[dict]], list[tuple]], sch
         made: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*made, strict=True)) if made else [[]] * len(schema)
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            values = list(zip(*made, strict=True)) if made else [[]] * len(schema)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(values, schema.types, strict=True)], schema=schema)
             made.clear()
             return out
 
-        for b in batches:
-            for values in zip(*(b[c].to_pylist() for c in names), strict=True):
+        for b in (whole.slice(at, 2000) for whole in batches for at in range(0, len(whole), 2000)):
+            columns = {c: b[c].to_pylist() for c in names}
+            if made_of:
+                columns[column] = made_of(columns[column])
+            for values in zip(*(columns[c] for c in names), strict=True):
                 row = dict(zip(names, values, strict=True))
                 if held and held[0]["unit"] != row["unit"]:
                     made += work(held[0]["unit"], held)
