@@ -72,7 +72,7 @@ def _tokens(text: str, hashes: WordHashes) -> np.ndarray:
 
 def _labels(sig: np.ndarray, p: Forest) -> list[list[bytes]]:
     """For each signature its label in each tree: the tree's number, then two bytes a value."""
-    values = mix(sig.astype(np.uint64)).astype(">u2").reshape(len(sig), p.trees, p.depth)
+    values = np.ascontiguousarray(mix(sig.astype(np.uint64)).astype(">u2")).reshape(len(sig), p.trees, p.depth)
     raw = np.empty((len(sig), p.trees, 1 + 2 * p.depth), dtype=np.uint8)
     raw[:, :, 0] = np.arange(p.trees)
     raw[:, :, 1:] = values.view(np.uint8).reshape(len(sig), p.trees, 2 * p.depth)
@@ -182,10 +182,12 @@ def ngram_join(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     while True:
         keys = near.where(F.col("shared") >= depth).select(F.xxhash64(_prefix(F.col("label"), depth)).alias("key"), "id")
         name = F.col("bucket").bitwiseAND((1 << 59) - 1)
-        members = shared_buckets(keys).withColumn("bucket", name + F.lit(p.depth - depth) * F.lit(1 << 59))
+        buckets = shared_buckets(keys)
+        members = buckets.withColumn("bucket", name + F.lit(p.depth - depth) * F.lit(1 << 59))
         for earlier in met:
             members = members.join(earlier.select(name.alias("_seen")).distinct(), name == F.col("_seen"), "left_anti")
         met.append(written(members, "join-buckets"))
+        forget(buckets)
         every = met[0]
         for m in met[1:]:
             every = every.unionByName(m)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -254,13 +254,14 @@ def encode_pieces(docs: DataFrame, model: PieceModel, verify: bool = True) -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model's own table, whatever the input
     kept = docs.drop("input_ids", "n_tokens", "round_trip")
+    place = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
-                texts = [t or "" for t in b["text"].to_pylist()]
+                texts = [t or "" for t in b.column(place).to_pylist()]
                 ids = [c.encode(t) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))), pa.array(np.diff(ends).astype(np.int64))]
@@ -268,19 +269,26 @@ def encode_pieces(docs: DataFrame, model: PieceModel, verify: bool = True) -> Da
                     made.append(pa.array([c.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "input_ids", "n_tokens", "round_trip"][: len(b.schema.names) + len(made)])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", input_ids array<int>, n_tokens long" + ", round_trip boolean" * verify
-    return kept.mapInArrow(run, schema)
+    return _through(kept, run, {"input_ids": "array<int>", "n_tokens": "long"} | ({"round_trip": "boolean"} if verify else {}))
+
+
+def _through(rows: DataFrame, run: Callable, added: dict[str, str]) -> DataFrame:
+    """``rows.mapInArrow`` with columns added behind the others; any name is allowed, so they go through under plain ones."""
+    plain = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
+    schema = ", ".join([f"{n} {t}" for n, t in plain.dtypes] + [f"{n} {t}" for n, t in added.items()])
+    return plain.mapInArrow(run, schema).toDF(*rows.columns, *added)
 
 
 def decode_pieces(rows: DataFrame, model: PieceModel) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``input_ids`` (null for null); ids outside the model raise IndexError."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = rows.drop("decoded")
+    place = kept.columns.index("input_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            texts = [None if i is None else c.decode(i) for i in b["input_ids"].to_pylist()]
+            texts = [None if i is None else c.decode(i) for i in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", decoded string")
+    return _through(kept, run, {"decoded": "string"})

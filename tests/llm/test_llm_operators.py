@@ -266,8 +266,26 @@ def test_exact(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """With every hash the same, only the bytes tell texts apart."""
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: exact_dedup.F.lit("one hash"))
+    got = exact_dedup.exact_dedup(docs(spark, (1, "a b"), (2, "a  b"), (3, "c"), (4, "d"))).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)]
+
+
 # ---- 6
 
+def test_pieces_and_parts(spark):
+    """Lists cut small give the same neighbours, and candidates are copied by the queries that probe their list, not by all rows."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    rows = lambda p: sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, p).collect())
+    whole = rows(ann.AnnIndex())
+    small = rows(ann.AnnIndex(rows=16, asked=4))
+    assert len(whole) == len(small) == 400
+    assert len({x[:3] for x in whole} & {x[:3] for x in small}) >= 0.9 * 400
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
@@ -445,6 +463,13 @@ def test_line_places(spark):
     assert got == [(0, 1, [0], [(1, 1)]), (1, 2, [], []), two, two, (3, 0, [], []), (4, 0, [], []), (5, 0, [], [])]
 
 
+def test_lines_that_share_half_a_hash(spark, monkeypatch):
+    """Lines are told apart by all 128 bits."""
+    lines = spark.createDataFrame([(b"k", 1, 0, 5, 7, None), (b"k", 1, 1, 5, 8, None), (b"k", 1, 2, 6, 9, None)], "row_key binary, doc_id int, no int, h long, g long, keys array<long>")
+    got = {r.no: r.id for r in line_dedup.with_ids(lines).collect()}
+    assert len(set(got.values())) == 3 and got[2] == 6
+
+
 def test_line_blocks(spark):
     """A bucket cut into blocks gives the same lines."""
     rng = random.Random(10)

@@ -97,9 +97,69 @@ def test_pipeline_odd_rows(spark, sf_dir, rows):
     import corpus_pipeline
     from quizlake.llm.common import written
 
-    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "odd").selectExpr("*", "1 as score", "2 as size", "'x' as _gone_")
+    names = ["score", "size", "_gone_", "_gone", "gone", "row_key", "row", "_row", "_times", "times", "_copy", "col", "_score", "_predicted", "predicted", "class_id", "id", "key", "taken"]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "odd").selectExpr("*", *[f"'{n}' as `{n}`" for n in names], "map('a', doc_id) as m", "1 as `a.b`")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = written(stage(spark, docs, sf_dir), name)
         assert after.columns == docs.columns and after.count() <= 3 * docs.count()
+        assert all(r[n] == n for r in after.collect() for n in names)
         docs = after
     corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+def test_which_of_repeated_rows_stays(spark):
+    """Rows that repeat an id and text but differ elsewhere: the same one stays however the rows lie."""
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f g", f"source {k}") for k in range(20)] + [(2, "other words here", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.one_of_near):
+        got = {tuple(sorted((r.doc_id, r.source) for r in stage(spark, df.repartition(k), "").collect())) for k in (1, 7)}
+        assert len(got) == 1 and len(next(iter(got))) == 2
+
+
+def test_ann_recall(spark):
+    """The registered query over the given vectors, against brute force."""
+    import collections
+
+    import numpy as np
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    got = collections.defaultdict(list)
+    for r in QUERIES["op6_ann"](spark, sf).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = total = 0
+    for k, i in enumerate(ids.tolist()):
+        if i % 20 == 0:
+            s = x @ x[k]
+            best = [ids[j] for j in np.lexsort((ids, -s)) if j != k][:20]
+            hits, total = hits + len(set(best) & set(got[i])), total + len(best)
+            assert len(got[i]) == len(best)
+    assert hits / total >= 0.95
+
+
+def test_lines_and_documents_against_brute_force(spark, sf_dir):
+    """The registered queries over whole documents."""
+    from test_llm_operators import brute_join, brute_lines
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    lines = {(r.doc_id, k) for r in QUERIES["op9_line_dedup"](spark, sf_dir).collect() for k in r.dropped}
+    assert lines == brute_lines(docs, 5)
+    want = brute_join(docs)
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in QUERIES["op10_ngram_join"](spark, sf_dir).collect()} == want
+
+
+def test_toxicity_on_the_given_labels(spark):
+    """Held-out labelled rows of sf0.1: what training on the other labels catches and what it leaves alone."""
+    from quizlake.llm import toxicity
+    from quizlake.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
+    model = toxicity.fit(*toxicity.training_sample(docs, labels))
+    out = [(r.text or "", r.toxic) for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    said = [s >= 0.5 for s in model.scores([t for t, _ in out])]
+    caught = sum(s for s, (_, y) in zip(said, out, strict=True) if y)
+    assert caught >= 0.9 * sum(y for _, y in out) and sum(s for s, (_, y) in zip(said, out, strict=True) if not y) <= 0.02 * len(out)
