@@ -89,10 +89,10 @@ def page_scan(spark, d):
     return io.scan_pages(spark, path, page=r"file=page_(\d+)/", doc=r"exam=([^/]+)/").select("doc_id", "page", F.md5(F.regexp_replace("text", r"\n$", "")).alias("md5"))
 
 
-@query("select c_custkey number, c_mktsegment \"text\", 2 n from customer")
+@query("select c_custkey number, c_mktsegment \"text\", cast(2 + c_custkey % 3 as integer) n from customer")
 def qcm_scan(spark, d):
     path = scratch.new_path(spark, "questions")
-    q = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_custkey").alias("number"), F.lit(1).alias("page"), F.col("c_mktsegment").alias("text"), F.create_map(F.lit("A"), F.col("c_mktsegment"), F.lit("B"), F.lit("other")).alias("propositions")).alias("q"))
+    q = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_custkey").alias("number"), F.lit(1).alias("page"), F.col("c_mktsegment").alias("text"), F.map_from_arrays(F.slice(F.array(*[F.lit(x) for x in "ABCD"]), F.lit(1), (2 + F.col("c_custkey") % 3).cast("int")), F.slice(F.array(F.col("c_mktsegment"), *[F.lit(x) for x in ("b", "c", "d")]), F.lit(1), (2 + F.col("c_custkey") % 3).cast("int"))).alias("propositions")).alias("q"))
     q.groupBy("nation").agg(F.to_json(F.collect_list("q")).alias("value")).write.partitionBy("nation").text(path)
     got = io.scan_questions(spark, path, glob="*.txt").where("_corrupt_record is null")
     return got.select(F.col("number").cast("long").alias("number"), "text", F.size("propositions").alias("n"))
@@ -495,19 +495,19 @@ ORACLE_SQL["validate_rows"] = "select doc_id number, cast(coalesce(case when doc
 
 
 def _with_orphans(spark, d):
-    """Documents as pages; every third begins with options of the page before."""
-    opts = F.when(F.col("page") % 3 == 0, F.concat(F.lit("a- First "), F.col("doc_id"), F.lit("\n(b) Second "), F.col("doc_id"), F.lit("\nc- short\n34- Next question here\nd- not an orphan\n"))).otherwise("")
+    """Documents as pages; every third begins with two or three options of the page before."""
+    opts = F.when(F.col("page") % 3 == 0, F.concat(F.lit("a- First "), F.col("doc_id"), F.lit("\n(b) Second "), F.col("doc_id"), F.when(F.col("page") % 2 == 0, F.concat(F.lit("\n[E]  Third: "), F.col("page"))).otherwise(""), F.lit("\nc- short\n34- Next question here\nd- not an orphan\n"))).otherwise("")
     return as_pages(spark, d).withColumn("text", F.concat(opts, "text"))
 
 
-@query(f"with {PAGES} select doc_id, page, 'First ' || doc_id a, 'Second ' || doc_id b, 2 n from pages_ where page % 3 = 0")
+@query(f"with {PAGES} select doc_id, page, 'First ' || doc_id a, 'Second ' || doc_id b, case when page % 2 = 0 then 'Third: ' || page end e, case when page % 2 = 0 then 3 else 2 end n from pages_ where page % 3 = 0")
 def orphan_options(spark, d):
     o = questions.orphan_options(_with_orphans(spark, d)).where("page % 3 = 0")
-    return o.select("doc_id", "page", F.col("orphans")["A"].alias("a"), F.col("orphans")["B"].alias("b"), F.size("orphans").alias("n"))
+    return o.select("doc_id", "page", F.col("orphans")["A"].alias("a"), F.col("orphans")["B"].alias("b"), F.col("orphans")["E"].alias("e"), F.size("orphans").alias("n"))
 
 
 @query(f"""with {PAGES}, c as (select doc_id, max(page) last from pages_ group by 1)
-           select p.doc_id, p.page, cast(case when p.page % 3 = 2 and p.page < last then 3 else 2 end as integer) n_options, case when p.page % 3 = 2 and p.page < last then p.page + 1 end merged_from from pages_ p join c using (doc_id) where p.page % 6 <> 3 """)
+           select p.doc_id, p.page, cast(case when p.page % 3 = 2 and p.page < last then 3 + (p.page % 2) else 2 end as integer) n_options, case when p.page % 3 = 2 and p.page < last then p.page + 1 end merged_from from pages_ p join c using (doc_id) where p.page % 6 <> 3 """)
 def split_merge(spark, d):
     p = _with_orphans(spark, d).where("page % 3 = 0").unionByName(as_pages(spark, d).where("page % 3 <> 0").withColumn("text", F.lit("1- Question")))
     q = as_pages(spark, d).select("doc_id", "page", F.lit(0).alias("pos"), F.when(F.col("page") % 6 == 3, 0).otherwise(F.col("page")).alias("number"), F.lit("q").alias("text"), F.create_map(F.lit("B"), F.lit("x"), F.lit("C"), F.lit("y")).alias("propositions"))
@@ -829,10 +829,10 @@ def fix_apply(spark, d):
     return completion.apply_fix_blocks(p, blocks).select("doc_id", "page", F.md5("text").alias("md5"), "fixed")
 
 
-@query("select event_id, case when event_type = 'error' then 'error' when event_type = 'purchase' then 'ok' when event_type = 'view' then 'warn' else 'info' end type from events")
+@query("select event_id, case when event_id % 7 = 0 or event_type = 'error' then 'error' when event_type = 'purchase' then 'ok' when event_type = 'view' then 'warn' else 'info' end type from events")
 def log_classify(spark, d):
     mark = F.when(F.col("event_type") == "error", "❌ failed ").when(F.col("event_type") == "purchase", "[OK] ").when(F.col("event_type") == "view", "⚠️ ").otherwise("")
-    return table(spark, d, "events").select("event_id", T.log_type(F.concat(mark, F.col("props"))).alias("type"))
+    return table(spark, d, "events").select("event_id", T.log_type(F.concat(mark, F.col("props"), F.when(F.col("event_id") % 7 == 0, " ERROR 5").otherwise(""))).alias("type"))
 
 
 @query("select doc_id, md5('Analyse (' || lang || '):' || chr(10) || substr(text, 1, 2000)) md5 from documents")
