@@ -10,9 +10,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,21 +102,26 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 _tokenizers: dict = {}
 
 
-def load_tokenizer(path: str, template: ChatTemplate):
-    """A public tokenizer file with the template's marks as added tokens; other special strings stay text."""
+def load_tokenizer(data: str, template: ChatTemplate):
+    """A public tokenizer, from its file's content, with the template's marks as added tokens; other special strings stay text. One for each in a worker process."""
     from tokenizers import AddedToken, Tokenizer
     from tokenizers.decoders import ByteLevel
     from tokenizers.processors import ByteLevel as ByteOffsets
 
-    if (path, template) not in _tokenizers:
-        t = Tokenizer.from_file(path)
+    if (data, template) not in _tokenizers:
+        t = Tokenizer.from_str(data)
         t.encode_special_tokens = True
         if isinstance(t.decoder, ByteLevel):
             t.post_processor = ByteOffsets(trim_offsets=False)  # a token's span then holds its leading space
         t.add_tokens([AddedToken(x, normalized=False, special=False) for x in template.marks])
         t.no_truncation()
-        _tokenizers[path, template] = t
-    return _tokenizers[path, template]
+        _tokenizers[data, template] = t
+    return _tokenizers[data, template]
+
+
+def _shipped(rows: DataFrame, path: str) -> Broadcast:
+    """The tokenizer file's content, read on the driver: executors need no file of their own."""
+    return rows.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
 def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), tokenizer: str = TOKENIZER, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -125,11 +132,12 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), token
     texts are escaped (see ``ChatTemplate``). A conversation without loss roles has an all-false mask; an empty
     table gives no rows. A rendered conversation is one row and its turns meet in one task, as the format needs.
     """
+    shared = _shipped(rows, tokenizer)
     turns = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer, template)
+        tok = load_tokenizer(shared.value, template)
         for whole in batches:
             for at in range(0, len(whole), 64):
                 b = whole.slice(at, 64)
@@ -150,8 +158,10 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), token
 def chat_digest(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), tokenizer: str = TOKENIZER) -> DataFrame:
     """What can be read back from ``format_chats``: turns parsed from the formatted text, loss text decoded from the masked ids."""
 
+    shared = _shipped(formatted, tokenizer)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer, template)
+        tok = load_tokenizer(shared.value, template)
         for b in batches:
             out = []
             for text, ids, mask in zip(b["formatted"].to_pylist(), b["input_ids"], b["loss_mask"], strict=True):
