@@ -284,3 +284,30 @@ def test_nearest_module(spark):
     for block in (2, 512):
         got = {r.name: (r.confidence, r.module) for r in metadata.nearest_module(n, m, 0.3, block).collect()}
         assert got == {x: (c, mod) for x, (c, _, mod) in want.items() if c > 0.3}
+
+
+def test_registered_for_sql(spark):
+    T.register(spark)
+    got = spark.sql("select indel_ratio('abcd', 'abd') a, sequence_ratio('abcd', 'bcde') b, normalize_nfkd('ﬁn É') c").first()
+    assert (round(got.a, 6), got.b, got.c) == (round(6 / 7, 6), 0.75, "fin e")
+
+
+def test_object(spark):
+    assert one(spark, 'Sure: {"a": 1, "b": "x"} done', completion.parse_object) == {"a": "1", "b": "x"}
+    assert one(spark, "none", completion.parse_object) is None and one(spark, '{"a": ', completion.parse_object) is None
+
+
+def test_runs(spark, tmp_path):
+    from quizlake.sources import io
+
+    for run, v in (("2024-01-01", 1), ("2024-01-02", 2)):
+        io.save_run(spark.createDataFrame([(v,)], "v int"), str(tmp_path), "3", run)
+    assert rows(io.load_runs(spark, str(tmp_path), "3"), "v", "run_id") == [(1, "2024-01-01"), (2, "2024-01-02")]
+    assert rows(io.load_runs(spark, str(tmp_path), "3", "current"), "v") == [(2,)] and rows(io.load_runs(spark, str(tmp_path), "3", "2024-01-01"), "v") == [(1,)]
+
+
+def test_index(spark):
+    from quizlake.sources.scratch import with_index
+
+    got = with_index(spark.createDataFrame([(k * 7 % 101,) for k in range(101)], "k int").repartition(9), ["k"]).collect()
+    assert all(r["index"] == r.k for r in got) and len(got) == 101
