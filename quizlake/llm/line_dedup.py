@@ -130,7 +130,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     lines = with_ids(table)
     met = lines.where("keys is not null")  # a line once for each task that met it
     members = shared_buckets(met.select("id", F.explode("keys").alias("key")))
-    texts = met.select("id", "line").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = written(met.select("id", "line").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
@@ -158,7 +158,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     edges = written(by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line"), "line-links")
-    forget(members)
+    forget(members, texts)
     roots = components(edges)
     slim = lines.select("row_key", "doc_id", "no", "id")
     rooted = written(slim.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "line-roots")
