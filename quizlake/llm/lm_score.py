@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, text_of, written
-from .shingles import WordHashes, joined
+from .shingles import joined
 
 
 def _grams(words: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +69,28 @@ def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        ids, texts, total = [], [], 0
+        ids, sizes, words, total = [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            vocab, index = np.unique(np.concatenate(texts), return_inverse=True)
-            columns = [int.from_bytes(os.urandom(7), "little"), ids, [len(t) for t in texts], vocab.view(np.int64), index.astype(np.int32), len(index)]
+            vocab, index = np.unique(np.concatenate(words), return_inverse=True)
+            columns = [int.from_bytes(os.urandom(7), "little"), ids, np.concatenate(sizes), vocab.view(np.int64), index.astype(np.int32), len(index)]
             kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
 
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
             id_type = b.schema.field("doc_id").type
-            for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = t.encode().split()
-                ids.append(i)
-                texts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
-                total += len(words)
-                if total >= batch_words or len(ids) >= batch_words:
-                    yield full()
-                    ids, texts, total = [], [], 0
+            split = pc.ascii_split_whitespace(b["text"])
+            flat, ends = split.flatten(), np.cumsum([0, *pc.list_value_length(split).to_pylist()])
+            word = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves an empty one
+            sizes.append(np.diff(np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])[ends]))
+            coded = flat.filter(word).dictionary_encode()
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+            words.append(hashes[coded.indices.to_numpy()])
+            ids += b["doc_id"].to_pylist()
+            total += len(words[-1])
+            if total >= batch_words or len(ids) >= batch_words:
+                yield full()
+                ids, sizes, words, total = [], [], [], 0
         if ids:
             yield full()
 
