@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
+from . import ann, centroids, chat_format, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
 from .common import table
 
 #: Of op9: with 5 characters a changed character costs at most 5 shingles, so lines from 49 characters bear one in their middle.
@@ -73,12 +73,36 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join, op11_centroids)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+def _centroid_sql(p: centroids.Clustering = centroids.Clustering()) -> str:
+    """The rounds written out; products of integers below 2**53 are exact in doubles."""
+    assign = "select rid, vec_id, v, arg_min(cluster, (dist, cluster)) cluster, min(dist) dist from (select rid, vec_id, v, cluster, list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c) dist from k, {c}) group by rid, vec_id, v"
+    steps = [
+        f"k as (select row_number() over () rid, vec_id, [floor({p.scale} * x::double) for x in embedding]::double[] v from embeddings where len(embedding) = {p.dim} and len([x for x in embedding if x is null or not isfinite(x)]) = 0)",
+        f"c0 as (select row_number() over (order by sha256('{p.seed}:' || vec_id), v) - 1 cluster, v c from k qualify cluster < {p.k})",
+    ]
+    for r in range(1, p.rounds + 1):
+        steps.append(f"a{r} as ({assign.format(c=f'c{r - 1}')})")
+        steps.append(f"s{r} as (select cluster, i, sum(x::hugeint) s, count(*) n from (select cluster, generate_subscripts(v, 1) i, unnest(v) x from a{r}) group by all)")
+        steps.append(f"m{r} as (select cluster, list(((s - ((s % n) + n) % n) // n)::double order by i) c from s{r} group by cluster)")
+        steps.append(f"c{r} as (select cluster, coalesce(m.c, o.c) c from c{r - 1} o left join m{r} m using (cluster))")
+    steps.append(f"f as ({assign.format(c=f'c{p.rounds}')})")
+    return "with " + ",\n".join(steps) + f"""
+        select vec_id, cluster::int cluster, dist::bigint distance, sum(dist::bigint) over (partition by cluster)::bigint cluster_inertia, sum(dist::bigint) over ()::bigint inertia,
+               sha256(array_to_string([x::bigint for x in c.c], ',')) centroid_sha256
+        from f join c{p.rounds} c using (cluster)"""
+
+
 ORACLE_SQL = {
+    "op11_centroids": _centroid_sql(),
     "op3_lm_score_bigrams": rf"""
         with w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
         t as (select rid, i, ws[i] w, case when i > 1 then ws[i - 1] end c from (select rid, ws, unnest(generate_series(1, len(ws))) i from w)),
