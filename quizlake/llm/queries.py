@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, chat_format, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
+from . import ann, centroids, chat_format, divergence, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
 from .common import table
 
 #: Of op9: with 5 characters a changed character costs at most 5 shingles, so lines from 49 characters bear one in their middle.
@@ -77,7 +77,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join, op11_centroids)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join, op11_centroids, op12_divergence)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -102,6 +106,19 @@ def _centroid_sql(p: centroids.Clustering = centroids.Clustering()) -> str:
 
 
 ORACLE_SQL = {
+    "op12_divergence": r"""
+        with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t from documents),
+        w as (select rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+        vocab as (select lang, term, count(*) ln from w group by lang, term having count(distinct rid) >= 10),
+        lv as (select lang, count(*) v, sum(ln) nn from vocab group by lang),
+        own as (select lang, source, term, count(*) n from w join vocab using (lang, term) group by all),
+        g as (select lang, source, coalesce(v, 0) v, coalesce(lv.nn, 0) ln, coalesce(o.nn, 0) n from (select distinct lang, source from d) left join lv using (lang) left join (select lang, source, sum(n) nn from own group by all) o using (lang, source)),
+        p as (select g.lang, g.source, term, coalesce(o.n, 0) c, 1 + 1000000000::hugeint * (coalesce(o.n, 0) + 2) // (g.n + 2 * g.v) p, 1 + 1000000000::hugeint * (vocab.ln + 2) // (g.ln + 2 * g.v) q
+              from g join vocab using (lang) left join own o using (lang, source, term)),
+        pv as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) x from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(x, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+        terms as (select lang, source, 'term' part, term item, ((p - q) * (p - q) // (p + q))::bigint as value from p where c > 0 and p > q)
+        select *, row_number() over (partition by lang, source, part order by value desc, item)::int rank from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 10""",
     "op11_centroids": _centroid_sql(),
     "op3_lm_score_bigrams": rf"""
         with w as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),

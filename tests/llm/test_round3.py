@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quizlake.llm import centroids
+from quizlake.llm import centroids, divergence
 
 
 def _plain_clusters(rows, p):
@@ -53,3 +56,43 @@ def test_clusters_odd_tables(spark):
     assert centroids.cluster_digest(spark.createDataFrame([(1, None), (2, [1.0])], schema), p).collect() == []
     out = centroids.cluster_digest(spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1e9, 0.0])], schema), p).collect()
     assert sorted((str(r["vec_id"]), r["cluster"], r["distance"], r["inertia"]) for r in out) == [("1", 0, 0, 0), ("None", 0, 0, 0)]
+
+
+def _plain_audit(rows, d):
+    rows = [(*[(x or "") for x in (lang, source)], re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for lang, source, text in rows]
+    out = []
+    for lang in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == lang]
+        seen = Counter(t for r in own for t in set(r[2]))
+        kept = [t for t, n in seen.items() if n >= d.documents]
+        count = {s: Counter(t for r in own if r[1] == s for t in r[2] if seen[t] >= d.documents) for s in {r[1] for r in own}}
+        every = sum(count.values(), Counter())
+        share = lambda c, t: 1 + d.scale * (c[t] + d.add) // (c.total() + d.add * len(kept))  # noqa: B023, E731
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        for s, c in count.items():
+            pairs = [(o, sum(f(share(c, t), share(count[o], t)) for t in kept)) for o in count if o != s]
+            terms = [(t, f(share(c, t), share(every, t))) for t in c if share(c, t) > share(every, t)]
+            for part, items, top in (("pair", pairs, None), ("term", terms, d.top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:top]
+                out += [(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(ranked)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("d", [divergence.Divergence(documents=2, slice=3, block=2, top=3), divergence.Divergence(documents=3), divergence.Divergence(documents=50, block=1)])
+def test_divergence_against_plain(spark, d):
+    rng = random.Random(3)
+    words = ["Ab", "ab", "AB", "été", "ÉTÉ", "x1y", "日本", "don't", "zz", "q", "Ω", "ß", "long" * 5000]
+    rows = [(rng.choice(["en", "fr", None, ""]), rng.choice(["a", "b", "c", "d", "e", "é", None]), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(90)]
+    rows += [("en", "empty", None), ("en", "a", "ab ab ab"), ("en", "a", "ab ab ab"), ("de", "one", "nur einmal"), ("xx", "p", "..."), ("xx", "q", "")]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({"term": F.lit(1), "n": F.lit("x"), "no": F.lit(None)})
+    assert sorted(map(tuple, divergence.audit_sources(df, d).collect())) == _plain_audit(rows, d)
+
+
+def test_divergence_shares_of_large_counts():
+    d = divergence.Divergence()
+    counts = np.array([0, 7, 10**15], dtype=np.int64)
+    assert divergence.shares(counts, 2 * 10**15, d).tolist() == [1 + 10**9 * (c + 2) // (2 * 10**15) for c in (0, 7, 10**15)]
+
+
+def test_divergence_empty_table(spark):
+    assert divergence.audit_sources(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
