@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame -> DataFrame operators and their queries.
+"""Training-data operators: thirteen DataFrame -> DataFrame operators and their queries.
 
 Nothing outside this subpackage imports it.
 """

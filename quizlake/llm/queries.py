@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, chat_format, divergence, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity
+from . import ann, centroids, chat_format, divergence, exact_dedup, licenses, line_dedup, lm_score, mixing, ngram_join, sentencepiece, toxicity, wrappers
 from .common import table
 
 #: Of op9: with 5 characters a changed character costs at most 5 shingles, so lines from 49 characters bear one in their middle.
@@ -81,7 +81,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join, op11_centroids, op12_divergence)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_score, op3_lm_score_bigrams, op4_license_scan, op5_exact_dedup, op6_ann, op7_mix, op8_chat_format, op9_line_dedup, op10_ngram_join, op11_centroids, op12_divergence, op13_html_text)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import json
 import math
 import random
 import re
@@ -12,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quizlake.llm import centroids, divergence
+from quizlake.llm import centroids, divergence, wrappers
+from quizlake.llm.html_groups import fold, load, parse
 
 
 def _plain_clusters(rows, p):
@@ -96,3 +99,72 @@ def test_divergence_shares_of_large_counts():
 
 def test_divergence_empty_table(spark):
     assert divergence.audit_sources(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
+
+
+def _articles(page):
+    """The text between the article tags, for pages that have one article and nothing to leave out inside it."""
+    own = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(h1|p|br)[^>]*>", " ", own))).split())
+
+
+def test_html_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: _articles(r["html"]) for r in pages.collect()}
+    got = wrappers.extract_text(pages).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def _plain_page(k, rng):
+    """A page of blocks without telling names: a menu, a notice, the article, readers' links, a footer."""
+    say = lambda n: " ".join("".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(n)) + "."
+    title, paragraphs = say(5), [say(rng.randint(20, 40)) for _ in range(rng.randint(1, 6))]
+    menu = "".join(f'<div class="c1"><a href="/{x}">{x} page</a></div>' for x in ("home", "news", "sport"))
+    extra = f"<div class='c7'><div><a href='/{say(1)}'>{say(6)}</a></div><div><a href='/x'>{say(5)}</a></div></div>" if k % 2 else ""
+    body = "".join(f"<p>{t}" + ("</p>" if rng.random() < 0.5 else "") for t in paragraphs)
+    page = f"<html><body><div class='c0'>{menu}</div><div class='c2'>We set small files on your machine &amp; more. Read on or go.</div><div class='c3'><h1>{title}</h1><div class='c4'>{body}</div></div>{extra}<div class='c9'>All rights with the owner of this place, since long ago.</div></body></html>"
+    return page, " ".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_html_without_telling_names(spark, most):
+    rng = random.Random(5)
+    pages = [_plain_page(k, rng) for k in range(40)]
+    rows = [(k, f"http://Plain.Example.org:80/{k}", p) for k, (p, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(df, wrappers.Wrapping(most=most, block=3)).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(pages)}
+
+
+def test_html_leaves_out_what_is_not_the_article(spark):
+    page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+    <nav>menu</nav><div id="cookie-notice">cookies</div><main><article class="post comments-open"><header><h1>Head  line</h1></header><p>One&nbsp;&lt;b&gt; <b>bo</b>ld<br>two<script>var x="</p>";</script>
+    <div class="ad-slot">buy</div><aside>side</aside><form><p>mail<input></form><ul><li>a<li>b <a href=x>link</a></ul><table><tr><td>c<td>d</table><pre> e
+    f </pre><p hidden>gone</p><div style="display:none">gone</div><section class="entry-content">kept &copy; 5 < 6</section>
+    <div class="comments"><article id="comment-1"><p>reader</article></div></article></main><footer>foot</footer><!-- <p>no --></body></html>"""
+    got = wrappers.main_text(page, None)
+    assert got == "Head line One <b> bold two a b link c d e f kept \u00a9 5 < 6"
+
+
+def test_html_odd_pages(spark):
+    deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000
+    rows = [(1, None, None), (1, None, None), (2, "", ""), (3, "not a url", "no markup, only text"), (None, "http://a/", "<article>x"), (5, "http://a/", deep), (6, "http://b/?q", "<p>" * 50_000 + "end"), (7, "http://b/", "<a '" * 20_000), (8, "http://c", "<article></article><p>only this"), (9, "http://c", "<b><i>" * 20_000 + "in" + "<li>x" * 2000)]
+    rows += [(20 + k, "http://copies/", "<div><p>the same text on every page</p></div>") for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "text": F.lit("x"), "wrapper": F.lit(None)})
+    got = {}
+    for r in wrappers.extract_text(df).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    assert got[1] == ["", ""] and got[2] == [""] and got[3] == ["no markup, only text"] and got[None] == ["x"] and got[5] == ["deep text"] and got[6] == ["end"] and got[8] == ["only this"]
+    assert all(got[k] == ["the same text on every page"] for k in range(20, 25))
+    assert len(got) == 14
+    assert wrappers.extract_text(df.limit(0)).collect() == []
+
+
+def test_wrappers_align_groups():
+    a, b, c = (parse(x)[0] for x in ("<div class=m>menu</div><h2>t1</h2><p>x</p><h2>t2</h2><p>y</p>", "<div class=m>menu</div><h2>t</h2><p>z</p>", "<div class=m>menu</div><div class=n>new</div><h2>t</h2><p>z</p><p>zz</p>"))
+    fold(a, b), fold(a, c)
+    again = load(json.dumps(a.dump()))
+    assert again.dump() == a.dump()
+    kinds = {k.label: (k.many, k.optional, k.pages) for k in again.kids}
+    assert kinds["0div.m"] == (False, False, 3) and kinds["0div.n"] == (False, True, 1)
+    assert [k.text != "" for k in again.kids[0].kids] == [True]
