@@ -19,17 +19,25 @@ def page_range(pages: DataFrame, spec: str) -> DataFrame:
     return pages.where(F.col("page").between(int(low), int(high or low)))
 
 
-def page_numbers(spec: Column) -> Column:
-    """The sorted distinct pages of ``5``, ``4,5,6``, ``4-10``, ``4:10`` or a mix; parts that aren't pages are left out."""
+def page_runs(spec: Column) -> Column:
+    """``array<struct<low, high>>`` of ``5``, ``4,5,6``, ``4-10``, ``4:10`` or a mix; parts that aren't pages, run backwards or hold numbers beyond a long are left out."""
     parts = F.split(F.regexp_replace(F.translate(spec, ":", "-"), " ", ""), ",")
-    ends = F.transform(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"^\d+(-\d+)?$"))), lambda x: F.transform(F.split(x, "-"), lambda y: y.cast("int")))
-    runs = F.transform(F.filter(ends, lambda e: e[0] <= F.element_at(e, -1)), lambda e: F.sequence(e[0], F.element_at(e, -1)))
-    return F.sort_array(F.array_distinct(F.flatten(runs)))
+    ends = F.transform(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"^\d+(-\d+)?$"))), lambda x: F.transform(F.split(x, "-"), lambda y: y.try_cast("long")))
+    runs = F.transform(ends, lambda e: F.struct(e[0].alias("low"), F.element_at(e, -1).alias("high")))
+    return F.filter(runs, lambda r: r["low"] <= r["high"])
+
+
+def page_numbers(spec: Column, last: Column | int = 100_000) -> Column:
+    """The sorted distinct pages of ``page_runs`` up to ``last``, beyond which no run is written out."""
+    last = F.lit(last).cast("long") if isinstance(last, int) else last.cast("long")
+    near = F.filter(page_runs(spec), lambda r: r["low"] <= last)
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(near, lambda r: F.sequence(r["low"], F.least(r["high"], last)).cast("array<int>")))))
 
 
 def page_list(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pages listed by ``specs`` (``doc_id, spec``)."""
-    wanted = specs.select("doc_id", F.explode(page_numbers(F.col("spec"))).alias("page")).distinct()
+    """Pages listed by ``specs`` (``doc_id, spec``), however long the runs are: runs end at the document's last page before they are written out."""
+    ends = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    wanted = specs.select("doc_id", "spec").join(ends, "doc_id").select("doc_id", F.explode(page_numbers(F.col("spec"), F.col("_last"))).alias("page")).distinct()
     return pages.join(wanted, ["doc_id", "page"], "left_semi")
 
 
@@ -78,8 +86,8 @@ def with_page_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def merge_chains(pages: DataFrame, splits: DataFrame) -> DataFrame:
-    """Pages joined to the page before where ``splits`` (``doc_id, page, next_page``) says so; a whole chain is one page, which keeps its first number."""
-    marked = pages.join(splits.select("doc_id", F.col("next_page").alias("page"), F.lit(True).alias("joined")), ["doc_id", "page"], "left")
+    """Pages joined to the page before where ``splits`` (``doc_id, page, next_page``) says so; a whole chain is one page, which keeps its first number. Splits may repeat."""
+    marked = pages.join(splits.select("doc_id", F.col("next_page").alias("page")).distinct().withColumn("joined", F.lit(True)), ["doc_id", "page"], "left")
     island = F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(_by_page())
     grouped = marked.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
     return grouped.select("doc_id", F.col("pages")[0]["page"].alias("page"), F.size("pages").alias("n_pages"), F.array_join(F.col("pages.text"), "\n").alias("text"))

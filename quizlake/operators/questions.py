@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_int
@@ -31,32 +31,49 @@ def last_by_key(rows: DataFrame, key: list[str], *values: str) -> DataFrame:
     return best.select(*key, *[F.col(f"_best.{v}").alias(v) for v in values])
 
 
+def _fits(rows: DataFrame, key: list[str]) -> Column:
+    """Whether a row has a key of its own: no part is null, and its number isn't 0."""
+    out = F.lit(True)
+    for k in key:
+        out = out & F.col(f"`{k}`").isNotNull()
+    return out & (F.col("number") != 0) if "number" in key else out
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, order: list | None = None) -> DataFrame:
     """Old rows with new ones put in by key; nothing is deleted. Of equal keys in one table the first by ``order`` wins, by default
     the one with the smallest digest of the whole row.
 
-    Rows whose ``number`` is 0 have no key of their own and are all kept.
+    Rows whose ``number`` is 0 or null, or whose key has another null, have no key of their own and are all kept.
+    Columns may have any name.
     """
     if not order:
         order = [F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in old.columns])))]
-    both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
-    rn = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_gen"), *(order or [])))
-    keep = F.col("_rn") == 1
-    if "number" in key:
-        keep = keep | (F.col("number") == 0)
-    return both.withColumn("_rn", rn).where(keep).drop("_rn", "_gen")
+    names = list(dict.fromkeys([*old.columns, *new.columns]))
+    gen, rn = "_gen", "_rn"
+    while gen in names or rn in names:
+        gen, rn = "_" + gen, "_" + rn
+    both = old.withColumn(gen, F.lit(0)).unionByName(new.withColumn(gen, F.lit(1)), allowMissingColumns=True)
+    own = _fits(both, key)
+    alone = both.where(~own)  # apart from the window: they would all be one key
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(gen), *order))
+    return both.where(own).withColumn(rn, first).where(F.col(rn) == 1).drop(rn).unionByName(alone).drop(gen)
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """How many new keys replace an old row and how many are added."""
-    n = new.select(*key).distinct()
-    hit = n.join(old.select(*key).distinct().withColumn("_old", F.lit(1)), key, "left")
+    """How many new keys replace an old row and how many are added; rows without a key of their own count as added."""
+    own = new.where(_fits(new, key)).select(*key).distinct()
+    hit = own.join(old.select(*key).distinct().withColumn("_old", F.lit(1)), key, "left").select("_old")
+    hit = hit.unionByName(new.where(~_fits(new, key)).select(F.lit(None).cast("int").alias("_old")))
     return hit.agg(F.count("_old").alias("updated"), F.count_if(F.col("_old").isNull()).alias("added"))
 
 
 def quarantine(bucket: DataFrame, incomplete: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """The bucket plus the rows whose key it lacks."""
-    return bucket.unionByName(incomplete.join(bucket.select(*key), key, "left_anti"), allowMissingColumns=True)
+    """The bucket plus the rows whose key it lacks; nulls in a key are equal, so that a second run adds nothing again."""
+    have = bucket.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & incomplete[k].eqNullSafe(have[f"_k{i}"])
+    return bucket.unionByName(incomplete.join(have, same, "left_anti"), allowMissingColumns=True)
 
 
 def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -813,6 +813,60 @@ def model_extract(spark, d):
     return done.select("doc_id", F.col("objects")[0]["lang"].alias("lang"), F.col("objects")[0]["n"].alias("n"))
 
 
+_ASKED = "(lang || '|' || coalesce(source, ''))"
+
+
+def _asked(spark: SparkSession, d: str, store: completion.ResultStore) -> DataFrame:
+    """Two runs over one store: documents with even ids, then all; prompts repeat, and one in seven gets no reply."""
+    def model(prompt: str):
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("no reply")
+        return prompt.upper(), len(prompt), 1, 0.25
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("|"), F.coalesce("source", F.lit(""))).alias("prompt"))
+    policy = completion.Policy(tries=1, pause=0)
+    completion.complete(docs.where("doc_id % 2 = 0"), "prompt", model, store=store, policy=policy)
+    return completion.complete(docs, "prompt", model, store=store, policy=policy)
+
+
+@query(f"""with p as (select doc_id, {_ASKED} prompt from documents), e as (select distinct prompt from p where doc_id % 2 = 0)
+           select doc_id, case when length(prompt) % 7 <> 0 then upper(prompt) end content, length(prompt) % 7 <> 0 ok, prompt in (from e) and length(prompt) % 7 <> 0 cached from p""")
+def model_store(spark, d):
+    """Results of a second run: what the first one stored isn't called again, what failed is."""
+    return _asked(spark, d, completion.ResultStore(spark, scratch.new_path(spark, "results"))).select("doc_id", "content", "ok", "cached")
+
+
+@query(f"""with p as (select distinct {_ASKED} prompt from documents where lang is not null), e as (select distinct {_ASKED} prompt from documents where doc_id % 2 = 0)
+           select count_if(length(prompt) % 7 <> 0 and prompt in (from e)) hits, count_if(length(prompt) % 7 = 0 or prompt not in (from e)) misses, count_if(length(prompt) % 7 = 0) failed,
+                  sum(case when length(prompt) % 7 <> 0 and prompt not in (from e) then 0.25 else 0 end)::double cost from p""")
+def model_store_stats(spark, d):
+    """Prompts the store knew, called for and failed in the second run, and what its calls cost."""
+    done = scratch.written(_asked(spark, d, completion.ResultStore(spark, scratch.new_path(spark, "results"))), "store-run")
+    cost = completion.paid_calls(done).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost")).first()[0]
+    return completion.call_stats(done).withColumn("cost", F.lit(cost))
+
+
+@query(f"""with {QUESTIONS}, q as (select doc_id, number, case when length(doc_id) % 2 = 0 then case when number % 20 = 0 then 4 else 0 end else number % 5 end k from questions_),
+           c as (select doc_id, count_if(k = 0) / count(*) c1, count_if(k <= 1) / count(*) c2 from q group by doc_id),
+           r as (select doc_id, number, k, case when k = 0 then 1 when k = 1 and c1 < 0.9 then 2 when k = 2 and c1 < 0.9 and c2 < 0.9 then 3 end rd from q join c using (doc_id))
+           select doc_id, number, case when rd is not null then chr(65 + number::int % 5) end answer, rd::int "round" from r""")
+def answers_covered(spark, d):
+    """Questions of an exam asked 25 at a time; with each attempt the model answers more of them."""
+    def model(prompt: str):
+        attempt, said = int(prompt.split()[1]), {}
+        for line in prompt.splitlines():
+            if line.startswith("item "):
+                k, number = (int(x) for x in line.split()[1:])
+                if k < attempt:
+                    said[str(number)] = "abcde"[number % 5] + " (!)"
+        return "Here: " + str(said).replace("'", '"'), 1, 1, 0.0
+
+    n = F.col("number")
+    k = F.when(F.length("doc_id") % 2 == 0, F.when(n % 20 == 0, 4).otherwise(0)).otherwise(n % 5)
+    q = as_questions(spark, d).select("doc_id", "number", F.format_string("item %d %d", k, n).alias("text"), F.create_map(F.lit("A"), F.lit("x")).alias("propositions"))
+    return completion.solve_questions(q, model, policy=completion.Policy(pause=0)).select("doc_id", "number", "answer", "round")
+
+
 @query(f"""with {PAGES}, p as (select doc_id, page, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) t from pages_) select doc_id, page fix, page, md5(t) md5 from p where page % 2 = 1
            union all select doc_id, page, page + 1, md5(page || ' next') from p where page % 2 = 1""")
 def fix_parse(spark, d):
