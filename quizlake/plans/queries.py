@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers, completion, costs, match, metadata, pages, questions
 from ..sources import io, scratch
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1010,3 +1011,36 @@ def slim_record(spark, d):
     o = o.withColumn("Text", F.coalesce("text_", "other"))
     r = o.select(F.col("num").alias("key"), match.slim(o).alias("s"), match.full(o).alias("f"))
     return r.select("key", F.col("s.Num").alias("num"), F.col("s.Text").alias("txt"), F.col("s.Year").alias("yr"), F.col("s.A").alias("a"), F.col("f.Tag").alias("tag"))
+
+
+# ---- streams, over files that the query writes from the tables
+
+@query("""select event_id, case when event_id % 7 = 0 or event_type = 'error' then 'error' else 'info' end type from events where event_type <> 'view'""")
+def log_tail(spark, d):
+    """Log lines by the stream, appended to files between two triggers; a blank line for every view."""
+    path, out, checkpoint = (scratch.new_path(spark, n) for n in ("logs", "tailed", "tail-checkpoint"))
+    said = F.when(F.col("event_type") == "view", "  ").otherwise(F.concat("event_id", F.lit(" "), "event_type", F.when(F.col("event_type") == "error", " ERROR").otherwise(""), F.when(F.col("event_id") % 7 == 0, " ERROR 5").otherwise("")))
+    lines = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.lit("p").alias("project"), F.lit("1").alias("step"), "ts", said.alias("text"))).alias("value"))
+    for part in (0, 1):
+        lines.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(path)
+        stream = jobs.tail_logs(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.split("text", " ")[0].cast("long").alias("event_id"), "type")
+
+
+@query("""with c as (select c_custkey // 3 k, c_custkey % 3 chunk, c_name from customer where c_custkey % 7 <> 0)
+          select 'd' || (k % 100) doc_id, cast(k + 1 as integer) number, arg_max(c_name, chunk) v, (select count(distinct k) from c where chunk <= 1) - (select count(*) from c where chunk = 0) added,
+                 (select count(*) from c where chunk <= 1) - (select count(distinct k) from c where chunk <= 1) updated from c group by k""")
+def stream_upsert(spark, d):
+    """Three chunks of questions into one table by the stream, and what the second one added and updated."""
+    source, target, checkpoint = (scratch.new_path(spark, n) for n in ("chunks", "questions", "upsert-checkpoint"))
+    schema = "doc_id string, page int, number int, v string"
+    k = F.floor(F.col("c_custkey") / 3)
+    rows = table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.concat(F.lit("d"), k % 100).alias("doc_id"), F.lit(1).alias("page"), (k + 1).alias("number"), F.col("c_name").alias("v"), (F.col("c_custkey") % 3).alias("chunk"))
+    counts = {}
+    for chunk in range(3):
+        rows.where(F.col("chunk") == chunk).drop("chunk").write.mode("append").json(source)
+        jobs.accumulate(spark, source, schema, target, checkpoint, slots=16).awaitTermination()
+        counts[chunk] = jobs.changes(spark, target)
+    got = jobs.current(spark, target, schema).select("doc_id", "number", "v")
+    return got.withColumns({n: F.lit(counts[1][n]).cast("long") for n in ("added", "updated")})

@@ -2,45 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import log_type
 from ..operators.questions import KEY, upsert
+from ..sources.appended import appended_lines
 from ..sources.scratch import forget, written
+from ..sources.versions import VersionedTable
 
 LOG = "project string, step string, ts timestamp, text string"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tail_logs(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
-    """A stream of log lines that aren't blank, with their type."""
-    lines = spark.readStream.schema(schema).json(path)
+    """A stream of log lines (JSON, one a line) that aren't blank, with their type.
+
+    Lines appended to a file that was read before come too, each once, when it is complete. A line that isn't JSON
+    of ``schema`` has nulls and is left out.
+    """
+    lines = appended_lines(spark, path, objects=True).select(F.from_json("line", schema).alias("x")).select("x.*")
     return lines.where(F.trim("text") != "").withColumn("type", log_type(F.col("text"))).withColumn("text", F.rtrim("text"))
 
 
-def accumulate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str] = KEY, slots: int = 64) -> StreamingQuery:
+class Changes(StatefulProcessor):
+    """Of each key in a batch the row that stays, by the smallest ``place``, with ``change``: ``added`` the first time, ``updated`` later.
+
+    Rows without a key of their own (a null part, or 0 at ``number``) all stay, as added. State: a mark for each key.
+    """
+
+    def __init__(self, number: int | None):
+        self.number = number
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "mark boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        alone = any(pd.isna(k) for k in key) or (self.number is not None and key[self.number] == 0)
+        best = None
+        for part in rows:
+            if alone:
+                yield part.drop(columns="place").assign(change="added")
+            else:
+                first = part.sort_values("place").head(1)
+                best = first if best is None or first["place"].iloc[0] < best["place"].iloc[0] else best
+        if best is not None:
+            yield best.drop(columns="place").assign(change="updated" if self.seen.exists() else "added")
+            self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def accumulate(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str] = KEY, slots: int = 1024) -> StreamingQuery:
     """New question files go into the table at ``target`` by key, a batch at a time.
 
-    The table is partitioned into ``slots`` by a hash of the key, and a batch rewrites only the slots that its keys
-    fall in. A batch that is lost half-way runs again and, as an upsert, gives the same rows.
+    Keyed state tells which keys are new, so that a version knows how many rows it added and updated without reading
+    the table. The table is cut into ``slots`` by a hash of the first part of the key (the document), so that a batch rewrites the
+    slots of its documents only, into new folders, and is published by moving a pointer: readers never see half of
+    a batch, and one that was lost before runs again. A batch that was published already isn't put in again.
     """
+    fields = spark.createDataFrame([], schema).schema.fields
+    names = [f.name for f in fields]
+    short = {n: f"c{k}" for k, n in enumerate(names)}  # the processor's rows can't have every name
+    table = VersionedTable(spark, target)
+
     def put(batch: DataFrame, number: int) -> None:
-        new = written(batch.withColumn("slot", F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")), "accumulate-batch")
+        before = table.manifest()
+        if before["batch"] >= number:
+            return
+        slot = F.pmod(F.xxhash64(F.col(f"`{key[0]}`")), F.lit(slots)).cast("int")
+        new = written(batch.select(F.struct(*[F.col(short[n]).alias(n) for n in names]).alias("row"), "change", F.pmod(F.xxhash64(short[key[0]]), F.lit(slots)).cast("int").alias("slot")), "accumulate-batch")
         touched = [r["slot"] for r in new.select("slot").distinct().collect()]  # at most ``slots``
-        old = spark.read.parquet(target).where(F.col("slot").isin(touched)) if _exists(spark, target) else new.limit(0)
-        merged = written(upsert(old, new, key), "accumulate-merged")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(target)
-        forget(new, merged)
+        counts = {r["change"]: r["count"] for r in new.groupBy("change").count().collect()}
+        if touched:
+            rows = upsert(table.read(schema, before, touched), new.select("row.*"), key)
+            table.publish(rows, slot, touched, before, batch=number, added=counts.get("added", 0), updated=counts.get("updated", 0))
+        forget(new)
 
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = spark.readStream.schema(schema).json(source)
+    rows = rows.select(*[F.col(f"`{n}`").alias(short[n]) for n in names], F.md5(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))).alias("place"))
+    out = ", ".join([f"{short[f.name]} {f.dataType.simpleString()}" for f in fields] + ["change string"])
+    kept = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        changed = rows.groupBy(*[short[k] for k in key]).transformWithStateInPandas(statefulProcessor=Changes(key.index("number") if "number" in key else None), outputStructType=out, outputMode="Update", timeMode="None")
+        return changed.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_STORE) if kept is None else spark.conf.set(_STORE, kept)
 
 
-def _exists(spark: SparkSession, target: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The table that ``accumulate`` published last."""
+    return VersionedTable(spark, target).read(schema)
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).drop("slot")
+def changes(spark: SparkSession, target: str) -> dict:
+    """``version, batch, added, updated`` of the current version."""
+    m = VersionedTable(spark, target).manifest()
+    return {k: m[k] for k in ("version", "batch", "added", "updated")}

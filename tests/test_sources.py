@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quizlake.operators.questions import upsert
 from quizlake.sources import io
+from quizlake.sources.versions import VersionedTable
 from quizlake.streaming import jobs
 
 
@@ -66,12 +68,79 @@ def test_log_stream(spark, tmp_path):
     assert {(r.text, r.type) for r in spark.table("logs_test").collect()} == {("[OK] done", "ok"), ("ERROR x", "error")}
 
 
+def test_log_stream_follows_files(spark, tmp_path):
+    from quizlake.sources.appended import appended_lines
+
+    top = tmp_path / "logs"
+    (top / "a").mkdir(parents=True)
+
+    def run(**how):
+        q = appended_lines(spark, str(top), **how).writeStream.format("parquet").option("path", str(tmp_path / "got")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted((r.file, r.line) for r in spark.read.parquet(str(tmp_path / "got")).collect())
+
+    (top / "a" / "1.log").write_bytes("one\ntwo é\r\n\nhalf".encode())
+    want = [("a/1.log", ""), ("a/1.log", "one"), ("a/1.log", "two é")]
+    assert run() == want
+    with (top / "a" / "1.log").open("ab") as f:
+        f.write(b" a line\nnext\n")
+    (top / "2.log").write_bytes(b"x" * 300_000 + b"\n" + b"y\n" * 1000 + b"cut")
+    want += [("a/1.log", "half a line"), ("a/1.log", "next"), ("2.log", "x" * 300_000)] + [("2.log", "y")] * 1000
+    assert run(partition_bytes=1000) == sorted(want)
+    assert run() == sorted(want)
+    (top / "2.log").write_bytes(b"anew\n")  # shorter: begun anew
+    (top / "_tmp").write_bytes(b"not a log\n")
+    (top / "3.log").write_bytes(b"")
+    assert run() == sorted([*want, ("2.log", "anew")])
+
+
+def _chunk(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    tmp = folder / f".{name}"
+    tmp.write_text("\n".join(json.dumps(dict(zip(("doc_id", "page", "number", "v"), r, strict=True))) for r in rows))
+    tmp.rename(folder / f"{name}.json")
+
+
 def test_accumulate(spark, tmp_path):
     schema = "doc_id string, page int, number int, v string"
-    (tmp_path / "in").mkdir()
-    for k, part in enumerate(([("d", 1, 1, "a"), ("d", 1, 2, "b")], [("d", 1, 2, "B"), ("d", 2, 1, "c")])):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("doc_id", "page", "number", "v"), r, strict=True))) for r in part))
-        jobs.accumulate(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
-    got = jobs.current(spark, str(tmp_path / "out"))
-    assert sorted((r.page, r.number, r.v) for r in got.collect()) == [(1, 1, "a"), (1, 2, "B"), (2, 1, "c")]
-    assert upsert(got, got).count() == 3
+    where = (str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck"))
+    seen = []
+    for k, part in enumerate(([("d", 1, 1, "a"), ("d", 1, 2, "b"), ("d", 1, None, "n"), ("d", 1, None, "n")], [("d", 1, 2, "B"), ("d", 2, 1, "c"), ("d", 2, 1, "c"), ("e", 1, 0, "z")])):
+        _chunk(tmp_path / "in", k, part)
+        before = jobs.current(spark, where[2], schema) if k else None  # a reader that began before the write
+        jobs.accumulate(spark, *where, slots=8).awaitTermination(60)
+        seen.append(jobs.changes(spark, where[2]))
+        if before is not None:
+            assert sorted(r.v for r in before.collect()) == ["a", "b", "n", "n"]
+    got = jobs.current(spark, where[2], schema)
+    assert sorted((r.page, r.number or 0, r.v) for r in got.collect()) == [(1, 0, "n"), (1, 0, "n"), (1, 0, "z"), (1, 1, "a"), (1, 2, "B"), (2, 1, "c")]
+    assert [(s["version"], s["added"], s["updated"]) for s in seen] == [(1, 4, 0), (2, 2, 1)]
+    jobs.accumulate(spark, *where, slots=8).awaitTermination(60)  # restarted without anything new
+    assert jobs.changes(spark, where[2]) == seen[-1]
+    table = VersionedTable(spark, where[2])
+    table.vacuum()
+    assert got.count() == 6 and sorted(upsert(got, got.where("number > 0")).toPandas().v) == ["B", "a", "c", "n", "n", "z"]
+
+
+def test_accumulate_after_a_crash(spark, tmp_path, monkeypatch):
+    """A batch that dies after its data is written, before the pointer moves, leaves the old version and comes once when run again."""
+    schema = "doc_id string, page int, number int, v string"
+    where = (str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck"))
+    _chunk(tmp_path / "in", 0, [("d", 1, 1, "a"), ("d", 1, 0, "free")])
+    jobs.accumulate(spark, *where).awaitTermination(60)
+    _chunk(tmp_path / "in", 1, [("d", 1, 1, "A"), ("d", 1, 0, "more"), ("f", 1, 1, "new")])
+    write = VersionedTable._write
+
+    def dies(self, name, text):
+        if name == "_current":
+            raise RuntimeError("lost")
+        write(self, name, text)
+
+    monkeypatch.setattr(VersionedTable, "_write", dies)
+    with pytest.raises(Exception, match="lost"):
+        jobs.accumulate(spark, *where).awaitTermination(60)
+    assert sorted(r.v for r in jobs.current(spark, where[2], schema).collect()) == ["a", "free"]
+    monkeypatch.setattr(VersionedTable, "_write", write)
+    jobs.accumulate(spark, *where).awaitTermination(60)
+    assert sorted(r.v for r in jobs.current(spark, where[2], schema).collect()) == ["A", "free", "more", "new"]
+    assert jobs.changes(spark, where[2]) == {"version": 2, "batch": 1, "added": 2, "updated": 1}
