@@ -77,14 +77,34 @@ def encoded(*groups: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def lcs_lengths(text: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
-    """``lcs_length`` of one text with many, all as ``encoded`` numbers up to ``most``: the same steps for all at once, in words of 64 positions of the text."""
+def lcs_lengths(text: np.ndarray, others: np.ndarray, most: int, need: np.ndarray | None = None) -> np.ndarray:
+    """``lcs_length`` of one text with many, all as ``encoded`` numbers up to ``most``: the same steps for all at once, in words of 64 positions of the text.
+
+    With ``need``, the lengths asked for, others that can't reach theirs any more are given up: theirs comes out as -1.
+    """
     n, words = len(text), -(-len(text) // 64)
+    if not words:
+        return np.zeros(len(others), dtype=np.int64)
     where = np.zeros((words, most + 1), dtype=np.uint64)
     for k, x in enumerate(text.tolist()):
         where[k // 64, x] |= np.uint64(1 << k % 64)
     row = np.full((words, len(others)), ~np.uint64(0))
-    for column in others.T:
+    out, alive = np.full(len(others), -1, dtype=np.int64), np.arange(len(others))
+    lengths = (others > 0).sum(axis=1) if need is not None else None
+    last = ~np.uint64((1 << n % 64) - 1) if n % 64 else np.uint64(0)
+
+    def found() -> np.ndarray:
+        return n - (np.bitwise_count(np.concatenate([row[:-1], row[-1:] | last])).sum(axis=0).astype(np.int64) - (64 * words - n))
+
+    columns = np.ascontiguousarray(others.T)
+    for k in range(len(columns)):
+        if need is not None and k and k % 32 == 0 and len(alive):
+            stay = found() + np.maximum(lengths[alive] - k, 0) >= need[alive]
+            if not stay.all():
+                alive, row = alive[stay], np.ascontiguousarray(row[:, stay])
+        if not len(alive):
+            return out
+        column = columns[k] if len(alive) == len(others) else columns[k, alive]
         carry = np.uint64(0)
         for w in range(words):
             old = row[w]
@@ -94,9 +114,8 @@ def lcs_lengths(text: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
             total += carry
             carry = (more | (total < carry)).astype(np.uint64)
             row[w] = total | (old - hit)
-    if n % 64:
-        row[-1] |= ~np.uint64((1 << n % 64) - 1)
-    return n - (np.bitwise_count(row).sum(axis=0).astype(np.int64) - (64 * words - n)) if words else np.zeros(len(others), dtype=np.int64)
+    out[alive] = found()
+    return out
 
 
 @F.pandas_udf(DoubleType())

@@ -3,7 +3,8 @@
 The score is the Indel ratio 2 * LCS / (len a + len b). At a threshold t a pair must satisfy, without loss:
 lengths within min / max >= t / (2 - t); at least t * (a + b) / 2 common letters; and at least
 (1.5 t - 1) * (a + b) - 1 common bigrams. For t >= 0.85 that makes an equi-join on the rarest bigrams of each text
-(prefix join); below, the filters are too weak for one and blocks of pairs are compared, letter bags first.
+(prefix join); below, the filters are too weak for one and blocks of pairs are compared, letter bags first, each score
+only as far as it can still reach t.
 """
 
 from __future__ import annotations
@@ -57,18 +58,27 @@ def _bags(codes: np.ndarray, most: int) -> np.ndarray:
     return np.bincount(at.ravel(), minlength=len(codes) * (most + 1)).reshape(len(codes), most + 1)[:, 1:].astype(np.int32)
 
 
+def _by_band(rows: DataFrame, width: float, size: int) -> tuple[DataFrame, dict[int, int]]:
+    """(rows with their length band, blocks of about ``size`` rows of each band). A band a factor of length: a few dozen at most."""
+    banded = rows.withColumn("band", F.floor(F.log(F.length("t")) / width).cast("int"))
+    return banded, {r["band"]: -(-r["count"] // size) for r in banded.groupBy("band").count().collect()}
+
+
 def _block_pairs(source: DataFrame, ref: DataFrame, t: float, block: tuple[int, int] = (512, 4096)) -> DataFrame:
-    """All pairs within the length band, scored in blocks: lengths share a band of texts, a band is cut into blocks.
+    """All pairs within the length band, scored in blocks: lengths share a band of texts, a band is cut into blocks by its own count.
 
-    N x M comparisons stay N x M; they are spread over (band, block, block) groups of a bounded size.
+    N x M comparisons stay N x M; they are spread over (band, block, band, block) groups of a bounded size.
     """
     width = math.log(max(1.0001, (2 - t) / t))
-    band = lambda n: F.floor(F.log(n) / width).cast("int")
-    n, m = _cut(source, block[0]), _cut(ref, block[1])
-    s = source.withColumn("band", F.explode(F.sequence(band(F.length("t")) - 1, band(F.length("t")) + 1))).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    s = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    r = ref.withColumn("band", band(F.length("t"))).withColumn("j", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    (s, n), (r, m) = _by_band(source, width, block[0]), _by_band(ref, width, block[1])
+    meet = [(a, b) for a in n for b in m if abs(a - b) <= 1]
+    if not meet:
+        return source.select(F.col("id").alias("source_id"), F.col("id").alias("ref_id"), F.lit(0.0).alias("similarity")).limit(0)
+    pairs = source.sparkSession.createDataFrame([(a, b, n[a], m[b]) for a, b in meet], "a int, b int, n int, m int")
+    s = s.join(F.broadcast(pairs), F.col("band") == F.col("a")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    s = s.select("id", "t", "a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    r = r.join(F.broadcast(pairs), F.col("band") == F.col("b")).withColumn("j", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    r = r.select("id", "t", F.col("a").alias("a"), F.col("b").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "j")
     id_type = dict(source.dtypes)["id"]
 
     def compare(left, right):
@@ -85,13 +95,14 @@ def _block_pairs(source: DataFrame, ref: DataFrame, t: float, block: tuple[int,
                 near = np.flatnonzero(2 * both >= t * (la[p] + lb) - 1e-9)
                 for at in range(0, len(near), 1024):  # by length, so that few steps are taken for short texts beside long ones
                     q = near[at : at + 1024]
-                    score = 2 * lcs_lengths(a[p, : la[p]], b[q, : lb[q].max()], most) / (la[p] + lb[q])
+                    need = np.ceil(t * (la[p] + lb[q]) / 2 - 1e-9)
+                    score = 2 * lcs_lengths(a[p, : la[p]], b[q, : lb[q].max()], most, need) / (la[p] + lb[q])
                     good = score >= t
                     out.append((np.repeat(ia[p], good.sum()), ib[q[good]], score[good]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table({"source_id": pa.array(columns[0], left["id"].type), "ref_id": pa.array(columns[1], left["id"].type), "similarity": pa.array(columns[2], pa.float64())})
 
-    return s.groupBy("band", "i", "j").cogroup(r.select("id", "t", "band", "i", "j").groupBy("band", "i", "j")).applyInArrow(compare, f"source_id {id_type}, ref_id {id_type}, similarity double")
+    return s.groupBy("a", "b", "i", "j").cogroup(r.groupBy("a", "b", "i", "j")).applyInArrow(compare, f"source_id {id_type}, ref_id {id_type}, similarity double")
 
 
 def similar_pairs(source: DataFrame, ref: DataFrame, t: float = 0.75, prefix_from: float = 0.85) -> DataFrame:
@@ -149,18 +160,44 @@ def fuzzy_match(source: DataFrame, ref: DataFrame, t: float = 0.75, k: int = 5,
     return out.withColumn("tier", tier(F.col("similarity")))
 
 
+def best_by_bound(text: np.ndarray, bag: np.ndarray, others: np.ndarray, lengths: np.ndarray, bags: np.ndarray, place: np.ndarray, most: int, first: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places of the ``first`` best of ``others`` with a ratio of at least ``least``, their ratios, how many were scored).
+
+    No ratio exceeds what lengths and letter bags allow. Others are scored in the order of that bound, more at a time as
+    the search goes on, until the next bound is below the last of the best so far; ties go to the smaller ``place``.
+    """
+    n = len(text)
+    bound = 2 * np.minimum(bag, bags).sum(axis=1) / np.maximum(n + lengths, 1)
+    order = np.lexsort((place, -bound))
+    best, score, at, step, limit = np.empty(0, int), np.empty(0), 0, 4 * first, least
+    while at < len(order) and bound[order[at]] >= limit - 1e-12:
+        q = order[at : at + step]
+        q = q[bound[q] >= limit - 1e-12]
+        at, step = at + len(q), 2 * step
+        got = lcs_lengths(text, others[q, : max(1, lengths[q].max())], most, np.ceil(limit * (n + lengths[q]) / 2 - 1e-9))
+        best, score = np.concatenate([best, q]), np.concatenate([score, 2 * got / (n + lengths[q])])
+        keep = np.lexsort((place[best], -score))[:first]
+        keep = keep[score[keep] >= least]
+        best, score = best[keep], score[keep]
+        if len(best) == first:
+            limit = max(least, score[-1])
+    return best, score, at
+
+
 def weighted_match(source: DataFrame, ref: DataFrame, t: float = 0.75, text_weight: float = 0.7, first: int = 20, k: int = 5, block: int = 2048) -> DataFrame:
     """``source_id, ref_id, similarity, text_similarity, corr_similarity, rank``: the ``first`` best by text, then by the weighted sum.
 
     ``source, ref``: ``id, t, c`` (normalised text and answer). The answer score is 0 where either answer is
-    blank. The text score has no lower bound here, so every source is compared with every reference, as the
-    definition asks; both sides are cut into blocks of about ``block`` rows, each pair of blocks keeps its own best
-    ``first``, and only those are merged.
+    blank. The text score has no lower bound among the ``first``, but a pair whose text score can't reach ``t`` with a full
+    answer score is left out at the end in any case, and takes nobody's place; so only references whose bound
+    (lengths, letter bags) reaches that score and the worst of the best so far are scored. Both sides are cut into blocks
+    of about ``block`` rows, each pair of blocks keeps its own best ``first``, and only those are merged.
     """
     n, m = _cut(source, block), _cut(ref, block)
     s = source.where(F.length("t") >= 5).select("id", "t", "c", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"))
     r = ref.select("id", F.coalesce("t", F.lit("")).alias("t"), "c", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
     kind = dict(source.dtypes)["id"]
+    least = max(0.0, (t - (1 - text_weight)) / text_weight - 1e-9) if text_weight > 0 else 0.0
 
     def best(left, right):
         names, answers = right["id"].to_numpy(zero_copy_only=False), right["c"].to_pylist()
@@ -168,10 +205,10 @@ def weighted_match(source: DataFrame, ref: DataFrame, t: float = 0.75, text_weig
         if len(left) and len(right):
             (a, la), (b, lb) = encoded(left["t"].to_pylist(), right["t"].to_pylist())
             most, place = int(max(a.max(initial=0), b.max(initial=0))), np.unique(names, return_inverse=True)[1]
+            x, y = _bags(a, most), _bags(b, most)
             for p, (i, ca) in enumerate(zip(left["id"].to_pylist(), left["c"].to_pylist(), strict=True)):
-                score = 2 * lcs_lengths(a[p, : la[p]], b, most) / (la[p] + lb)
-                top = np.lexsort((place, -score))[:first].tolist()
-                out += [(i, names[q], score[q], ratio(ca, answers[q]) if ca and answers[q] else 0.0) for q in top]
+                top, score, _ = best_by_bound(a[p, : la[p]], x[p], b, lb, y, place, most, first, least)
+                out += [(i, names[q], v, ratio(ca, answers[q]) if ca and answers[q] else 0.0) for q, v in zip(top.tolist(), score.tolist(), strict=True)]
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"source_id": pa.array(columns[0], left["id"].type), "ref_id": pa.array(columns[1], left["id"].type), "text_similarity": pa.array(columns[2], pa.float64()), "corr_similarity": pa.array(columns[3], pa.float64())})
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import first_nonempty, nonempty
+from ..sources.scratch import written
 
 
 def carry_forward(rows: DataFrame, value: str, partition: str = "doc_id", order: tuple[str, ...] = ("page", "pos"), out: str = "cas") -> DataFrame:
@@ -60,15 +63,53 @@ def domain_of(c: Column) -> Column:
     return F.when(F.contains(t, F.lit("chir")), "chirurgie").when(F.contains(t, F.lit("bio")), "biologie").otherwise("medecine")
 
 
-def keyword_category(rows: DataFrame, modules: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keyword_category(rows: DataFrame, modules: DataFrame, text: str = "text", key: str = "doc_id", most: int = 32 << 20) -> DataFrame:
     """``key, module, keyword`` of the longest keyword a text holds, in its domain (both have ``domain``), ties by module order.
 
-    ``modules``: ``domain, module, module_ord, keywords``. Which side is broadcast is left to Spark, which knows their sizes.
+    ``modules``: ``domain, module, module_ord, keywords``. One pass of an automaton over a text finds all of its
+    keywords, however many there are; keywords of up to ``most`` bytes are shipped to the tasks once, of more each
+    text is joined with its domain's. Null and empty texts hold no keyword but the empty one.
     """
-    words = modules.select("domain", "module", "module_ord", F.explode("keywords").alias("keyword"))
-    hit = rows.select(key, "domain", F.lower(text).alias("t")).join(words, "domain").where(F.contains("t", F.lower("keyword")))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("keyword")), "module_ord", "keyword"))
-    return hit.withColumn("rn", rank).where("rn = 1").select(key, "module", "keyword")
+    words = modules.select("domain", "module", "module_ord", F.explode("keywords").alias("keyword")).where("keyword is not null and domain is not null")
+    words = words.withColumn("low", F.lower("keyword"))
+    best = F.min(F.struct((-F.length("keyword")).alias("short"), "module_ord", "keyword", "module")).alias("b")
+    texts = rows.select(F.col(key).alias("key"), "domain", F.lower(text).alias("t"))
+    if (words.agg(F.sum(F.octet_length("low") + F.octet_length("module") + 16)).first()[0] or 0) > most:
+        hit = texts.join(words, "domain").where(F.contains("t", "low")).groupBy("key").agg(best)
+    else:
+        kept = words.groupBy("domain", "low").agg(best).select("domain", "low", "b.*")
+        hit = texts.where("t is not null").mapInArrow(_longest(kept), f"key {dict(texts.dtypes)['key']}, b {kept.select(F.struct('short', 'module_ord', 'keyword', 'module').alias('b')).schema['b'].dataType.simpleString()}")
+        hit = hit.groupBy("key").agg(F.min("b").alias("b"))
+    return hit.select(F.col("key").alias(key), "b.module", "b.keyword")
+
+
+def _longest(words: DataFrame):
+    """A task's function: of each text the best keyword, by an automaton over the keywords of all domains."""
+    spark = words.sparkSession
+    shipped = spark.sparkContext.broadcast([(r["domain"], r["low"], (r["short"], r["module_ord"], r["keyword"], r["module"])) for r in words.collect()])  # of a checked size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, dict[str, tuple]] = {}
+        for domain, low, value in shipped.value:
+            found.setdefault(low, {})[domain] = value
+        everywhere, automaton = found.pop("", {}), ahocorasick.Automaton()
+        for low, by in found.items():
+            automaton.add_word(low, by)
+        automaton.make_automaton()
+        for b in batches:
+            keys, out = [], []
+            for k, (domain, text) in enumerate(zip(b["domain"].to_pylist(), b["t"].to_pylist(), strict=True)):
+                top = everywhere.get(domain)
+                for by in {id(by): by for _, by in automaton.iter(text)}.values() if found else ():
+                    value = by.get(domain)
+                    if value is not None and (top is None or value < top):
+                        top = value
+                if top is not None:
+                    keys.append(k), out.append(dict(zip(("short", "module_ord", "keyword", "module"), top, strict=True)))
+            yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(keys, pa.int64())), pa.array(out, kind)], ["key", "b"])
+
+    kind = to_arrow_type(words.select(F.struct("short", "module_ord", "keyword", "module").alias("b")).schema["b"].dataType)
+    return run
 
 
 def resolve_module(rows: DataFrame, modules: DataFrame, answer: str = "answer", key: str = "doc_id") -> DataFrame:
@@ -81,35 +122,67 @@ def resolve_module(rows: DataFrame, modules: DataFrame, answer: str = "answer",
     return rows.join(best, key, "left").withColumn("module", F.coalesce("module", F.lit("Autre")))
 
 
-def nearest_module(names: DataFrame, modules: DataFrame, least: float = 0.6, block: int = 512) -> DataFrame:
+def nearest_module(names: DataFrame, modules: DataFrame, least: float = 0.6, block: int = 512, part: int = 4096) -> DataFrame:
     """``name, module, confidence`` of distinct names: equal 1, else the larger of sequence ratio and 0.85 where one contains the other; above ``least``.
 
-    The ratio of two texts depends on which comes first and has no bound by common parts that would make an
-    equi-join, so each name is compared with every module: names are dealt over tasks, and the modules come to
-    them in blocks of ``block``, each of which keeps its best.
+    The ratio of two texts depends on which comes first and has no lower bound by common parts that would make an
+    equi-join, so names and modules meet in bounded blocks. Inside one, lengths and letter bags bound each ratio from above:
+    modules are scored best bound first until none can beat the best so far.
     """
     n = names.select("name").distinct().withColumn("n", F.trim(F.lower("name"))).where("n <> ''")
-    m = modules.select("module", "module_ord", F.lower("module").alias("m"))
-    cut = max(1, -(-m.count() // block))
-    asked = n.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))))
-    lists = m.withColumn("block", F.pmod(F.xxhash64("module", "module_ord"), F.lit(cut)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("module_ord", "module", "m"))).alias("ms"))
-    best = asked.join(lists, "block").select("name", _best_module("n", "ms").alias("b")).where("b is not null")
-    best = best.groupBy("name").agg(F.max(F.struct("b.confidence", (-F.col("b.module_ord")).alias("first"), "b.module")).alias("b"))
-    return best.where(F.col("b.confidence") > least).select("name", "b.module", "b.confidence")
-
-
-@F.pandas_udf(StructType([StructField("confidence", DoubleType()), StructField("module_ord", LongType()), StructField("module", StringType())]))
-def _best_module(names: pd.Series, lists: pd.Series) -> pd.DataFrame:
-    def best(n: str, ms) -> tuple:
-        found = (None, None, None)
-        for m in ms:
-            x = m["m"]
-            score = 1.0 if x == n else max(difflib.SequenceMatcher(None, n, x).ratio(), 0.85 if x in n or n in x else 0.0)
-            if found[0] is None or score > found[0]:
-                found = (score, m["module_ord"], m["module"])
-        return found
-
-    return pd.DataFrame([best(n, ms) for n, ms in zip(names, lists, strict=True)], columns=["confidence", "module_ord", "module"])
+    m = modules.select("module", F.col("module_ord").cast("long").alias("module_ord"), F.lower("module").alias("m")).where("m is not null")
+    n = written(n, "nearest-names")
+    cut, parts = (max(1, -(-x.count() // size)) for x, size in ((m, block), (n, part)))
+    asked = n.select("name", "n", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(cut - 1))).alias("block"))
+    lists = m.select("*", F.pmod(F.xxhash64("module", "module_ord"), F.lit(cut)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            nearest = Nearest(sorted(zip(right["module_ord"].to_pylist(), right["m"].to_pylist(), right["module"].to_pylist(), strict=True)))
+            for name, text in zip(left["name"].to_pylist(), left["n"].to_pylist(), strict=True):
+                score, k = nearest.best(text, least)
+                if k is not None:
+                    out.append((name, score, nearest.modules[k][0], nearest.modules[k][2]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("name", "confidence", "module_ord", "module"), columns, (pa.string(), pa.float64(), pa.int64(), pa.string()), strict=True)})
+
+    made = asked.groupBy("block", "part").cogroup(lists.groupBy("block", "part")).applyInArrow(best, "name string, confidence double, module_ord long, module string")
+    made = made.groupBy("name").agg(F.max(F.struct("confidence", (-F.col("module_ord")).alias("first"), "module")).alias("b"))
+    return made.where(F.col("b.confidence") > least).select("name", "b.module", "b.confidence")
+
+
+class Nearest:
+    """Modules ``(module_ord, lower-case name, name)`` in order, searched by bounds; ``scored`` counts the sequence ratios worked out."""
+
+    def __init__(self, modules: list[tuple[int, str, str]]):
+        self.modules, self.scored = modules, 0
+        self.letters = {c: k for k, c in enumerate(sorted({c for _, m, _ in modules for c in m}))}
+        self.bags = np.array([self._bag(m) for _, m, _ in modules])
+        self.lengths = np.array([len(m) for _, m, _ in modules])
+        self.matchers = [difflib.SequenceMatcher(None, "", m) for _, m, _ in modules]
+
+    def _bag(self, text: str) -> np.ndarray:
+        return np.bincount([self.letters[c] for c in text if c in self.letters], minlength=len(self.letters))
+
+    def best(self, text: str, least: float) -> tuple[float, int | None]:
+        """(score, place) of the nearest module above ``least``, the first of equal ones."""
+        bound = 2 * np.minimum(self._bag(text), self.bags).sum(axis=1) / np.maximum(self.lengths + len(text), 1)
+        inside = np.array([m in text or text in m for _, m, _ in self.modules])
+        bound = np.where(inside, np.maximum(bound, 0.85), bound)
+        top, place = least, None
+        for k in np.lexsort((np.arange(len(bound)), -bound)).tolist():
+            if bound[k] < top - 1e-12 or (place is None and bound[k] <= least):
+                break
+            if text == self.modules[k][1]:
+                score = 1.0
+            else:
+                self.scored += 1
+                self.matchers[k].set_seq1(text)
+                score = max(self.matchers[k].ratio(), 0.85 if inside[k] else 0.0)
+            if score > top or (place is not None and score == top and k < place):
+                top, place = score, k
+        return top, place
 
 
 #: Names a template column may have in the input.
