@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -31,7 +30,7 @@ def tail_logs(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
 
 
 class Changes(StatefulProcessor):
-    """Of each key in a batch the row that stays, by the smallest ``place``, with ``change``: ``added`` the first time, ``updated`` later.
+    """Of each key in a batch the row that stays, by the smallest ``place``, with ``change`` instead of that: ``added`` the first time, ``updated`` later.
 
     Rows without a key of their own (a null part, or 0 at ``number``) all stay, as added. State: a mark for each key.
     """
@@ -42,18 +41,20 @@ class Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "mark boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        alone = any(pd.isna(k) for k in key) or (self.number is not None and key[self.number] == 0)
-        best = None
-        for part in rows:
-            if alone:
-                yield part.drop(columns="place").assign(change="added")
-            else:
-                first = part.sort_values("place").head(1)
-                best = first if best is None or first["place"].iloc[0] < best["place"].iloc[0] else best
-        if best is not None:
-            yield best.drop(columns="place").assign(change="updated" if self.seen.exists() else "added")
-            self.seen.update((True,))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if any(k is None for k in key) or (self.number is not None and key[self.number] == 0):
+            for row in rows:
+                yield self._told(row, "added")
+            return
+        best = min(rows, key=lambda row: row["place"])
+        yield self._told(best, "updated" if self.seen.exists() else "added")
+        self.seen.update((True,))
+
+    @staticmethod
+    def _told(row: Row, change: str) -> Row:
+        named = row.asDict()
+        del named["place"]
+        return Row(**named, change=change)
 
     def close(self) -> None:
         pass
@@ -91,7 +92,7 @@ def accumulate(spark: SparkSession, source: str, schema: str, target: str, check
     kept = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKS)
     try:
-        changed = rows.groupBy(*[short[k] for k in key]).transformWithStateInPandas(statefulProcessor=Changes(key.index("number") if "number" in key else None), outputStructType=out, outputMode="Update", timeMode="None")
+        changed = rows.groupBy(*[short[k] for k in key]).transformWithState(statefulProcessor=Changes(key.index("number") if "number" in key else None), outputStructType=out, outputMode="Update", timeMode="None")
         return changed.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.unset(_STORE) if kept is None else spark.conf.set(_STORE, kept)
