@@ -1,10 +1,10 @@
 """Operator 2, toxicity.
 
-Every word is a bag of subwords: itself and its character n-grams between ``<`` and ``>``, hashed to buckets.
-A passage of ``span`` words (by default one) is the average of its words' averaged embeddings, under a linear
-softmax over (clean, toxic); embeddings and softmax are trained jointly, in numpy, on a bounded sample of labelled
-rows. A misspelling that was never seen shares n-grams, and so vectors, with the word it stands for. A text gets
-the score of its most toxic passage, so a long text doesn't thin out what it says in one place.
+Every word is a bag of subwords: itself and its character n-grams between ``<`` and ``>``, hashed to buckets, and the
+average of their embeddings. A text is averaged twice from its words: plainly, and with weights by a softmax over what the
+words say themselves, so that one word isn't thinned out in a long text. Both averages go through the same linear softmax over
+(clean, toxic); embeddings, softmax and the part of the plain average are trained together, in numpy, on a bounded
+sample of labelled rows. A misspelling that was never seen shares n-grams, and so vectors, with the word it stands for.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 @dataclass
 class ToxicityModel:
-    """``weights``: each bucket's part of the logit (its embedding times the difference of the softmax rows)."""
+    """``weights``: each bucket's part of the logit (its embedding times the difference of the softmax rows); ``plain``: the part of the plain average."""
 
     weights: np.ndarray
     bias: float
-    span: int
+    plain: float
     grams: tuple[int, int]
     _words: dict = field(default_factory=dict, repr=False)
 
@@ -46,7 +46,7 @@ class ToxicityModel:
         return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes) / sizes
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Softmax probability of ``toxic`` of each text's most toxic passage; the bias alone for a text without words."""
+        """Softmax probability of ``toxic`` of each text; the bias alone for a text without words."""
         split = [t.split() for t in texts]
         known, every = self._words, set(itertools.chain.from_iterable(split))
         if len(known) > 400_000:  # a bound on the worker's memory
@@ -54,13 +54,28 @@ class ToxicityModel:
         if new := list(every.difference(known)):
             known.update(zip(new, self._values(new).tolist(), strict=True))
         values = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.float64)
-        _, top, _ = best_passages(values, np.cumsum([0, *map(len, split)]), self.span)
-        return 1 / (1 + np.exp(-(top + self.bias)))
+        mean, pooled, _ = averages(values, np.array([len(x) for x in split], dtype=np.int64), 1.0)
+        return 1 / (1 + np.exp(-(self.plain * mean + pooled + self.bias)))
 
     def score(self, text: str) -> float:
         return float(self.scores([text])[0])
 
 
+def averages(values: np.ndarray, sizes: np.ndarray, sharp: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(plain average, average with weights softmax(``sharp`` * value), those weights) of the values of each text, ``sizes`` values a text; 0 for an empty one."""
+    full = np.flatnonzero(sizes)
+    mean, pooled = np.zeros(len(sizes)), np.zeros(len(sizes))
+    if not len(full):
+        return mean, pooled, np.empty(0)
+    n = sizes[full]
+    starts = np.cumsum(n) - n
+    mean[full] = np.add.reduceat(values, starts) / n
+    weight = np.exp(sharp * (values - np.repeat(np.maximum.reduceat(values, starts), n)))
+    weight /= np.repeat(np.add.reduceat(weight, starts), n)
+    pooled[full] = np.add.reduceat(weight * values, starts)
+    return mean, pooled, weight
+
+
 def bags(words: list[str], buckets: int, grams: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (int32) of the subwords of each word, one word after another, and how many each has: of the word in lower
     case, without punctuation at its edges, between ``<`` and ``>``, the whole and all its n-grams."""
@@ -80,38 +95,16 @@ def bags(words: list[str], buckets: int, grams: tuple[int, int]) -> tuple[np.nda
     return (flat[np.argsort(owner, kind="stable")] % np.uint64(buckets)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
-def best_passages(values: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text (``starts``: where its words begin, and the end), its passage with the largest mean: begin, mean (0 without words), length."""
-    if span == 1:
-        begin, mean = starts[:-1].copy(), np.zeros(len(starts) - 1)
-        for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-            if b > a:
-                begin[k] = a + values[a:b].argmax()
-                mean[k] = values[begin[k]]
-        return begin, mean, np.minimum(np.diff(starts), 1)
-    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    begin, mean, length = [], [], []
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        n = min(span, b - a)
-        if n == 0:
-            begin.append(a), mean.append(0.0), length.append(0)
-            continue
-        m = sums[a + n : b + 1] - sums[a : b + 1 - n]
-        k = int(m.argmax())
-        begin.append(a + k), mean.append(m[k] / n), length.append(n)
-    return np.array(begin), np.array(mean), np.array(length)
-
-
-def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, span: int = 1, grams: tuple[int, int] = (3, 6), rounds: int = 60, seed: int = 3, least_docs: int = 4, decay: float = 1e-4) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8, grams: tuple[int, int] = (3, 6), rounds: int = 60, seed: int = 3, least_docs: int = 4, decay: float = 1e-4) -> ToxicityModel:
     """Train embeddings and softmax together by Adam over all given texts.
 
-    The first third of the rounds averages whole texts, the others each text's most toxic passage under the
-    weights so far. Without both classes the model is the share of the one class, for any text.
+    The first third of the rounds averages plainly only, in the others the weights of words follow what they say so
+    far. Without both classes the model is the share of the one class, for any text.
     """
     y = np.array(toxic, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel(np.zeros(buckets), float(np.log(p / (1 - p))) if len(y) else -2.0, span, grams)
+        return ToxicityModel(np.zeros(buckets), float(np.log(p / (1 - p))) if len(y) else -2.0, 0.0, grams)
     vocab: dict[str, int] = {}
     words, lengths, flat, n_bag = array("i"), array("i"), array("i"), array("i")  # 4 bytes a number: all of it is held at once
     for t in texts:
@@ -136,8 +129,8 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
     used = used >= least_docs
     rng = np.random.default_rng(seed)
     e = (rng.uniform(-1 / dim, 1 / dim, (buckets, dim)) * used[:, None]).astype(np.float32)
-    soft, bias = rng.normal(0, 0.5, (dim, 2)), np.array([0.5, -0.5])
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, soft, bias)]
+    soft, bias, plain = rng.normal(0, 0.5, (dim, 2)), np.array([0.5, -0.5]), np.array([0.5])
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, soft, bias, plain)]
     sizes = np.diff(starts)
     doc_of = np.repeat(np.arange(len(y)), sizes)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
@@ -146,30 +139,24 @@ def fit(texts: list[str], toxic: list[int], buckets: int = 1 << 17, dim: int = 8
         weight, per_word = e @ diff.astype(np.float32), np.empty(len(n_bag))
         for a, b, s, t in blocks:
             per_word[a:b] = np.add.reduceat(weight[flat[s:t]], bag_at[a:b] - s) / n_bag[a:b]
-        if step <= rounds // 3:
-            begin, length = starts[:-1], sizes
-        else:
-            begin, _, length = best_passages(per_word[words], starts, span)
-        if step <= rounds // 3:
-            index, owner = words, doc_of
-        else:
-            owner = np.repeat(np.arange(len(y)), length)
-            index = words[np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.repeat(begin, length)]
-        n = np.maximum(length, 1)
-        logit = np.bincount(owner, weights=per_word[index], minlength=len(y)) / n + bias[1] - bias[0]
+        sharp = 0.0 if step <= rounds // 3 else 1.0
+        values = per_word[words]
+        mean, pooled, share = averages(values, sizes, sharp)
+        logit = plain[0] * mean + pooled + bias[1] - bias[0]
         p = 1 / (1 + np.exp(-logit))
         g = (p - y) * balance / len(y)
-        coef = np.bincount(index, weights=(g / n)[owner], minlength=len(n_bag)) / n_bag
+        moved = plain[0] / np.maximum(sizes, 1)[doc_of] + share * (1 + sharp * (values - pooled[doc_of]))  # by a unit of each word's value
+        coef = np.bincount(words, weights=g[doc_of] * moved, minlength=len(n_bag)) / n_bag
         pull = np.zeros(buckets)
         for a, b, s, t in blocks:
             pull += np.bincount(flat[s:t], weights=np.repeat(coef[a:b], n_bag[a:b]), minlength=buckets)
         d_soft = e.T @ pull.astype(np.float32)
-        grads = [np.outer(pull * used, diff).astype(np.float32) + decay * e, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()])]
-        for x, grad, (m, v), rate in zip((e, soft, bias), grads, state, (0.05, 0.05, 0.05), strict=True):
+        grads = [np.outer(pull * used, diff).astype(np.float32) + decay * e, np.stack([-d_soft, d_soft], axis=1), np.array([-g.sum(), g.sum()]), np.array([(g * mean).sum()])]
+        for x, grad, (m, v), rate in zip((e, soft, bias, plain), grads, state, (0.05, 0.05, 0.05, 0.05), strict=True):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             x -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(x.dtype)
-    return ToxicityModel((e @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), span, grams)
+    return ToxicityModel((e @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), float(plain[0]), grams)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = (4000, 2000), max_chars: int = 40_000_000) -> tuple[list[str], list[int]]:

@@ -8,13 +8,14 @@ import json
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quizlake.llm import centroids, divergence, wrappers
+from quizlake.llm import centroids, divergence, toxicity, wrappers
 from quizlake.llm.html_groups import fold, load, parse
 
 
@@ -168,3 +169,42 @@ def test_wrappers_align_groups():
     kinds = {k.label: (k.many, k.optional, k.pages) for k in again.kids}
     assert kinds["0div.m"] == (False, False, 3) and kinds["0div.n"] == (False, True, 1)
     assert [k.text != "" for k in again.kids[0].kids] == [True]
+
+
+_M = (1 << 64) - 1
+
+
+def _plain_score(m, text):
+    """The score of a text by loops over words and subwords, from the model's weights alone."""
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _M
+        return (((x ^ (x >> 29)) * 0xA0761D6478BD642F) & _M) ^ (x >> 17)
+
+    values = []
+    for w in text.split():
+        w = "<" + re.sub(r"^\W+|\W+$", "", w).lower() + ">"
+        buckets = [zlib.crc32(w.encode())]
+        for n in range(m.grams[0], m.grams[1] + 1):
+            for i in range(len(w) - n + 1):
+                h = 0
+                for c in w[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & _M
+                buckets.append(mixed(h))
+        values.append(sum(float(m.weights[b % len(m.weights)]) for b in buckets) / len(buckets))
+    if not values:
+        return 1 / (1 + math.exp(-m.bias))
+    e = [math.exp(v - max(values)) for v in values]
+    pooled = sum(x * v for x, v in zip(e, values, strict=True)) / sum(e)
+    return 1 / (1 + math.exp(-(m.plain * sum(values) / len(values) + pooled + m.bias)))
+
+
+def test_toxicity_against_plain_loops(spark):
+    rng = random.Random(8)
+    words = ["river", "stone", "Garden,", "idiot", "moron!", "é", "...", "window", "x", "trash"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(120)]
+    m = toxicity.fit(texts, [int("idiot" in t or "moron" in t) for t in texts], rounds=30)
+    unseen = ["an idiott and a mor0n", "", "river", " \t ", "idiot " * 3 + "river " * 2000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + unseen)], "doc_id long, text string")
+    for r in toxicity.score_toxicity(df, m).collect():
+        assert r.score == pytest.approx(_plain_score(m, r.text), abs=1e-9)
+    assert m.score("idiot " + "river " * 2000) > 0.5 > m.score("river " * 2000)
