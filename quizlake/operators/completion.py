@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -70,16 +70,17 @@ def call_stats(done: DataFrame) -> DataFrame:
     return one.agg(F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def cascade(rows: DataFrame, rule: Column, model: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+def cascade(rows: DataFrame, rule: Column, model: Callable[[DataFrame], DataFrame], out: str, totals: Observation | None = None) -> DataFrame:
     """``out`` by the rule where it gives a value, else from ``model`` (which adds ``out`` to the rest); ``method`` says which.
 
     The rule's result is written, so that neither branch works out the input again. The caller's ``method`` is kept
-    as ``method_in``, its ``out`` is replaced.
+    as ``method_in``, its ``out`` is replaced. ``totals`` gets ``rule, model`` with the first action.
     """
     tried = written(aside(rows, ("method",)).withColumn(out, rule), "cascade")
     done = tried.where(F.col(out).isNotNull()).withColumn("method", F.lit("rule"))
     rest = model(tried.where(F.col(out).isNull()).drop(out)).withColumn("method", F.lit("model"))
-    return done.unionByName(rest, allowMissingColumns=True)
+    both = done.unionByName(rest, allowMissingColumns=True)
+    return both.observe(totals, *[F.count_if(F.col("method") == m).alias(m) for m in ("rule", "model")]) if totals is not None else both
 
 
 def extract(rows: DataFrame, prompt: Column, primary: Model, schema: str, fallback: Model | None = None, **how) -> DataFrame:
@@ -259,8 +260,12 @@ def parse_fix_blocks(replies: DataFrame) -> DataFrame:
     return out.select("doc_id", "fix", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.text", r"^\s+|\s+$", "").alias("text"))
 
 
-def apply_fix_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pages with the texts of ``parse_fix_blocks`` in place of their own, and ``fixed``. Of texts for one page that of the last block counts."""
+def apply_fix_blocks(pages: DataFrame, blocks: DataFrame, totals: Observation | None = None) -> DataFrame:
+    """Pages with the texts of ``parse_fix_blocks`` in place of their own, and ``fixed``. Of texts for one page that of the last block counts.
+
+    ``totals`` gets ``pages, fixed`` with the first action.
+    """
     new = blocks.groupBy("doc_id", "page").agg(F.max(F.struct("fix", "text"))["text"].alias("_text"))
     out = pages.join(new, ["doc_id", "page"], "left")
-    return out.withColumn("fixed", F.col("_text").isNotNull()).withColumn("text", F.coalesce("_text", "text")).drop("_text")
+    out = out.withColumn("fixed", F.col("_text").isNotNull()).withColumn("text", F.coalesce("_text", "text")).drop("_text")
+    return out.observe(totals, F.count(F.lit(1)).alias("pages"), F.count_if("fixed").alias("fixed")) if totals is not None else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import page_split, page_status
@@ -85,12 +85,17 @@ def with_page_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(texts, ["doc_id", "page"], "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
 
 
-def merge_chains(pages: DataFrame, splits: DataFrame) -> DataFrame:
-    """Pages joined to the page before where ``splits`` (``doc_id, page, next_page``) says so; a whole chain is one page, which keeps its first number. Splits may repeat."""
+def merge_chains(pages: DataFrame, splits: DataFrame, totals: Observation | None = None) -> DataFrame:
+    """Pages joined to the page before where ``splits`` (``doc_id, page, next_page``) says so; a whole chain is one page, which keeps its first number.
+
+    Splits may repeat. ``totals`` gets ``pages, chains, merged`` (pages that went into one before) with the first action.
+    """
     marked = pages.join(splits.select("doc_id", F.col("next_page").alias("page")).distinct().withColumn("joined", F.lit(True)), ["doc_id", "page"], "left")
     island = F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(_by_page())
     grouped = marked.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    return grouped.select("doc_id", F.col("pages")[0]["page"].alias("page"), F.size("pages").alias("n_pages"), F.array_join(F.col("pages.text"), "\n").alias("text"))
+    out = grouped.select("doc_id", F.col("pages")[0]["page"].alias("page"), F.size("pages").alias("n_pages"), F.array_join(F.col("pages.text"), "\n").alias("text"))
+    n = F.col("n_pages")
+    return out.observe(totals, F.sum(n).alias("pages"), F.count_if(n > 1).alias("chains"), F.sum(n - 1).alias("merged")) if totals is not None else out
 
 
 def page_window(rows: DataFrame, pages: DataFrame) -> DataFrame:

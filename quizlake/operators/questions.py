@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_int
@@ -128,12 +128,13 @@ def orphan_options(pages: DataFrame, first: int = 15) -> DataFrame:
     return last.groupBy("doc_id", "page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("orphans")).where(F.size("orphans") >= 2)
 
 
-def merge_splits(questions: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:
+def merge_splits(questions: DataFrame, pages: DataFrame, least: int = 3, totals: Observation | None = None) -> DataFrame:
     """Options that begin a page go to the last question of the page before, where it has fewer than ``least``.
 
     ``questions``: ``doc_id, page, pos, number, text, propositions``. A question that gets options has
     ``merged_from`` set; the first row of the page they come from goes when it has no text or number. A page
     that only holds such a row counts as empty. Both are decided on the input, before anything is changed.
+    ``totals`` gets ``questions, merged, dropped`` with the first action.
     """
     follow = pages.select("doc_id", "page", F.lead("page").over(Window.partitionBy("doc_id").orderBy("page")).alias("next_page"))
     by_page = Window.partitionBy("doc_id", "page")
@@ -144,8 +145,10 @@ def merge_splits(questions: DataFrame, pages: DataFrame, least: int = 3) -> Data
     merges = ends.join(follow, ["doc_id", "page"]).join(orphans, ["doc_id", "next_page"])
     q = q.join(merges.select("doc_id", "page", "next_page", "orphans"), ["doc_id", "page"], "left")
     q = q.join(merges.select("doc_id", F.col("next_page").alias("page"), F.lit(True).alias("_taken")), ["doc_id", "page"], "left")
-    q = q.where(~(F.coalesce("_taken", F.lit(False)) & F.col("_first") & F.col("_bare")))
+    gone = F.coalesce("_taken", F.lit(False)) & F.col("_first") & F.col("_bare")
     here = F.col("_last") & F.col("orphans").isNotNull()
+    q = q.observe(totals, F.count_if(~gone).alias("questions"), F.count_if(~gone & here).alias("merged"), F.count_if(gone).alias("dropped")) if totals is not None else q
+    q = q.where(~gone)
     old = F.coalesce("propositions", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     new = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key("orphans", k)), F.col("orphans"))
     return q.withColumn("propositions", F.when(here, new).otherwise(F.col("propositions"))).withColumn("merged_from", F.when(here, F.col("next_page"))).select(*questions.columns, "merged_from")

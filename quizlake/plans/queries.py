@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -1013,6 +1013,84 @@ def slim_record(spark, d):
     return r.select("key", F.col("s.Num").alias("num"), F.col("s.Text").alias("txt"), F.col("s.Year").alias("yr"), F.col("s.A").alias("a"), F.col("f.Tag").alias("tag"))
 
 
+# ---- what is kept beside the rows
+
+@query(f"with {_S} select md5(cast(event_id as varchar)) qcm_id, s similarity, case when s = 0 then 'No match' else printf('%.1f%%', s * 100) end label from s where s between 0.3 and 0.62")
+def match_saved(spark, d):
+    """The export of a range from saved matches."""
+    path = scratch.new_path(spark, "matches")
+    io.save_matches(_scores(spark, d), path)
+    saved = io.load_matches(spark, path, 0.3, 0.62)
+    return match.match_export(saved, 0.3, 0.62).select("qcm_id", "similarity", "label")
+
+
+@query(f"""with {PAGES}, j as (select *, sum(case when page % 5 in (2, 3) then 0 else 1 end) over (partition by doc_id order by page) island from pages_), c as (select count(*) n from j group by doc_id, island)
+           select 'chains' trail, sum(n)::bigint n_rows, sum(n - 1)::bigint changed from c union all select 'fixes', count(*), count_if(page % 3 = 0) from pages_
+           union all select 'cascade', count(*), count_if(not contains(text, 'tion')) from documents where text is not null""")
+def trail_totals(spark, d):
+    """Totals that the operators count in the pass that writes their rows."""
+    p = as_pages(spark, d)
+    splits = p.where("page % 5 in (2, 3)").select("doc_id", (F.col("page") - 1).alias("page"), F.col("page").alias("next_page"))
+    block = F.format_string("FIX_%d\nPAGE_%d: fixed %d\nEND_FIX_%d", "page", "page", "page", "page")
+    blocks = completion.parse_fix_blocks(p.where("page % 3 = 0").select("doc_id", block.alias("content")))
+    chains, fixes, routes = Observation("chains"), Observation("fixes"), Observation("routes")
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    for rows in (
+        pages.merge_chains(p, splits, chains), completion.apply_fix_blocks(p, blocks, fixes),
+        completion.cascade(docs, F.when(F.contains("text", F.lit("tion")), "tion"), lambda rest: rest.withColumn("category", F.lit("other")), "category", routes),
+    ):
+        scratch.forget(scratch.written(rows, "trail"))
+    c, f, r = chains.get, fixes.get, routes.get
+    return spark.createDataFrame([("chains", c["pages"], c["merged"]), ("fixes", f["pages"], f["fixed"]), ("cascade", r["rule"] + r["model"], r["model"])], "trail string, n_rows long, changed long")
+
+
+@query("""with n as (select r_name domain, n_name module, n_nationkey k from nation join region on r_regionkey = n_regionkey)
+          select domain, module, (row_number() over (partition by domain order by module) - 1)::int module_ord, case when k % 2 = 0 then 'about ' || module end focus, case when k % 2 = 0 then 2 else 0 end n_keywords from n
+          where domain in (select r_name from region where r_regionkey < 3)""")
+def modules_load(spark, d):
+    """A module file, half of the modules with nothing but their name, read as a dimension; of five domains three are asked for."""
+    path = scratch.new_path(spark, "modules")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rich = F.struct(F.concat(F.lit("about "), "n_name").alias("focus"), F.array("n_name", F.lit("x")).alias("keywords"))
+    entry = F.struct(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, rich).otherwise(F.struct(F.lit(None).cast("string").alias("focus"), F.lit(None).cast("array<string>").alias("keywords"))).alias("value"))
+    domains = n.groupBy("r_name").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
+    whole = domains.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "m")))).alias("value"))  # a dimension of 25 rows
+    whole.write.text(path)
+    wanted = tuple(r["r_name"] for r in table(spark, d, "region").where("r_regionkey < 3").collect())
+    return io.load_modules(spark, path, wanted).select("domain", "module", "module_ord", "focus", F.size("keywords").alias("n_keywords"))
+
+
+@query(f"""with {PAGES} select doc_id, page, case when page % 4 <> 0 and page % 2 <> 0 then 'begin ' || page || ' ' || repeat('x', 50) end fixed, case when page % 4 <> 0 and page % 2 <> 0 then 'next ' || (page + 1) || ' ' || repeat('y', 20) end next_fixed from pages_""")
+def marker_parse(spark, d):
+    """Both pages between their marks; nothing where one is missing (every fourth) or too short (every second)."""
+    p = as_pages(spark, d).select("doc_id", "page", (F.col("page") + 1).alias("next_page"))
+    body = F.when(F.col("page") % 2 == 0, "short").otherwise(F.concat(F.lit("begin "), "page", F.lit(" " + "x" * 50)))
+    second = F.when(F.col("page") % 4 == 0, "").otherwise(F.format_string("START_PAGE_%d next %d %s END_PAGE_%d", "next_page", "next_page", F.lit("y" * 20), "next_page"))
+    content = F.concat(F.format_string("Sure:\nSTART_PAGE_%d\n%s\nEND_PAGE_%d\n", "page", body, "page"), second)
+    return completion.parse_page_markers(p.withColumn("content", content)).select("doc_id", "page", "fixed", "next_fixed")
+
+
+@query("select conv_id doc_id, turn page, cast(null as varchar) cas from conversations")
+def carry_nothing(spark, d):
+    """Where no case begins, nothing is carried."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("trigger"))
+    return metadata.carry_forward(c, "trigger").select("doc_id", "page", "cas")
+
+
+@query("""select o_orderkey number, nullif(case when o_orderkey % 4 = 0 then o_orderstatus else '' end, '') s, coalesce(nullif(case when o_orderkey % 4 = 0 then o_orderstatus else '' end, ''), g) g,
+          coalesce(nullif(case when o_orderkey % 4 = 0 then o_orderstatus else '' end, ''), g, case when o_orderpriority like '1%' then 'urgent' end) a
+          from orders left join (select c_custkey, case when c_custkey % 3 = 0 then c_mktsegment end g from customer) on c_custkey = o_custkey""")
+def metadata_strategies(spark, d):
+    """One field under each strategy: skipped, document values only, both values but no fallback."""
+    own = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).otherwise("")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("number"), *[own.alias(n) for n in "sga"])
+    given = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment"))
+    per_doc = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), *[given.alias(n) for n in "sga"])
+    urgent = F.when(F.startswith("file", F.lit("1")), "urgent")
+    per_file = o.select("doc_id", "file").distinct().select("doc_id", "file", *[urgent.alias(n) for n in "sga"])
+    return metadata.fill_metadata(o, list("sga"), per_doc, per_file, {n: "none" for n in "sga"}, {"s": "S", "g": "G", "a": "A"}).select("number", *"sga")
+
+
 # ---- streams, over files that the query writes from the tables
 
 @query("""select event_id, case when event_id % 7 = 0 or event_type = 'error' then 'error' else 'info' end type from events where event_type <> 'view'""")

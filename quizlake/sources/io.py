@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,25 @@ def scan_questions(spark: SparkSession, path: str, schema: str = QUESTION, glob:
     return spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter=glob)
 
 
+#: Where an object keeps its bank.
+BANK_KEYS = ("qcms", "questions", "data", "items")
+
+
 def load_reference(spark: SparkSession, path: str) -> DataFrame:
-    """``ref_index, ref`` (variant) of a reference bank: a list, or the first of ``qcms, questions, data, items``, else the object's values."""
-    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    lists = [F.try_variant_get("v", f"$.{k}", "variant") for k in ("qcms", "questions", "data", "items")]
-    is_list = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
-    rows = doc.withColumn("l", F.when(is_list, F.col("v")).otherwise(F.coalesce(*lists, F.col("v"))))
-    rows.createOrReplaceTempView("_reference_bank")
-    return spark.sql("select cast(t.pos as int) ref_index, t.value ref from _reference_bank, lateral variant_explode(l) t")
+    """``ref_index, ref`` (variant), ``file, error`` of reference banks: a list, or the first list among ``qcms, questions, data, items``, else the object's values.
+
+    A file that isn't JSON, or holds neither a list nor an object, gives one row with its ``error`` and nulls; one without a byte gives none.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    kind = lambda c: F.substring_index(F.schema_of_variant(c), "<", 1)
+    inner = [F.try_variant_get("v", f"$.{k}", "variant") for k in BANK_KEYS]
+    lists = [F.when(kind(x) == "ARRAY", x) for x in inner]
+    whole = F.when(kind(F.col("v")) == "ARRAY", F.col("v")).when(kind(F.col("v")) == "OBJECT", F.coalesce(*lists, F.col("v")))
+    error = F.when(F.col("v").isNull(), "not JSON").when(~kind(F.col("v")).isin("ARRAY", "OBJECT"), "neither a list nor an object")
+    banks = files.select("file", whole.alias("l"), error.alias("error"))
+    rows = banks.where("l is not null").lateralJoin(spark.tvf.variant_explode(F.col("l").outer()).select(F.col("pos").cast("int").alias("ref_index"), F.col("value").alias("ref")))
+    bad = banks.where("l is null").select(F.lit(None).cast("int").alias("ref_index"), F.lit(None).cast("variant").alias("ref"), "file", "error")
+    return rows.select("ref_index", "ref", "file", "error").union(bad)
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
@@ -44,13 +57,13 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
 def load_modules(spark: SparkSession, path: str, domains: tuple[str, ...] = ("medecine", "chirurgie", "biologie")) -> DataFrame:
     """The module dimension of a JSON file, domain -> module -> {focus, keywords, differentiation} or domain -> [module]."""
     doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    doc.createOrReplaceTempView("_modules_file")
-    wanted = ", ".join(f"'{d}'" for d in domains)
-    return spark.sql(f"""
-        select d.key domain, coalesce(m.key, try_variant_get(m.value, '$', 'string')) module, cast(m.pos as int) module_ord,
-               try_variant_get(m.value, '$.focus', 'string') focus, coalesce(try_variant_get(m.value, '$.keywords', 'array<string>'), array()) keywords,
-               try_variant_get(m.value, '$.differentiation', 'string') differentiation
-        from _modules_file, lateral variant_explode(v) d, lateral variant_explode(d.value) m where d.key in ({wanted})""")
+    d = doc.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("domain"), F.col("value").alias("modules"))).where(F.col("domain").isin(*domains))
+    m = d.lateralJoin(spark.tvf.variant_explode(F.col("modules").outer()).select("pos", "key", "value"))
+    field = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind)
+    return m.select(
+        "domain", F.coalesce("key", F.try_variant_get("value", "$", "string")).alias("module"), F.col("pos").cast("int").alias("module_ord"), field("focus", "string").alias("focus"),
+        F.coalesce(field("keywords", "array<string>"), F.array().cast("array<string>")).alias("keywords"), field("differentiation", "string").alias("differentiation"),
+    )
 
 
 def save_stage(rows: DataFrame, path: str, step: str, form: str = "parquet", by: tuple[str, ...] = ("status",)) -> None:
@@ -58,6 +71,23 @@ def save_stage(rows: DataFrame, path: str, step: str, form: str = "parquet", by:
     rows.write.mode("overwrite").partitionBy(*by).format(form).save(f"{path}/step={step}")
 
 
+def save_matches(matches: DataFrame, path: str, width: float = 0.05) -> None:
+    """Matches as a table that exports read by ranges: folders by bands of similarity, ``width`` wide, sorted by it inside.
+
+    A band is written by several tasks where it is large, so that no task sorts more than its part of the range.
+    """
+    rows = matches.withColumn("band", F.floor(F.col("similarity") / width).cast("int"))
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "band", "similarity", "qcm_id").sortWithinPartitions("band", "similarity").write.mode("overwrite").partitionBy("band").parquet(path)
+
+
+def load_matches(spark: SparkSession, path: str, low: float = 0.0, high: float = 1.0, width: float = 0.05) -> DataFrame:
+    """Saved matches with ``low`` <= similarity <= ``high``; other bands' folders aren't read, nor are row groups outside the range. ``width`` as saved."""
+    rows = spark.read.parquet(path)
+    near = F.col("band").between(math.floor(low / width), math.floor(high / width))
+    return rows.where(near & F.col("similarity").between(low, high)).drop("band")
+
+
 def load_stage(spark: SparkSession, path: str, step: str, form: str = "parquet", status: str | None = None) -> DataFrame:
     df = spark.read.format(form).load(f"{path}/step={step}")
     return df.where(F.col("status") == status) if status else df
