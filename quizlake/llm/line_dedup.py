@@ -26,9 +26,10 @@ class LineDedup:
     """Parameters. Lines at Jaccard 0.8 meet in a band with probability 1 - (1 - 0.8**rows)**bands: 0.994 at the defaults.
 
     Short shingles are common, so unrelated lines share some: ``rows`` is such that lines at Jaccard 0.1 meet once in ten thousand.
+    A changed character costs at most ``chars`` shingles, so with 5 lines from 49 characters bear one in their middle.
     """
 
-    chars: int = 9
+    chars: int = 5
     least: float = 0.8
     bands: int = 13
     rows: int = 5
@@ -50,57 +51,87 @@ def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def line_table(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``row_key, doc_id, no, h, g, keys, line`` of every line that isn't blank: ``h, g`` are the halves of its 128-bit hash; ``keys`` and ``line`` are given where the task meets the line first."""
+def line_places(docs: DataFrame) -> DataFrame:
+    """``row_key, doc_id, no, n, h, g`` of every line that isn't blank: its number, how many its text has, the halves of its 128-bit hash."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+            row, no, n, h = [], [], [], []
+            for k, t in enumerate(b["text"].to_pylist()):
+                own = [(i, x) for i, line in enumerate(t.split("\n")) if (x := line.strip())]
+                row += [k] * len(own)
+                n += [len(own)] * len(own)
+                no += [i for i, _ in own]
+                h += [xxhash.xxh3_128_digest(x) for _, x in own]
+            of, halves = pa.array(row, pa.int64()), np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
+            columns = [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), pa.array(n, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "no", "n", "h", "g"])
+
+    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, n int, h long, g long")
+
+
+def line_texts(docs: DataFrame, least: int) -> DataFrame:
+    """``h, g, line`` of lines of at least ``least`` characters, each where a task meets it first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, len(whole), 200):
-                b = whole.slice(at, 200)
-                row, no, h, fresh, texts = [], [], [], [], []
-                for k, t in enumerate(b["text"].to_pylist()):
-                    for i, line in enumerate(t.split("\n")):
-                        line = line.strip()
-                        if line:
-                            x = xxhash.xxh3_128_digest(line)
-                            row.append(k), no.append(i), h.append(x)
-                            if x not in met and len(line) >= p.chars:
-                                met.add(x)
-                                fresh.append(len(h) - 1), texts.append(line)
-                if len(met) > 1_000_000:  # only spares work
-                    met.clear()
-                keys: list = [None] * len(h)
-                lines: list = [None] * len(h)
-                if texts:
-                    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-                    sizes = np.array([len(t) for t in texts])
-                    ends = np.cumsum(sizes)
-                    sh = char_shingles(codes, p.chars)
-                    inside = np.ones(len(codes), dtype=bool)
-                    for back in range(1, p.chars):
-                        inside[ends - back] = False
-                    starts = np.concatenate([[0], np.cumsum(sizes - p.chars + 1)])[:-1]
-                    sig = signatures(sh[inside[: len(sh)]], starts, p.bands * p.rows, p.seed)
-                    for k, made, line in zip(fresh, band_keys(sig, p.bands, p.rows), texts, strict=True):
-                        keys[k], lines[k] = made, line
-                of, halves = pa.array(row, pa.int64()), np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(lines, pa.string())],
-                    ["row_key", "doc_id", "no", "h", "g", "keys", "line"],
-                )
-
-    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, h long, g long, keys array<long>, line string")
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+            h, lines = [], []
+            for t in b["text"].to_pylist():
+                for line in t.split("\n"):
+                    line = line.strip()
+                    if len(line) >= least and (x := xxhash.xxh3_128_digest(line)) not in met:
+                        met.add(x)
+                        h.append(x), lines.append(line)
+            if len(met) > 1_000_000:  # only spares work
+                met.clear()
+            halves = np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(lines, pa.string())], ["h", "g", "line"])
+
+    return text_of(docs, "text").mapInArrow(run, "h long, g long, line string")
+
+
+def with_keys(texts: DataFrame, p: LineDedup) -> DataFrame:
+    """``id, line, keys`` from ``id, line``, each id once: equal ids meet in sorted partitions, and the keys are made for many lines at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+            ids = b["id"].to_numpy()
+            if not len(ids):
+                continue
+            new = np.concatenate([[last is None or ids[0] != last], ids[1:] != ids[:-1]])
+            last = ids[-1]
+            b = b.filter(pa.array(new))
+            lines = b["line"].to_pylist()
+            if not lines:
+                continue
+            sizes = np.array([len(t) for t in lines])
+            made = char_shingles(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32), p.chars)
+            inside = np.ones(int(sizes.sum()), dtype=bool)
+            for back in range(1, p.chars):
+                inside[np.cumsum(sizes) - back] = False
+            starts = np.concatenate([[0], np.cumsum(sizes - p.chars + 1)])[:-1]
+            keys = band_keys(signatures(made[inside[: len(made)]], starts, p.bands * p.rows, p.seed), p.bands, p.rows)
+            offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * p.bands)
+            yield pa.RecordBatch.from_arrays([b["id"], b["line"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "line", "keys"])
+
+    return texts.select("id", "line").repartition("id").sortWithinPartitions("id").mapInArrow(run, "id long, line string, keys array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return text_of(docs, "doc_id", "text").withColumn("row_key", row_key())
 
 
-def with_ids(lines: DataFrame) -> DataFrame:
+def shared_halves(lines: DataFrame) -> DataFrame:
+    """``h, shared`` of the first halves that different lines share; a written table, in practice an empty one."""
+    return written(lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h", F.lit(True).alias("shared")), "line-shared")
+
+
+def with_ids(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """``lines`` with ``id``, one for each 128-bit hash: its first half, or a digest of both where different lines share that half."""
-    shared = written(lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h", F.lit(True).alias("shared")), "line-shared")
+    shared = shared_halves(lines) if shared is None else shared
     return lines.join(shared, "h", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("shared", "h", "g")
 
 
@@ -117,8 +148,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
-    """(lines, dropped): every line that isn't blank, and those of them that go, by ``row_key, doc_id, no``, with
-    the place of the line that stays for them, ``kept_id, kept_no``.
+    """(lines, dropped): every line that isn't blank, ``row_key, doc_id, no, n``, and those of them that go, by ``row_key, doc_id, no``,
+    with the place of the line that stays for them, ``kept_id, kept_no``.
 
     Lines are cut at line feeds and compared without white space at their ends. Equal lines are linked, and so
     are lines whose sets of ``chars``-character shingles have an exact Jaccard of at least ``least``; lines with
@@ -126,11 +157,13 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     id and text, line number) stays; null ids come last. Rows that repeat an id and text count as one. Lines are
     equal when their 128-bit hashes are.
     """
-    table = written(line_table(docs, p), "line-table")
-    lines = with_ids(table)
-    met = lines.where("keys is not null")  # a line once for each task that met it
-    members = shared_buckets(met.select("id", F.explode("keys").alias("key")))
-    texts = written(met.select("id", "line").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    places = written(line_places(docs), "line-places")
+    shared = shared_halves(places)
+    lines = with_ids(places, shared)
+    table = written(with_keys(with_ids(line_texts(docs, p.chars), shared), p), "line-table")
+    members = shared_buckets(table.select("id", F.explode("keys").alias("key")))
+    texts = written(table.select("id", "line").join(members.select("id").distinct(), "id", "left_semi"), "line-texts")
+    forget(table)
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
@@ -160,14 +193,16 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     edges = written(by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line"), "line-links")
     forget(members, texts)
     roots = components(edges)
-    slim = lines.select("row_key", "doc_id", "no", "id")
-    rooted = written(slim.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "line-roots")
-    forget(edges, roots, table)
+    often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id")
+    # lines that occur once and are linked to nothing take no further part
+    classes = often.join(roots.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = written(lines.join(written(classes, "line-classes"), "id").select("row_key", "doc_id", "no", "root"), "line-roots")
+    forget(edges, roots)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
     first = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")
     dropped = rooted.join(first, "root").where(place != F.col("first"))
     dropped = dropped.select("row_key", "doc_id", "no", F.col("first.doc_id").alias("kept_id"), F.col("first.no").alias("kept_no"))
-    return rooted.select("row_key", "doc_id", "no"), dropped
+    return places.select("row_key", "doc_id", "no", "n"), dropped
 
 
 def line_decisions(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -179,7 +214,7 @@ def line_decisions(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """
     lines, dropped = duplicate_lines(docs, p)
     gone = dropped.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("no", F.struct(F.col("kept_id").alias("doc_id"), F.col("kept_no").alias("no")).alias("kept")))).alias("gone"))
-    counts = lines.groupBy("row_key").agg(F.countDistinct("no").alias("n_lines")).join(gone, "row_key", "left")
+    counts = lines.groupBy("row_key").agg(F.max("n").cast("long").alias("n_lines")).join(gone, "row_key", "left")
     out = _keyed(docs).select("row_key", "doc_id").join(counts, "row_key", "left")
     kind = dict(docs.dtypes)["doc_id"]
     empty = {"dropped": F.array().cast("array<int>"), "kept": F.array().cast(f"array<struct<doc_id:{kind},no:int>>")}

@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, parts, written
+
+#: Rows of a hash table that a join may build in a task.
+_BUILT = 2_000_000
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -19,7 +22,8 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     combined on the map side, written, and joined back, so that a key with very many members can be split.
     """
     shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "bucket-keys")
-    rows = written(keys.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "bucket-rows")  # few keys are shared: no sort of all rows
+    few = shared.count() <= _BUILT * parts(keys.sparkSession)  # a task's hash table of shared keys; beyond it all rows are sorted
+    rows = written(keys.join(shared.hint("shuffle_hash") if few else shared, "key", "left_semi").distinct(), "bucket-rows")
     forget(shared)
     sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"))
     named = written(sums.select("key", "n", F.xxhash64("n", "x", "s").alias("bucket")), "bucket-names")

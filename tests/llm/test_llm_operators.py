@@ -403,7 +403,7 @@ def _jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def brute_lines(rows, q=9):
+def brute_lines(rows, q=5):
     """(doc_id, line number) of the lines that go."""
     lines = sorted((d is None, d, k, x.strip()) for d, t in dict.fromkeys(rows) for k, x in enumerate((t or "").split("\n")) if x.strip())
     sets = [{x[i : i + q] for i in range(len(x) - q + 1)} for *_, x in lines]
