@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, completion, costs, match, metadata, pages, questions
-from ..sources import io, scratch
+from ..sources import banks, io, scratch
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,19 @@ def ref_load(spark, d):
     return io.load_reference(spark, path).select("ref_index", F.try_variant_get("ref", "$.Num", "long").alias("num"), F.md5(F.try_variant_get("ref", "$.Text", "string")).alias("md5"))
 
 
+@query("select cast(row_number() over (partition by c_nationkey order by c_custkey) - 1 as integer) ref_index, c_custkey num, md5(c_name || ', \"[' || c_mktsegment || ']}') md5 from customer")
+def ref_ranges(spark, d):
+    """A bank a nation, each one JSON text in one file, read by ranges of 2000 bytes."""
+    path = scratch.new_path(spark, "banks")
+    text = F.concat("c_name", F.lit(', "['), "c_mktsegment", F.lit("]}"))
+    item = F.to_json(F.struct(F.col("c_custkey").alias("Num"), text.alias("Text")))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("x")))).alias("items"))  # a nation has as many as fit its file
+    whole = F.concat(F.lit('{"name": "bank", "questions": ['), F.array_join(F.col("items.x"), ", "), F.lit("]}"))
+    rows.select(F.col("c_nationkey").alias("bank"), whole.alias("value")).write.partitionBy("bank").text(path)
+    got = banks.scan_bank(spark, path, 2000).where("error is null")
+    return got.select("ref_index", F.try_variant_get("ref", "$.Num", "long").alias("num"), F.md5(F.try_variant_get("ref", "$.Text", "string")).alias("md5"))
+
+
 @query("select doc_id, row_number() over (order by doc_id) - 1 ref_index from documents")
 def ref_index(spark, d):
     return scratch.with_index(table(spark, d, "documents").select("doc_id"), ["doc_id"], "ref_index")

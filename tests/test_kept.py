@@ -57,3 +57,24 @@ def test_banks_with_faults(spark, tmp_path):
     got = sorted((r.bank, r.ref_index, r.num) for r in rows if r.error is None)
     assert got == [("a", 0, 1), ("a", 1, 2), ("b", 0, 3), ("c", 0, 4), ("c", 1, 5)]
     assert {(r.bank, r.error) for r in rows if r.error} == {("e", "neither a list nor an object"), ("f", "not JSON"), ("g", "not JSON")}
+
+
+def _as_loaded(df):
+    return sorted(((r.bank, r.ref_index is None, r.ref_index or 0, r.ref, r.error) for r in df.select(F.regexp_extract("file", "([^/]+)$", 1).alias("bank"), "ref_index", F.to_json("ref").alias("ref"), "error").collect()), key=repr)
+
+
+def test_banks_by_ranges(spark, tmp_path):
+    from quizlake.sources.banks import scan_bank
+
+    tricky = [{"Num": k, "t": x * n, "in": [{"a": [1, {"b": "]}"}]}, []]} for k, (x, n) in enumerate([('"', 3), ("\\", 41), ("\\\"", 9), ("é]}{[,:", 7), ("", 1), ("plain ", 40), ("\n", 5)] * 6)]
+    banks = {
+        "list": json.dumps(tricky), "pretty": json.dumps(tricky, indent=3, ensure_ascii=False), "named": json.dumps({"name": "x, [y]", "other": [[9]], "qcms": {"no": [1]}, "data": tricky, "items": [5]}), "values": json.dumps({f"k{k:03}": t for k, t in enumerate(tricky)}),
+        "spaced": ' {"questions" : \n [ 1 , "two" , null, {"x":[ ]} ] , "z": 3}', "empty": "[ ]", "none": "{}", "text": '"only [text"', "cut": json.dumps(tricky)[:-30], "open": '["abc', "bom": "﻿[1,2]",
+    }
+    for name, text in banks.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    want = _as_loaded(io.load_reference(spark, str(tmp_path)))
+    want = [r for r in want if r[0] != "bom"] + [("bom", False, 0, "1", None), ("bom", False, 1, "2", None)]
+    for step in (64, 331, 1 << 20):
+        assert _as_loaded(scan_bank(spark, str(tmp_path), step)) == sorted(want, key=repr)
+    assert scan_bank(spark, str(tmp_path / "list"), 500).select(F.countDistinct("ref_index")).first()[0] == len(tricky)
