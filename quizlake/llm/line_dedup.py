@@ -139,12 +139,20 @@ def shingle_sets(lines: list[str], n: int) -> list[np.ndarray]:
     """The sorted different shingles of each line, by their hashes."""
     sizes = np.array([len(t) for t in lines], dtype=np.int64)
     made = char_shingles(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32), n)
-    return [np.unique(made[e - size : max(e - size, e - n + 1)]) for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+    return [_distinct(made[e - size : max(e - size, e - n + 1)]) for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once; np.unique takes four times as long for so few."""
+    x = np.sort(hashes)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets, of which ``b`` isn't empty."""
-    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    """Size of the intersection of two sorted sets: a stable sort merges their two runs, what both have stands twice."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
