@@ -12,7 +12,11 @@ from quizlake.llm.common import keyed_rows, one_a_key, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (learned from ``labels``, held-out ids aside) rejects go."""
+    """Documents that the toxicity model (learned from ``labels``, held-out ids aside) rejects go.
+
+    Null and empty texts get the model's bias, which is clean; repeated rows are judged alike and all stay or go;
+    an empty table stays empty, and without labels nothing goes.
+    """
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
     rows = keyed_rows(docs).select("row", "text")
     return toxicity.score_toxicity(rows, model).where("predicted = 0").select("row.*")
@@ -40,7 +44,11 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to their target weights: a document stands as often as the mix takes it; what is not taken goes."""
+    """Sources to their target weights: a document stands as often as the mix takes it; what is not taken goes.
+
+    Null sources are a source of their own. Documents without words have nothing to take and go. Of rows that repeat an id
+    and text one stands for all, the first by a digest of its other columns. An empty table stays empty.
+    """
     rows = keyed_rows(docs)
     taken = mixing.mix_sources(rows.select(F.col("row_key").alias("doc_id"), "source", "text")).where("taken > 0")
     times = taken.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
@@ -49,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids."""
+    """Every document with its token ids; null and empty texts have none, repeated rows all stay, an empty table stays empty."""
     return sentencepiece.encode_pieces(docs, sentencepiece.load_model())
 
 

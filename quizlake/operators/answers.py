@@ -43,7 +43,7 @@ def parse_tables(pages: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("is_head", is_head).withColumn("head", F.last(F.when(is_head, F.col("cells")), ignorenulls=True).over(w))
     rows = rows.where(~F.col("is_head") & F.col("head").isNotNull() & ~F.contains("line", F.lit("---")) & F.regexp_like(F.col("cells")[0], F.lit(r"^\d{1,9}$")))
-    named = F.zip_with(F.slice("head", 2, 100), F.slice("cells", 2, 100), lambda h, c: F.when(h.isin("A", "B", "C", "D", "E") & c.isin(*MARKS), h))
+    named = F.zip_with(*[F.slice(c, F.lit(2), F.size(c)) for c in ("head", "cells")], lambda h, c: F.when(h.isin("A", "B", "C", "D", "E") & c.isin(*MARKS), h))
     out = rows.select("doc_id", "page", "pos", F.col("cells")[0].cast("int").alias("number"), F.array_join(F.array_sort(F.array_compact(named)), "").alias("answer"))
     return out.where("answer <> ''")
 
