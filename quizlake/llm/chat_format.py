@@ -156,7 +156,12 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), token
 
 
 def chat_digest(formatted: DataFrame, template: ChatTemplate = ChatTemplate(), tokenizer: str = TOKENIZER) -> DataFrame:
-    """What can be read back from ``format_chats``: turns parsed from the formatted text, loss text decoded from the masked ids."""
+    """What can be read back from ``format_chats``: turns parsed from the formatted text, loss text decoded from the masked ids.
+
+    One row a conversation, as ``format_chats`` gives them (null texts and roles as empty ones, a null conv_id as one
+    conversation). A conversation without an assistant has 0 loss_chars and the digest of an empty text. Other
+    columns are ignored; an empty table gives an empty result.
+    """
 
     shared = _shipped(formatted, tokenizer)
 
