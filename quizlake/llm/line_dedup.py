@@ -155,6 +155,48 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def settled(members: DataFrame, texts: DataFrame, p: LineDedup) -> tuple[DataFrame | None, DataFrame]:
+    """(links, members that must still be compared) of buckets with more than ``block`` members, in rounds.
+
+    All members are compared with one of them, the pivot, so texts move once. Those near it are connected by it and
+    needn't be compared with each other. Jaccard distance is a metric: who isn't near the pivot can only be near members
+    about as far from it, less the allowed distance. These are the next round's bucket, unless they are few (then they are compared in
+    pairs) or nearly as many as before (then the bucket isn't one of near copies, and is cut into blocks).
+    """
+    near, done, links = 1 - p.least + 1e-9, members.where(F.col("n") <= p.block), None
+    big = members.where(F.col("n") > p.block)
+    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("pivot", pa.int64()), ("far", pa.float64()), ("n", pa.int64())])
+
+    def work(unit: int, rows: list[dict]) -> list[tuple]:
+        lead = next(r for r in rows if r["lead"])
+        own, size = lead["line"], len(lead["line"])
+        out = []
+        for r in rows:
+            if not r["lead"]:
+                both = _common(own, r["line"])
+                out.append((r["bucket"], r["id"], lead["id"], 1 - both / (size + len(r["line"]) - both), r["n"]))
+        return out
+
+    while not big.isEmpty():
+        pieces = F.ceil(F.col("n") / p.block).cast("int")
+        unit = lambda piece: F.xxhash64("bucket", piece).alias("unit")
+        pivots = big.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("id"), F.max("n").alias("n"))
+        leads = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select(unit(F.col("piece")), "bucket", "n", "id", F.lit(True).alias("lead"))
+        rows = big.select(unit(F.pmod(F.xxhash64("id", F.lit(5)), pieces).cast("int")), "bucket", "n", "id", F.lit(False).alias("lead"))
+        told = by_unit(rows.union(leads).join(texts, "id").select("unit", "bucket", "n", "id", "lead", "line"), work, schema, "bucket long, id long, pivot long, far double, n long", lambda lines: shingle_sets(lines, p.chars), "line")
+        told = written(told, "line-pivots")
+        met = told.where((F.col("far") <= near) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        links = met if links is None else links.union(met)
+        edge = told.where(F.col("far") > near).groupBy("bucket").agg(F.min("far").alias("low"))  # of the members not near the pivot
+        rest = told.join(edge, "bucket").where((F.col("far") >= F.col("low") - near) & (F.col("id") != F.col("pivot"))).select("bucket", "id", F.col("n").alias("before"))
+        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        rest = written(rest.join(sizes, "bucket"), "line-rest")
+        again = (F.col("n") > p.block) & (F.col("n") <= 0.7 * F.col("before"))
+        done = done.select("bucket", "n", "id").union(rest.where(~again).select("bucket", "n", "id"))
+        big = rest.where(again).select("bucket", "n", "id")
+    return links, done
+
+
 def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): every line that isn't blank, ``row_key, doc_id, no, n``, and those of them that go, by ``row_key, doc_id, no``,
     with the place of the line that stays for them, ``kept_id, kept_no``.
@@ -169,9 +211,10 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     shared = shared_halves(places)
     lines = with_ids(places, shared)
     table = written(with_keys(with_ids(line_texts(docs, p.chars), shared), p), "line-table")
-    members = shared_buckets(table.select("id", F.explode("keys").alias("key")))
+    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")))
     texts = written(table.select("id", "line").join(members.select("id").distinct(), "id", "left_semi"), "line-texts")
     forget(table)
+    links, members = settled(members, texts, p)
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
@@ -198,8 +241,9 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
         return [(r["id"], rows[u.find(x)]["id"]) for x, r in enumerate(rows) if u.find(x) != x]
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    edges = written(by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line"), "line-links")
-    forget(members, texts)
+    edges = by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line")
+    edges = written(edges if links is None else edges.union(links), "line-links")
+    forget(buckets, texts)
     roots = components(edges)
     often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id")
     # lines that occur once and are linked to nothing take no further part

@@ -15,7 +15,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quizlake.llm import centroids, divergence, toxicity, wrappers
+from quizlake.llm import centroids, divergence, line_dedup, toxicity, wrappers
+from quizlake.llm.common import written
 from quizlake.llm.html_groups import fold, load, parse
 
 
@@ -208,3 +209,53 @@ def test_toxicity_against_plain_loops(spark):
     for r in toxicity.score_toxicity(df, m).collect():
         assert r.score == pytest.approx(_plain_score(m, r.text), abs=1e-9)
     assert m.score("idiot " + "river " * 2000) > 0.5 > m.score("river " * 2000)
+
+
+def _near_lines(n, seed):
+    """Lines of one group: chains of edits, so that some are near others but not near the first, and a few strangers."""
+    rng = random.Random(seed)
+    line = "".join(rng.choices("abcdefghij ", k=200)).strip() + "kl"
+    out = [line]
+    while len(out) < n:
+        x = list(rng.choice(out[:1] * 6 + out[-3:]))
+        for _ in range(rng.randint(1, 4)):
+            x[rng.randrange(len(x))] = rng.choice("QRSTUV")
+        out.append("".join(x))
+    return [*dict.fromkeys(out), *("".join(rng.choices("mnopqrst ", k=150)).strip() + "z" for _ in range(5))]
+
+
+@pytest.mark.parametrize(("n", "block", "seed"), [(120, 8, 1), (90, 16, 2), (60, 5, 3)])
+def test_lines_settled_by_pivots_are_connected_as_by_all_pairs(spark, n, block, seed):
+    lines = _near_lines(n, seed)
+    p = line_dedup.LineDedup(block=block)
+    sets = line_dedup.shingle_sets(lines, p.chars)
+    members = written(spark.createDataFrame([(1, len(lines), k) for k in range(len(lines))] + [(2, 2, 0), (2, 2, 1)], "bucket long, n long, id long"), "members")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    links, rest = line_dedup.settled(members, texts, p)
+    linked = lambda a, b: (both := len(set(sets[a].tolist()) & set(sets[b].tolist()))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9
+    by_bucket = {}
+    for r in rest.collect():
+        by_bucket.setdefault(r.bucket, []).append(r.id)
+    got = [tuple(r) for r in links.collect()]
+    assert all(linked(a, b) for a, b in got) and sorted(by_bucket[2]) == [0, 1]
+    got += [(a, b) for ids in by_bucket.values() for a in ids for b in ids if a < b and linked(a, b)]
+    want = [(a, b) for a in range(len(lines)) for b in range(a) if linked(a, b)]
+
+    def classes(pairs):
+        root = list(range(len(lines)))
+        for _ in range(len(lines)):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(got) == classes(want)
+
+
+def test_near_copies_move_in_proportion(spark):
+    """Of 4 096 copies with one edit each, every text moves to one task a round, not to eight."""
+    p = line_dedup.LineDedup()
+    base = "".join(random.Random(4).choices("abcdefghij ", k=200)) + "kl"
+    lines = [base[:k % 200] + chr(0x4E00 + k) + base[k % 200 + 1:] for k in range(4096)]
+    members = written(spark.createDataFrame([(1, len(lines), k) for k in range(len(lines))], "bucket long, n long, id long"), "members")
+    links, rest = line_dedup.settled(members, spark.createDataFrame(list(enumerate(lines)), "id long, line string"), p)
+    assert links.count() == len(lines) - 1 and rest.count() == 0
