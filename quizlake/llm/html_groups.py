@@ -45,14 +45,18 @@ DEPTH, PARTS = 120, 96
 
 
 class Group:
-    """A group of tokens: ``label`` (kind of region, tag, classes, id), ``kids``; a slot (label ``#``) has ``text``: the digest of a text that never changed, or '' once it did."""
+    """A group of tokens: ``label`` (kind of region, tag, classes, id), ``kids``; a slot (label ``#``) has ``text``: the digest of a text that never changed, or '' once it did.
 
-    __slots__ = ("chars", "kids", "label", "linked", "many", "optional", "pages", "same", "sign", "text")
+    ``chars, linked`` (characters, those in links) add up what is folded in; ``size, links`` are the group's own.
+    """
+
+    __slots__ = ("chars", "kids", "label", "linked", "links", "many", "optional", "pages", "same", "sign", "size", "text")
 
     def __init__(self, label: str, kids: list | None = None, text: str = "", chars: int = 0, linked: int = 0):
         self.label, self.kids, self.text, self.chars, self.linked = label, kids or [], text, chars, linked
         self.many = self.optional = False
         self.pages, self.same, self.sign = 1, None, 0
+        self.size, self.links = chars, linked
 
     @property
     def tag(self) -> str:
@@ -203,7 +207,7 @@ def parse(page: str) -> tuple[Group, list[tuple[Group, str, tuple[Group, ...]]]]
 
 
 def _total(g: Group) -> None:
-    g.chars, g.linked = sum(k.chars for k in g.kids), sum(k.linked for k in g.kids)
+    g.chars, g.linked = g.size, g.links = sum(k.chars for k in g.kids), sum(k.linked for k in g.kids)
     _sign(g)
 
 

@@ -109,10 +109,10 @@ def _varied_text(leaves: list, found: dict[int, Group], weight, p: Wrapping) ->
         return w is not None and w.text != "" and w.pages >= p.template
 
     def menu(path: tuple) -> bool:
-        return any(g.linked > p.links * g.chars for g in path[1:])
+        return any(g.links > p.links * g.size for g in path[1:])
 
     varied = [x for x in leaves if not fixed(x[0])] or leaves  # copies of one page: all of its texts are the same
-    prose = [x for x in varied if not menu(x[2]) and x[0].linked <= p.links * x[0].chars] or varied
+    prose = [x for x in varied if not menu(x[2]) and x[0].links <= p.links * x[0].size] or varied
     credit: dict[int, float] = {}
     seen = set()
     for slot, _, path in prose:

@@ -148,6 +148,17 @@ def test_html_leaves_out_what_is_not_the_article(spark):
     assert got == "Head line One <b> bold two a b link c d e f kept \u00a9 5 < 6"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<table><tr><td><a href=1>a</a><br><a href=2>b</a></td><td><font><h1>T</h1>Text one is here and long.<p>Text two is here and long.</font></td></tr></table><hr>Copyright", "T Text one is here and long. Text two is here and long."),
+    ("<div class=site-header><a href=/>Home</a></div><div class=content><div class=post id=post-12><h2 class=post-title>Title</h2><p>First part of it.</p><blockquote>Quote</blockquote><ul><li>one<li>two</ul></div><div class=comments><p>Nice post, and a long comment at that, longer than all.</div></div><div class='widget-area sidebar'><p>About me, quite long too.</div>", "Title First part of it. Quote one two"),
+    ("<div class=notice-bar>We moved</div><div role=main><p>Body <em>te</em>xt.</p><div class=newsletter-signup>Join</div></div>", "Body text."),
+    ("<article><h1>Main</h1><p>" + "long text " * 20 + "</p></article><article class=teaser><p>t1</p></article><article class=comment><p>" + "c " * 200 + "</p></article>", "Main " + "long text " * 19 + "long text"),
+    ("<article>a &lt; b &nbsp; c&#233; &unknown; &copy 2020 <pre> x\n y </pre><select><option>o</select><textarea>t</textarea>z</article>", "a < b c\u00e9 &unknown; \u00a9 2020 x y z"),
+])
+def test_html_layouts(page, want):
+    assert wrappers.main_text(page, None) == want
+
+
 def test_html_odd_pages(spark):
     deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000
     rows = [(1, None, None), (1, None, None), (2, "", ""), (3, "not a url", "no markup, only text"), (None, "http://a/", "<article>x"), (5, "http://a/", deep), (6, "http://b/?q", "<p>" * 50_000 + "end"), (7, "http://b/", "<a '" * 20_000), (8, "http://c", "<article></article><p>only this"), (9, "http://c", "<b><i>" * 20_000 + "in" + "<li>x" * 2000)]
