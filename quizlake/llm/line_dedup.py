@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, keyed_rows, one_a_key, row_key, text_of, written
-from .linking import Union, by_unit, components, in_blocks, shared_buckets
+from .linking import Union, built, by_unit, components, in_blocks, shared_buckets
 from .shingles import band_keys, mix, signatures
 
 
@@ -93,17 +93,17 @@ def line_texts(docs: DataFrame, least: int) -> DataFrame:
 
 
 def with_keys(texts: DataFrame, p: LineDedup) -> DataFrame:
-    """``id, line, keys`` from ``id, line``, each id once: equal ids meet in sorted partitions, and the keys are made for many lines at once."""
+    """``id, line, keys`` from ``id, line``, each id once: equal ids meet in a partition, which remembers its ids, and the keys are made for many lines at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        met: set[int] = set()
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
-            ids = b["id"].to_numpy()
-            if not len(ids):
-                continue
-            new = np.concatenate([[last is None or ids[0] != last], ids[1:] != ids[:-1]])
-            last = ids[-1]
-            b = b.filter(pa.array(new))
+            fresh = []
+            for k, i in enumerate(b["id"].to_pylist()):
+                if i not in met:
+                    met.add(i)
+                    fresh.append(k)
+            b = b.take(pa.array(fresh, pa.int64()))
             lines = b["line"].to_pylist()
             if not lines:
                 continue
@@ -117,7 +117,7 @@ def with_keys(texts: DataFrame, p: LineDedup) -> DataFrame:
             offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * p.bands)
             yield pa.RecordBatch.from_arrays([b["id"], b["line"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "line", "keys"])
 
-    return texts.select("id", "line").repartition("id").sortWithinPartitions("id").mapInArrow(run, "id long, line string, keys array<long>")
+    return texts.select("id", "line").repartition("id").mapInArrow(run, "id long, line string, keys array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -211,9 +211,10 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     shared = shared_halves(places)
     lines = with_ids(places, shared)
     table = written(with_keys(with_ids(line_texts(docs, p.chars), shared), p), "line-table")
-    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")))
-    texts = written(table.select("id", "line").join(members.select("id").distinct(), "id", "left_semi"), "line-texts")
-    forget(table)
+    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")), once=True)
+    wanted = written(members.select("id").distinct(), "line-wanted")
+    texts = written(table.select("id", "line").join(built(wanted), "id", "left_semi"), "line-texts")
+    forget(table, wanted)
     links, members = settled(members, texts, p)
     units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
 
@@ -248,7 +249,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id")
     # lines that occur once and are linked to nothing take no further part
     classes = often.join(roots.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
-    rooted = written(lines.join(written(classes, "line-classes"), "id").select("row_key", "doc_id", "no", "root"), "line-roots")
+    rooted = written(lines.join(built(written(classes, "line-classes")), "id").select("row_key", "doc_id", "no", "root"), "line-roots")
     forget(edges, roots)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
     first = written(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-first")

@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 
 from .common import forget, parts, written
 
-#: Rows of a hash table that a join may build in a task.
+#: Rows of a hash table that a join may build in a task, on average.
 _BUILT = 2_000_000
 
 
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """``bucket, n, id`` of the buckets with several members, from ``key, id`` rows.
+def built(side: DataFrame) -> DataFrame:
+    """A written table as a side of a join: hashed by the tasks while it has few rows for each, so that the other side needn't be sorted; beyond that both are sorted."""
+    return side.hint("shuffle_hash") if side.count() <= _BUILT * parts(side.sparkSession) else side
+
+
+def shared_buckets(keys: DataFrame, once: bool = False) -> DataFrame:
+    """``bucket, n, id`` of the buckets with several members, from ``key, id`` rows; ``once`` says that no row is repeated.
 
     Bands that hold the very same members are one bucket (its name is a digest of the members), so a set of near
     copies that meets in many bands is verified once. Repeated rows don't count. What is known of a key is
     combined on the map side, written, and joined back, so that a key with very many members can be split.
     """
     shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "bucket-keys")
-    few = shared.count() <= _BUILT * parts(keys.sparkSession)  # a task's hash table of shared keys; beyond it all rows are sorted
-    rows = written(keys.join(shared.hint("shuffle_hash") if few else shared, "key", "left_semi").distinct(), "bucket-rows")
+    rows = keys.join(built(shared), "key", "left_semi")
+    rows = written(rows if once else rows.distinct(), "bucket-rows")
     forget(shared)
     sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"))
     named = written(sums.select("key", "n", F.xxhash64("n", "x", "s").alias("bucket")), "bucket-names")
