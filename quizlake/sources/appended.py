@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import posixpath
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -136,5 +138,6 @@ class AppendedLines(DataSource):
 
 def appended_lines(spark: SparkSession, path: str, suffix: str = "", partition_bytes: int = 64 << 20, objects: bool = False) -> DataFrame:
     """The stream of lines below ``path``."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the source's processes may not find the package
     spark.dataSource.register(AppendedLines)
     return spark.readStream.format("appended_lines").options(suffix=suffix, partitionBytes=partition_bytes, objects=str(objects).lower()).load(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -89,6 +91,7 @@ def accumulate(spark: SparkSession, source: str, schema: str, target: str, check
     rows = spark.readStream.schema(schema).json(source)
     rows = rows.select(*[F.col(f"`{n}`").alias(short[n]) for n in names], F.md5(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))).alias("place"))
     out = ", ".join([f"{short[f.name]} {f.dataType.simpleString()}" for f in fields] + ["change string"])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processor's processes may not find the package
     kept = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKS)
     try:
