@@ -1,13 +1,15 @@
 """Operator 3, language-model scores by stupid backoff.
 
-Relational throughout: documents are exploded into their n-grams, known by 64-bit hashes; rows ``gram, batch, n``
-are dealt by hash and summed to the table of counts, which goes back to the batches' n-grams; each batch of
-documents then adds up its documents' scores. A frequent n-gram is one row a batch, however many documents of it
-hold the n-gram, so no hash has more rows than there are batches.
-
-Orders are counted one after another. An n-gram is at most as frequent as the two shorter ones it holds, so
-only those are sent of which both have reached the count from which an n-gram counts as seen: no other can.
-Counts go back to the batches in slices, so that only a slice of them lies in shuffle files at a time.
+Documents are exploded into their n-grams, known by 64-bit hashes; rows ``gram, batch, n`` are dealt by hash and
+summed to the table of counts, which goes back to the batches' n-grams; each batch of documents then adds up its
+documents' scores. A frequent n-gram is one row a batch, however many documents of it hold the n-gram, so no hash
+has more rows than there are batches.
+
+Words and bigrams are counted before anything goes back, longer n-grams one order after another. An n-gram is at most
+as frequent as the two shorter ones it holds, so from trigrams on only those are sent of which both have reached the
+count from which an n-gram counts as seen: no other can. N-grams are dealt in parts by their hash and counts go back in
+slices of the batches, so that only a part lies in shuffle files at a time. What a batch holds (word numbers,
+totals) goes as bytes, and counts go back as one row a batch for many n-grams, so that Spark doesn't move them number by number.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, text_of, written
+from .common import forget, parts, text_of, written
 from .shingles import joined
 
 
@@ -37,31 +39,34 @@ def _grams(words: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def _counts(grams: np.ndarray, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The totals of ``grams`` from a table sorted by ``known``; 0 for those it lacks."""
-    if not len(known):
-        return np.zeros(len(grams), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-    return np.where(known[at] == grams, totals[at], 0)
+    out = np.zeros(len(grams), dtype=np.int64)
+    if len(known):
+        order = np.argsort(grams)  # sorted ones are found three times as fast
+        grams = grams[order]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        out[order] = np.where(known[at] == grams, totals[at], 0)
+    return out
 
 
 def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and totals of ``gram, total`` rows."""
-    grams, totals = rows["gram"].to_numpy().view(np.uint64), rows["total"].to_numpy()
+    """Hashes, sorted, and totals of ``grams, totals`` rows."""
+    grams, totals = _joined(rows, "grams", np.uint64), _joined(rows, "totals", np.int64)
     order = np.argsort(grams)
     return grams[order], totals[order]
 
 
-def _longs(batch: pa.Table, column: str) -> np.ndarray:
-    return batch[column].chunk(0).flatten().to_numpy() if len(batch) else np.empty(0, np.int64)
+def _numbers(batch: pa.Table, column: str, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(batch[column][0].as_buffer(), dtype=kind)
 
 
 def _texts(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a batch, and the number of words of each text."""
-    return _longs(batch, "vocab").view(np.uint64)[_longs(batch, "words")], _longs(batch, "sizes").astype(np.int64)
+    return _numbers(batch, "vocab", np.uint64)[_numbers(batch, "words", np.int32)], _numbers(batch, "sizes")
 
 
 def _known(batch: pa.Table, n: int) -> np.ndarray:
     """For each word of a batch the total of the n-gram that ends at it (0: not counted or too few)."""
-    return _longs(batch, "c1")[_longs(batch, "words")] if n == 1 else _longs(batch, f"c{n}")
+    return _numbers(batch, "c1")[_numbers(batch, "words", np.int32)] if n == 1 else _numbers(batch, f"c{n}")
 
 
 def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
@@ -72,20 +77,20 @@ def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
         ids, sizes, words, total = [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            vocab, index = np.unique(np.concatenate(words), return_inverse=True)
-            columns = [int.from_bytes(os.urandom(7), "little"), ids, np.concatenate(sizes), vocab.view(np.int64), index.astype(np.int32), len(index)]
-            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
+            coded = pa.concat_arrays(words).dictionary_encode()
+            vocab = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            index = coded.indices.to_numpy().astype(np.int32)
+            columns = [int.from_bytes(os.urandom(7), "little"), ids, np.concatenate(sizes).astype(np.int64).tobytes(), vocab.tobytes(), index.tobytes(), len(index)]
+            kinds = [pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["batch", "doc_ids", "sizes", "vocab", "words", "n_words"])
 
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
             id_type = b.schema.field("doc_id").type
             split = pc.ascii_split_whitespace(b["text"])
-            flat, ends = split.flatten(), np.cumsum([0, *pc.list_value_length(split).to_pylist()])
+            flat, ends = split.flatten(), np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy()]))
             word = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves an empty one
             sizes.append(np.diff(np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])[ends]))
-            coded = flat.filter(word).dictionary_encode()
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-            words.append(hashes[coded.indices.to_numpy()])
+            words.append(flat.filter(word))
             ids += b["doc_id"].to_pylist()
             total += len(words[-1])
             if total >= batch_words or len(ids) >= batch_words:
@@ -94,10 +99,41 @@ def _tokens(docs: DataFrame, batch_words: int) -> DataFrame:
         if ids:
             yield full()
 
-    return text_of(docs, "doc_id", "text").mapInArrow(pack, f"batch long, doc_ids array<{kind}>, sizes array<int>, vocab array<long>, words array<int>, n_words long")
+    return text_of(docs, "doc_id", "text").mapInArrow(pack, f"batch long, doc_ids array<{kind}>, sizes binary, vocab binary, words binary, n_words long")
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_words: int = 1_000_000, slices: int = 4) -> DataFrame:
+def _joined(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[column].to_pylist()), dtype=kind)
+
+
+def _rows(grams: np.ndarray, others: np.ndarray, starts: np.ndarray, keys: pa.Array, names: list[str]) -> pa.RecordBatch:
+    """Rows of a key and two arrays as bytes, cut where each row starts."""
+    packed = []
+    for x in (grams, others):
+        offsets = pa.py_buffer((x.itemsize * np.append(starts, len(x))).astype(np.int32))
+        packed.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]))
+    return pa.RecordBatch.from_arrays([keys, *packed], names)
+
+
+def _totals(least: int):
+    """``batch, grams, totals`` of the n-grams with a total of ``least``, from a piece's rows ``batch, grams, n``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = pc.binary_length(rows["grams"]).to_numpy() // 8
+        grams, n = _joined(rows, "grams", np.uint64), _joined(rows, "n", np.int32)
+        order = np.argsort(grams)
+        ordered = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        totals = np.empty(len(grams), dtype=np.int64)
+        totals[order] = np.repeat(np.add.reduceat(n[order], starts, dtype=np.int64), np.diff(np.append(starts, len(grams))))
+        enough = totals >= least
+        ends = np.concatenate([[0], np.cumsum(enough)])[np.cumsum(sizes)]
+        return pa.Table.from_batches([_rows(grams[enough], totals[enough], np.append(0, ends[:-1]), rows["batch"].combine_chunks(), ["batch", "grams", "totals"])])
+
+    return run
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_words: int = 1_000_000, slices: int = 4, deals: int = 2, piece_rows: int = 2_000_000) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
 
     Words are runs of characters other than ASCII white space, as written. The score of word w after context c is
@@ -112,42 +148,57 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
     A task holds a batch of documents and the counts of that batch's n-grams, whatever the size of the corpus.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    state = [written(_tokens(docs, batch_words), "lm-tokens")]
-    words_in_all = state[0].agg(F.sum("n_words")).first()[0] or 0
-    kinds = {"batch": "long", "doc_ids": f"array<{kind}>", "sizes": "array<int>", "vocab": "array<long>", "words": "array<int>"}
-    asked_schema = pa.schema([("gram", pa.int64()), ("batch", pa.int64()), ("n", pa.int32())])
-
-    def ask(n: int):
-        """The n-grams of each batch that may be seen, as ``gram, batch, n`` rows."""
+    part = F.pmod(F.xxhash64("batch"), F.lit(slices)).alias("slice")
+    tokens = written(_tokens(docs, batch_words).select("*", part), "lm-tokens", by="slice")
+    words_in_all = tokens.agg(F.sum("n_words")).first()[0] or 0
+    pieces = max(2 * parts(docs.sparkSession), words_in_all // (deals * piece_rows) + 1)
+    kinds = {"batch": "long", "doc_ids": f"array<{kind}>", "sizes": "binary", "vocab": "binary", "words": "binary"}
+    def range_of(hashes: np.ndarray, of: int) -> np.ndarray:
+        """Which of so many equal ranges each hash lies in."""
+        return ((hashes >> np.uint64(32)) * np.uint64(of) >> np.uint64(32)).astype(np.int64)
+
+    def ask(n: int, deal: int, of: int):
+        """The n-grams of each batch that may be seen, those of one of so many deals, as ``piece, batch, grams, n``: a row for each piece, which is a range of hashes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k in range(len(b)):
-                    one = pa.Table.from_batches([b.slice(k, 1)]).combine_chunks()
-                    grams, at = _grams(*_texts(one), n)
-                    if n > 1:
-                        seen = _known(one, n - 1) >= least
-                        grams = grams[seen[at] & seen[at - 1]]
-                    every, times = np.unique(grams, return_counts=True)
-                    yield from pa.table([every.view(np.int64), np.full(len(every), one["batch"][0].as_py()), times.astype(np.int32)], schema=asked_schema).to_batches(max_chunksize=100_000)
+                    one = pa.Table.from_batches([b.slice(k, 1)])
+                    if n == 1:
+                        vocab = _numbers(one, "vocab", np.uint64)
+                        every, times = _grams(vocab, np.ones(len(vocab), np.int64), 1)[0], np.bincount(_numbers(one, "words", np.int32), minlength=len(vocab))
+                        order = np.argsort(every)
+                        every, times = every[order], times[order]
+                    else:
+                        grams, at = _grams(*_texts(one), n)
+                        if n > 2:
+                            seen = _known(one, n - 1) >= least
+                            grams = grams[seen[at] & seen[at - 1]]
+                        every, times = np.unique(grams[range_of(grams, of) == deal] if of > 1 else grams, return_counts=True)
+                    piece = range_of(every, of * pieces)
+                    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+                    keys = pa.array(piece[starts])
+                    rows = _rows(every, times.astype(np.int32), starts, keys, ["piece", "grams", "n"])
+                    yield rows.append_column("batch", pa.array(np.full(len(starts), one["batch"][0].as_py())))
 
         return run
 
-    def put(n: int):
+    def put(orders: list[int]):
         """Write the totals of n-grams into the batch they came from; the last ones give the scores."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            left, table = left.combine_chunks(), _table(right)
+            table = _table(right)
             words, sizes = _texts(left)
-            if n == 1:
-                vocab = _longs(left, "vocab").view(np.uint64)
-                made = np.maximum(_counts(_grams(vocab, np.ones(len(vocab), np.int64), 1)[0], *table), 1)  # a word that isn't sent back occurs once
-            else:
-                made = np.zeros(len(words), dtype=np.int64)
-                grams, at = _grams(words, sizes, n)
-                made[at] = _counts(grams, *table)
-            left = left.append_column(f"c{n}", pa.array([made], pa.list_(pa.int64())))
-            return score(left) if n == order else left
+            for n in orders:
+                if n == 1:
+                    vocab = _numbers(left, "vocab", np.uint64)
+                    made = np.maximum(_counts(_grams(vocab, np.ones(len(vocab), np.int64), 1)[0], *table), 1)  # a word that isn't sent back occurs once
+                else:
+                    made = np.zeros(len(words), dtype=np.int64)
+                    grams, at = _grams(words, sizes, n)
+                    made[at] = _counts(grams, *table)
+                left = left.append_column(f"c{n}", pa.array([made.tobytes()], pa.binary()))
+            return score(left) if orders[-1] == order else left
 
         return run
 
@@ -163,7 +214,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
             context = count
         sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
         mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-        return pa.table({"doc_id": left["doc_ids"].chunk(0).flatten(), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
+        return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(sums, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
 
     def all_of(tables: list[DataFrame]) -> DataFrame:
         out = tables[0]
@@ -171,19 +222,27 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
             out = out.unionByName(t)
         return out
 
-    for n in range(1, order + 1):
-        last = n == order
-        whole = all_of(state).select(*kinds)
-        asked = whole.mapInArrow(ask(n), "gram long, batch long, n int")
-        total = F.sum("n").over(Window.partitionBy("gram"))
-        counted = written(asked.withColumn("total", total).where(F.col("total") >= (least if n > 1 else 2)).select("batch", "gram", "total"), f"lm-counts-{n}")
-        kinds[f"c{n}"] = "array<long>"
+    def counts_of(n: int, deal: int, of: int) -> DataFrame:
+        asked = whole.mapInArrow(ask(n, deal, of), "piece long, grams binary, n binary, batch long")
+        told = asked.groupBy("piece").applyInArrow(_totals(least if n > 1 else 2), "batch long, grams binary, totals binary")
+        return written(told.select("*", part), f"lm-counts-{n}", by="slice")
+
+    state, old = [tokens.where(F.col("slice") == k) for k in range(slices)], [tokens]
+    for orders in [list(range(1, min(order, 2) + 1)), *([n] for n in range(3, order + 1))]:
+        last = orders[-1] == order
+        whole = all_of(old).select(*kinds)
+        dealt = [(n, deal, of) for n in reversed(orders) for of in (deals if n > 1 else 1,) for deal in range(of)]
+        counted = [counts_of(*d) for d in dealt]
+        before = list(kinds)
+        kinds |= {f"c{n}": "binary" for n in orders}
         schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double" if last else ", ".join(f"{c} {t}" for c, t in kinds.items())
         done = []
         for k in range(slices):
-            mine = F.pmod(F.xxhash64("batch"), F.lit(slices)) == k
-            both = whole.where(mine).groupBy("batch").cogroup(counted.where(mine).select("batch", "gram", "total").groupBy("batch"))
-            done.append(written(both.applyInArrow(put(n), schema), "lm-scores" if last else f"lm-state-{n}"))
-        forget(counted, *state)
-        state = done
+            mine = all_of(counted).where(F.col("slice") == k).select("batch", "grams", "totals")
+            both = state[k].select(*before).groupBy("batch").cogroup(mine.groupBy("batch"))
+            done.append(written(both.applyInArrow(put(orders), schema), "lm-scores" if last else f"lm-state-{orders[-1]}"))
+            forget(*counted, *([tokens] if old == [tokens] else []), part=f"slice={k}")
+            forget(*(old[k : k + 1] if old != [tokens] else []))
+        forget(*counted, *old)
+        state = old = done
     return all_of(state)

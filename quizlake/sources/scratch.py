@@ -28,8 +28,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again; ``by``, the last column, makes a folder of each of its values.
 
     Cuts the lineage: what is lost with an executor is read again, not computed again. Shuffle files that made
     the table aren't read any more, so Spark is asked to remove them with the execution that wrote it.
@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
@@ -50,10 +50,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made and nothing reads any more."""
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that ``written`` made and nothing reads any more; or of each only the folder ``part``."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{t._folder}/{part}")
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -170,6 +170,28 @@ def test_lm_trigrams(spark):
     assert two["ab"] == 3 and math.isclose(got[1], want1) and math.isclose(got[2], want2)
 
 
+def test_lm_counts_move_by_pieces(spark, monkeypatch):
+    """Counts go and come back as a row a batch and piece, not a row an n-gram; small pieces, deals and slices give the brute force's scores."""
+    told = []
+
+    def keep(df, name, *a, **k):
+        out = written(df, name, *a, **k)
+        if name.startswith("lm-counts"):
+            told.append(out.count())
+        return out
+
+    written = lm_score.written
+    monkeypatch.setattr(lm_score, "written", keep)
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(200)) + " the hot pair" * 20) for k in range(60)]
+    want = brute_lm(rows, 3)
+    for knobs, most in (({}, 8), ({"batch_words": 10, "slices": 3, "deals": 3, "piece_rows": 100}, 2000)):
+        got = {r.doc_id: r for r in lm_score.backoff_scores(docs(spark, *rows).repartition(4), **knobs).collect()}
+        assert set(got) == set(want) and all(got[k].n_words == n and math.isclose(got[k].log_score, s, abs_tol=1e-6) for k, (n, s) in want.items())
+        assert told and max(told) <= 4 * most
+        told.clear()
+
+
 # ---- 4
 
 def test_licenses(spark):
