@@ -37,8 +37,17 @@ class LineDedup:
     seed: int = 31
 
 
+#: Lines whose shingles are made at once: what a few hundred lines give stays in a core's cache.
+_AT_ONCE = 200
+
+
 def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` code points: runs of powers of two by doubling, then joined."""
+    return mix(_runs(codes, n))
+
+
+def _runs(codes: np.ndarray, n: int) -> np.ndarray:
+    """``char_shingles`` before their bits are mixed, which keeps different ones different."""
     power, run, size = np.uint64(0x9E3779B97F4A7C15), codes.astype(np.uint64) + np.uint64(1), 1
     out, have = np.zeros(len(codes) + 1, dtype=np.uint64), 0
     while n > have:
@@ -48,7 +57,7 @@ def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
         if n > have:
             run = run[:-size] * power + run[size:]
             power, size = np.uint64(int(power) ** 2 % 2**64), 2 * size
-    return mix(out)
+    return out
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def with_keys(texts: DataFrame, p: LineDedup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+        for b in (whole.slice(at, _AT_ONCE) for whole in batches for at in range(0, len(whole), _AT_ONCE)):
             fresh = []
             for k, i in enumerate(b["id"].to_pylist()):
                 if i not in met:
@@ -137,9 +146,12 @@ def with_ids(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
 
 def shingle_sets(lines: list[str], n: int) -> list[np.ndarray]:
     """The sorted different shingles of each line, by their hashes."""
-    sizes = np.array([len(t) for t in lines], dtype=np.int64)
-    made = char_shingles(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32), n)
-    return [_distinct(made[e - size : max(e - size, e - n + 1)]) for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+    out = []
+    for some in (lines[at : at + _AT_ONCE] for at in range(0, len(lines), _AT_ONCE)):
+        sizes = np.array([len(t) for t in some], dtype=np.int64)
+        made = _runs(np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32), n)
+        out += [_distinct(made[e - size : max(e - size, e - n + 1)]) for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+    return out
 
 
 def _distinct(hashes: np.ndarray) -> np.ndarray:
@@ -211,12 +223,16 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     shared = shared_halves(places)
     lines = with_ids(places, shared)
     table = written(with_keys(with_ids(line_texts(docs, p.chars), shared), p), "line-table")
-    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")), once=True)
-    wanted = written(members.select("id").distinct(), "line-wanted")
-    texts = written(table.select("id", "line").join(built(wanted), "id", "left_semi"), "line-texts")
-    forget(table, wanted)
+    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")), once=True, together=p.block // p.bands, bound=p.block)
+    large = members.where(F.col("n") > p.block).select("id").distinct()
+    texts = table.select("id", "line")
+    if not large.isEmpty():  # these are read in every round
+        wanted = written(members.select("id").distinct(), "line-wanted")
+        texts = written(texts.join(built(wanted), "id", "left_semi"), "line-texts")
+        forget(table, wanted)
+        table = texts
     links, members = settled(members, texts, p)
-    units = in_blocks(members, p.block).join(texts, "id").select("unit", "mine", "i", "j", "id", "line")
+    units = texts.join(built(in_blocks(members, p.block)), "id").select("unit", "mine", "i", "j", "id", "line")
 
     def verify(unit: int, rows: list[dict]) -> list[tuple]:
         """Links enough to join what is connected: a line is compared with one group after another, and with a group until one member is near."""
@@ -244,7 +260,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     edges = by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line")
     edges = written(edges if links is None else edges.union(links), "line-links")
-    forget(buckets, texts)
+    forget(buckets, table)
     roots = components(edges)
     often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id")
     # lines that occur once and are linked to nothing take no further part

@@ -19,19 +19,24 @@ def built(side: DataFrame) -> DataFrame:
     return side.hint("shuffle_hash") if side.count() <= _BUILT * parts(side.sparkSession) else side
 
 
-def shared_buckets(keys: DataFrame, once: bool = False) -> DataFrame:
+def shared_buckets(keys: DataFrame, once: bool = False, together: int = 0, bound: int = 0) -> DataFrame:
     """``bucket, n, id`` of the buckets with several members, from ``key, id`` rows; ``once`` says that no row is repeated.
 
     Bands that hold the very same members are one bucket (its name is a digest of the members), so a set of near
-    copies that meets in many bands is verified once. Repeated rows don't count. What is known of a key is
+    copies that meets in many bands is verified once. Buckets of at most ``together`` members with the same smallest
+    member are one bucket too, whose ``n`` is given as ``bound``, as many as such buckets may hold together: a row is
+    in most of them, and stands there once. Repeated rows don't count. What is known of a key is
     combined on the map side, written, and joined back, so that a key with very many members can be split.
     """
-    shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "bucket-keys")
+    met = F.count(F.lit(1)) > 1 if once else F.min("id") < F.max("id")
+    shared = written(keys.groupBy("key").agg(met.alias("met")).where("met").select("key"), "bucket-keys")
     rows = keys.join(built(shared), "key", "left_semi")
     rows = written(rows if once else rows.distinct(), "bucket-rows")
     forget(shared)
-    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"))
-    named = written(sums.select("key", "n", F.xxhash64("n", "x", "s").alias("bucket")), "bucket-names")
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("id").alias("low"))
+    few = F.col("n") <= together
+    n, bucket = (F.when(few, a).otherwise(b).alias(c) for a, b, c in ((F.lit(bound).cast("long"), F.col("n"), "n"), (F.xxhash64("low", F.lit(3)), F.xxhash64("n", "x", "s"), "bucket")))
+    named = written(sums.select("key", n, bucket), "bucket-names")
     members = written(rows.join(named, "key").select("bucket", "n", "id").distinct(), "buckets")
     forget(rows, named)
     return members

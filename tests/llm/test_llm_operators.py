@@ -501,6 +501,16 @@ def test_line_blocks(spark):
     assert {(r.doc_id, k) for r in got for k in r.dropped} == brute_lines(rows)
 
 
+def test_small_buckets_with_one_smallest_member(spark):
+    """A row stands once in what its small buckets give together; larger buckets stay as they are, and pairs that met still meet."""
+    keys = [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 10), (3, 13), (4, 11), (4, 12), (5, 77), *((9, k) for k in range(10, 16))]
+    members = linking.shared_buckets(spark.createDataFrame(keys, "key int, id long"), once=True, together=3, bound=39)
+    units = collections.defaultdict(list)
+    for r in members.collect():
+        units[r.bucket, r.n].append(r.id)
+    assert sorted((n, sorted(ids)) for (_, n), ids in units.items()) == [(6, [10, 11, 12, 13, 14, 15]), (39, [10, 11, 12, 13]), (39, [11, 12])]
+
+
 def test_char_shingles():
     for n in (1, 2, 3, 5, 8, 9, 13):
         text = "abcabcabcabcabcabc"
