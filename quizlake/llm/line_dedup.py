@@ -1,7 +1,7 @@
 """Operator 9, fuzzy line deduplication.
 
-Lines get MinHash signatures of their character shingles; bands of the signatures put them in buckets;
-inside the buckets exact Jaccard decides; distributed union-find makes components of the links, and of each
+Lines get MinHash signatures of their character shingles; bands of the signatures put them in buckets, sketches
+take those out that meet by chance; inside the buckets exact Jaccard decides; distributed union-find makes components of the links, and of each
 component the first line stays.
 """
 
@@ -16,9 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed_rows, one_a_key, row_key, text_of, written
+from .common import forget, keyed_rows, one_a_key, parts, row_key, text_of, written
 from .linking import Union, built, by_unit, components, in_blocks, shared_buckets
-from .shingles import band_keys, mix, signatures
+from .near_lines import DEALT, dealt_keys, line_signatures, most_apart, near_buckets, ranges_of
+from .shingles import mix
 
 
 @dataclass(frozen=True)
@@ -61,86 +62,97 @@ def _runs(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """``row_key, doc_id, no, n, h, g`` of every line that isn't blank: its number, how many its text has, the halves of its 128-bit hash."""
+    """``row_key, doc_id, no, n, h, g, fresh`` of every line that isn't blank: its number, how many its text has, the halves of its 128-bit hash, whether its task meets it first."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
-            row, no, n, h = [], [], [], []
+            row, no, n, h, fresh = [], [], [], [], []
             for k, t in enumerate(b["text"].to_pylist()):
                 own = [(i, x) for i, line in enumerate(t.split("\n")) if (x := line.strip())]
                 row += [k] * len(own)
                 n += [len(own)] * len(own)
                 no += [i for i, _ in own]
-                h += [xxhash.xxh3_128_digest(x) for _, x in own]
+                for _, x in own:
+                    h.append(digest := xxhash.xxh3_128_digest(x))
+                    fresh.append(digest not in met)
+                    met.add(digest)
+            if len(met) > 1_000_000:  # only spares work
+                met.clear()
             of, halves = pa.array(row, pa.int64()), np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
-            columns = [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), pa.array(n, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "no", "n", "h", "g"])
+            columns = [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), pa.array(n, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(fresh, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "no", "n", "h", "g", "fresh"])
 
-    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, n int, h long, g long")
+    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, n int, h long, g long, fresh boolean")
 
 
-def line_texts(docs: DataFrame, least: int) -> DataFrame:
-    """``h, g, line`` of lines of at least ``least`` characters, each where a task meets it first."""
+def line_keys(docs: DataFrame, p: LineDedup, twice: frozenset[int], ranges: int) -> DataFrame:
+    """The rows of ``dealt_keys`` of lines of at least ``chars`` characters, each where a task meets it first; ``twice``: the first halves that different lines share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
-            h, lines = [], []
-            for t in b["text"].to_pylist():
-                for line in t.split("\n"):
-                    line = line.strip()
-                    if len(line) >= least and (x := xxhash.xxh3_128_digest(line)) not in met:
-                        met.add(x)
-                        h.append(x), lines.append(line)
-            if len(met) > 1_000_000:  # only spares work
-                met.clear()
-            halves = np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(lines, pa.string())], ["h", "g", "line"])
-
-    return text_of(docs, "text").mapInArrow(run, "h long, g long, line string")
+        def fresh() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            met: set[bytes] = set()
+            held: list[str] = []
+            of: list[bytes] = []
+            for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+                for t in b["text"].to_pylist():
+                    for line in t.split("\n"):
+                        line = line.strip()
+                        if len(line) >= p.chars and (x := xxhash.xxh3_128_digest(line)) not in met:
+                            met.add(x)
+                            held.append(line), of.append(x)
+                for at in range(0, len(held), _AT_ONCE):
+                    yield _ids(of[at : at + _AT_ONCE], twice), line_signatures(held[at : at + _AT_ONCE], char_shingles, p.chars, p.bands * p.rows, p.seed)
+                held.clear(), of.clear()
+                if len(met) > 1_000_000:  # only spares work
+                    met.clear()
+
+        return dealt_keys(fresh(), ranges, p.bands, p.rows)
+
+    return text_of(docs, "text").mapInArrow(run, DEALT)
+
+
+def _ids(digests: list[bytes], twice: frozenset[int]) -> np.ndarray:
+    """The ids of ``with_ids``."""
+    halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+    out = halves[:, 0].copy()
+    if twice:
+        for k in [k for k, h in enumerate(out.tolist()) if h in twice]:
+            h, g = halves[k].tobytes()[:8], halves[k].tobytes()[8:]
+            out[k] = np.uint64(xxhash.xxh64_intdigest(g, xxhash.xxh64_intdigest(h, 42))).view(np.int64)
+    return out
 
 
-def with_keys(texts: DataFrame, p: LineDedup) -> DataFrame:
-    """``id, line, keys`` from ``id, line``, each id once: equal ids meet in a partition, which remembers its ids, and the keys are made for many lines at once."""
+def texts_of(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, line`` of the lines ``ids``: what is wanted of a document goes to it, so that of the rest of its lines none moves alone. Of a line that occurs often only the places count where a task meets it first. Rows that repeat an id and text give them again."""
+    place = lines.where("fresh").join(built(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("row_key", "no")).alias("place"))
+    of = written(place.groupBy("place.row_key").agg(F.collect_list("place.no").alias("nos"), F.collect_list("id").alias("ids")), "line-of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for b in (whole.slice(at, _AT_ONCE) for whole in batches for at in range(0, len(whole), _AT_ONCE)):
-            fresh = []
-            for k, i in enumerate(b["id"].to_pylist()):
-                if i not in met:
-                    met.add(i)
-                    fresh.append(k)
-            b = b.take(pa.array(fresh, pa.int64()))
-            lines = b["line"].to_pylist()
-            if not lines:
-                continue
-            sizes = np.array([len(t) for t in lines])
-            made = char_shingles(np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32), p.chars)
-            inside = np.ones(int(sizes.sum()), dtype=bool)
-            for back in range(1, p.chars):
-                inside[np.cumsum(sizes) - back] = False
-            starts = np.concatenate([[0], np.cumsum(sizes - p.chars + 1)])[:-1]
-            keys = band_keys(signatures(made[inside[: len(made)]], starts, p.bands * p.rows, p.seed), p.bands, p.rows)
-            offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * p.bands)
-            yield pa.RecordBatch.from_arrays([b["id"], b["line"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "line", "keys"])
-
-    return texts.select("id", "line").repartition("id").mapInArrow(run, "id long, line string, keys array<long>")
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+            out = []
+            for t, nos in zip(b["text"].to_pylist(), b["nos"].to_pylist(), strict=True):
+                own = t.split("\n")
+                out += [own[no].strip() for no in nos]
+            yield pa.RecordBatch.from_arrays([b["ids"].flatten(), pa.array(out, pa.string())], ["id", "line"])
+
+    return _keyed(docs).select("row_key", "text").join(built(of), "row_key").select("text", "nos", "ids").mapInArrow(run, "id long, line string")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return text_of(docs, "doc_id", "text").withColumn("row_key", row_key())
 
 
-def shared_halves(lines: DataFrame) -> DataFrame:
-    """``h, shared`` of the first halves that different lines share; a written table, in practice an empty one."""
-    return written(lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("h", F.lit(True).alias("shared")), "line-shared")
+def repeated_halves(lines: DataFrame) -> DataFrame:
+    """``h, shared`` of the first halves that occur more than once, and whether different lines share them, which in practice none do; a written table."""
+    met = lines.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("times"))
+    return written(met.where("times > 1").selectExpr("h", "low <> high as shared"), "line-repeated")
 
 
 def with_ids(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """``lines`` with ``id``, one for each 128-bit hash: its first half, or a digest of both where different lines share that half."""
-    shared = shared_halves(lines) if shared is None else shared
+    shared = repeated_halves(lines).where("shared") if shared is None else shared
     return lines.join(shared, "h", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("shared", "h", "g")
 
 
@@ -220,17 +232,24 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     equal when their 128-bit hashes are.
     """
     places = written(line_places(docs), "line-places")
-    shared = shared_halves(places)
-    lines = with_ids(places, shared)
-    table = written(with_keys(with_ids(line_texts(docs, p.chars), shared), p), "line-table")
-    buckets = members = shared_buckets(table.select("id", F.explode("keys").alias("key")), once=True, together=p.block // p.bands, bound=p.block)
-    large = members.where(F.col("n") > p.block).select("id").distinct()
-    texts = table.select("id", "line")
-    if not large.isEmpty():  # these are read in every round
-        wanted = written(members.select("id").distinct(), "line-wanted")
-        texts = written(texts.join(built(wanted), "id", "left_semi"), "line-texts")
-        forget(table, wanted)
-        table = texts
+    repeated = repeated_halves(places)
+    shared = repeated.where("shared")
+    twice = frozenset(r.h for r in shared.select("h").collect())  # of n lines about n * n / 2**65 pairs
+    lines = with_ids(places, shared) if twice else places.withColumnRenamed("h", "id").drop("g")
+    ranges, together = ranges_of(places.count(), p.bands, parts(docs.sparkSession)), p.block // p.bands
+    buckets = members = written(near_buckets(line_keys(docs, p, twice, ranges), ranges, most_apart(p.least, p.bands * p.rows), together, p.block), "line-buckets")
+    hot = members.where("n = 0").select(F.col("bucket").alias("key"), "id")
+    if not hot.isEmpty():
+        members = members.where("n > 0").union(shared_buckets(hot, once=True, together=together, bound=p.block)).distinct()
+        members = written(members, "line-buckets")
+        forget(buckets)
+        buckets = members
+    wanted = written(members.select("id").distinct(), "line-wanted")
+    texts = written(texts_of(docs, lines, wanted), "line-texts")
+    if not members.where(F.col("n") > p.block).isEmpty():  # these are read in every round, each text once
+        texts, again = written(texts.dropDuplicates(["id"]), "line-texts"), texts
+        forget(again)
+    forget(wanted)
     links, members = settled(members, texts, p)
     units = texts.join(built(in_blocks(members, p.block)), "id").select("unit", "mine", "i", "j", "id", "line")
 
@@ -260,9 +279,11 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     edges = by_unit(units, verify, schema, "a long, b long", lambda lines: shingle_sets(lines, p.chars), "line")
     edges = written(edges if links is None else edges.union(links), "line-links")
-    forget(buckets, table)
+    forget(buckets, texts)
     roots = components(edges)
-    often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id")
+    often = repeated.where("not shared").select(F.col("h").alias("id"))
+    if twice:
+        often = often.union(with_ids(places.join(shared.select("h"), "h", "left_semi"), shared).select("id").distinct())
     # lines that occur once and are linked to nothing take no further part
     classes = often.join(roots.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     rooted = written(lines.join(built(written(classes, "line-classes")), "id").select("row_key", "doc_id", "no", "root"), "line-roots")
