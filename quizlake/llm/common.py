@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, work_dir, written
 
-__all__ = ["SPACES", "WORD", "forget", "keyed_rows", "one_a_key", "parts", "row_key", "table", "text_of", "work_dir", "written"]
+__all__ = ["SPACES", "WORD", "forget", "giving_back", "keyed_rows", "one_a_key", "parts", "row_key", "table", "text_of", "work_dir", "written"]
 
 #: White space of the contracts: space and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -46,3 +51,18 @@ def one_a_key(rows: DataFrame) -> DataFrame:
     other = [F.col(f"row.`{c}`") for c in rows.schema["row"].dataType.names if c not in ("doc_id", "text")]
     order = F.md5(F.to_json(F.struct(*other))) if other else F.lit("")
     return rows.groupBy("row_key").agg(F.min_by("row", order).alias("row"))
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a task, after which the worker returns the memory that it freed: workers outlive their tasks, and
+    allocators keep free pages for the next one, while the executor needs them for stages without Python."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+    return whole

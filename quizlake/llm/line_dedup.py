@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed_rows, one_a_key, parts, row_key, text_of, written
+from .common import forget, giving_back, keyed_rows, one_a_key, parts, row_key, text_of, written
 from .linking import Union, built, by_unit, components, in_blocks, shared_buckets
 from .near_lines import DEALT, dealt_keys, line_signatures, most_apart, near_buckets, ranges_of
 from .shingles import mix
@@ -40,6 +40,8 @@ class LineDedup:
 
 #: Lines whose shingles are made at once: what a few hundred lines give stays in a core's cache.
 _AT_ONCE = 200
+#: Bytes of whole texts that go to Python at once.
+_BATCH = "4m"
 
 
 def char_shingles(codes: np.ndarray, n: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def line_places(docs: DataFrame) -> DataFrame:
             columns = [b["row_key"].take(of), b["doc_id"].take(of), pa.array(no, pa.int32()), pa.array(n, pa.int32()), *(pa.array(halves[:, k].copy()) for k in (0, 1)), pa.array(fresh, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "no", "n", "h", "g", "fresh"])
 
-    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(run, f"row_key binary, doc_id {kind}, no int, n int, h long, g long, fresh boolean")
+    return _keyed(docs).select("row_key", "doc_id", "text").mapInArrow(giving_back(run), f"row_key binary, doc_id {kind}, no int, n int, h long, g long, fresh boolean")
 
 
 def line_keys(docs: DataFrame, p: LineDedup, twice: frozenset[int], ranges: int) -> DataFrame:
@@ -110,7 +112,7 @@ def line_keys(docs: DataFrame, p: LineDedup, twice: frozenset[int], ranges: int)
 
         return dealt_keys(fresh(), ranges, p.bands, p.rows)
 
-    return text_of(docs, "text").mapInArrow(run, DEALT)
+    return text_of(docs, "text").mapInArrow(giving_back(run), DEALT)
 
 
 def _ids(digests: list[bytes], twice: frozenset[int]) -> np.ndarray:
@@ -137,7 +139,7 @@ def texts_of(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
                 out += [own[no].strip() for no in nos]
             yield pa.RecordBatch.from_arrays([b["ids"].flatten(), pa.array(out, pa.string())], ["id", "line"])
 
-    return _keyed(docs).select("row_key", "text").join(built(of), "row_key").select("text", "nos", "ids").mapInArrow(run, "id long, line string")
+    return _keyed(docs).select("row_key", "text").join(built(of), "row_key").select("text", "nos", "ids").mapInArrow(giving_back(run), "id long, line string")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -231,13 +233,13 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
     id and text, line number) stays; null ids come last. Rows that repeat an id and text count as one. Lines are
     equal when their 128-bit hashes are.
     """
-    places = written(line_places(docs), "line-places")
+    places = written(line_places(docs), "line-places", batch=_BATCH)
     repeated = repeated_halves(places)
     shared = repeated.where("shared")
     twice = frozenset(r.h for r in shared.select("h").collect())  # of n lines about n * n / 2**65 pairs
     lines = with_ids(places, shared) if twice else places.withColumnRenamed("h", "id").drop("g")
     ranges, together = ranges_of(places.count(), p.bands, parts(docs.sparkSession)), p.block // p.bands
-    buckets = members = written(near_buckets(line_keys(docs, p, twice, ranges), ranges, most_apart(p.least, p.bands * p.rows), together, p.block), "line-buckets")
+    buckets = members = written(near_buckets(line_keys(docs, p, twice, ranges), ranges, most_apart(p.least, p.bands * p.rows), together, p.block), "line-buckets", batch=_BATCH)
     hot = members.where("n = 0").select(F.col("bucket").alias("key"), "id")
     if not hot.isEmpty():
         members = members.where("n > 0").union(shared_buckets(hot, once=True, together=together, bound=p.block)).distinct()
@@ -245,7 +247,7 @@ def duplicate_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFr
         forget(buckets)
         buckets = members
     wanted = written(members.select("id").distinct(), "line-wanted")
-    texts = written(texts_of(docs, lines, wanted), "line-texts")
+    texts = written(texts_of(docs, lines, wanted), "line-texts", batch=_BATCH)
     if not members.where(F.col("n") > p.block).isEmpty():  # these are read in every round, each text once
         texts, again = written(texts.dropDuplicates(["id"]), "line-texts"), texts
         forget(again)
@@ -320,8 +322,11 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     whatever their names; an empty table gives an empty result.
     """
     _, dropped = duplicate_lines(docs, p)
-    gone = dropped.groupBy("row_key").agg(F.collect_set("no").alias("gone"))
-    both = one_a_key(keyed_rows(docs)).join(gone, "row_key", "left")
+    gone = written(dropped.groupBy("row_key").agg(F.collect_set("no").alias("gone")), "line-gone")
+    rows = keyed_rows(docs)
+    if not rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = one_a_key(rows)  # which sorts whole rows, twice
+    both = rows.select("row_key", "row").join(built(gone), "row_key", "left")
     left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = both.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"))
     out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))

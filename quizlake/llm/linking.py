@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, parts, written
+from .common import forget, giving_back, parts, written
 
 #: Rows of a hash table that a join may build in a task, on average.
 _BUILT = 2_000_000
@@ -87,7 +87,7 @@ def by_unit(rows: DataFrame, work: Callable[[int, list[dict]], list[tuple]], sch
             made += work(held[0]["unit"], held)
         yield flush()
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(run, ddl)
+    return rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(giving_back(run), ddl)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def dealt_keys(batches: Iterator[tuple[np.ndarray, np.ndarray]], ranges: int, ba
         numbers = np.arange(ranges + 1)
 
         def column(values: np.ndarray, ranged: np.ndarray, last: np.ndarray) -> pa.Array:
-            data = values.tobytes() + last.tobytes()
+            data = np.concatenate((values.reshape(-1).view(np.uint8), last.view(np.uint8)))
             offsets = np.append(np.searchsorted(ranged, numbers) * values.itemsize * math.prod(values.shape[1:]), len(data))
             return pa.Array.from_buffers(pa.binary(), ranges + 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -28,23 +29,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again; ``by``, the last column, makes a folder of each of its values.
+def written(df: DataFrame, name: str, by: str | None = None, batch: str = "") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again; ``by``, the last column, makes a folder of each of its values;
+    ``batch`` bounds the bytes of the Arrow batches that go to Python, which else have as many rows whether these are short or whole texts.
 
     Cuts the lineage: what is lost with an executor is read again, not computed again. Shuffle files that made
     the table aren't read any more, so Spark is asked to remove them with the execution that wrote it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true"} | ({_BATCH: batch} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
     return table
